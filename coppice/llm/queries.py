@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.exact_dedup import exact_duplicates
+from coppice.llm.simhash import near_duplicates
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir)).drop("xx")
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_docs(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLES = {
     "op9_exact_dedup": """
