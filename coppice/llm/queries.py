@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.exact_dedup import exact_duplicates
+from coppice.llm.packing import pack
 from coppice.llm.simhash import near_duplicates
 
 
@@ -13,6 +14,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_tokenizer() -> str:
+    """Path of the public tokenizer's vocabulary file, installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), word_tokenizer()).drop("row_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir)).drop("xx")
 
@@ -23,6 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
