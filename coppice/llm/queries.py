@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coppice.llm.exact_dedup import exact_duplicates
 from coppice.llm.packing import pack
+from coppice.llm import secrets
 from coppice.llm.simhash import near_duplicates
 
 
@@ -21,6 +22,18 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.findings(_docs(spark, sf_dir))
+    base = tuple(r.name for r in secrets.BASE)
+    counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in base]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.digest("spans", base), 256).alias("base_sha256"),
+        secrets.digest("spans", tuple(r.name for r in secrets.RULES)).alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), word_tokenizer()).drop("row_id")
 
@@ -35,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
