@@ -46,4 +46,9 @@ def shard_count(df: DataFrame, bytes_each: int) -> int:
     return max(least, -(-planned_bytes(df) // bytes_each))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "column_or_null", "cut", "planned_bytes", "shard_count", "small_batches", "without"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "checked_broadcast", "column_or_null", "cut", "planned_bytes", "shard_count", "small_batches", "without"]
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if a count shows that it is small, else as it is; give a cut table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.llm import secrets
 from coppice.llm.exact_dedup import exact_duplicates
+from coppice.llm.mixing import mix
 from coppice.llm.packing import pack
-from coppice.llm import secrets
+from coppice.llm.sharding import shard
 from coppice.llm.simhash import near_duplicates
 
 
@@ -38,6 +40,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), word_tokenizer()).drop("row_id")
 
 
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_docs(spark, sf_dir), leaves=8)
+
+
+def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_docs(spark, sf_dir)).drop("row_id", "source", "copies")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_docs(spark, sf_dir)).drop("xx")
 
@@ -49,12 +59,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_kd_sharding": op3_kd_sharding,
+    "op7_pareto_mixing": op7_pareto_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op7_pareto_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   (CAST('0x' || substr(md5('42:' || doc_id), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
+            FROM documents),
+        s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
+                      (2 * source_size)::DOUBLE AS cap, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total FROM s0),
+        s2 AS (SELECT *, row_number() OVER f AS place,
+                      (total - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+               FROM s1 WINDOW f AS (ORDER BY cap / w, source NULLS LAST)),
+        s3 AS (SELECT *, least(cap, w * (SELECT arg_min(level, place) FROM s2 WHERE level * w <= cap)) AS target FROM s2),
+        s AS (SELECT source, source_size, target, floor(target / greatest(source_size, 1)) AS certain,
+                     target - floor(target / greatest(source_size, 1)) * source_size AS need FROM s3),
+        j AS (SELECT d.*, source_size, target, certain, need, need / greatest(source_size, 1) AS p
+              FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM j),
+        c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) END AS so_far FROM q),
+        g AS (SELECT source AS gs, any_value(need) - coalesce(max(so_far) FILTER (so_far <= need), 0) AS gap FROM c GROUP BY source),
+        r AS (SELECT c.*, gap, coalesce(so_far <= need, false) AS sampled FROM c JOIN g ON source IS NOT DISTINCT FROM gs),
+        e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN q IS NOT NULL AND NOT sampled AND size < 2 * gap THEN 0 ELSE 1 END,
+                                           abs(gap - size), q, doc_id) = 1 AND q IS NOT NULL AND NOT sampled AND size < 2 * gap AS closes FROM r)
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN size > 0 THEN (size * (certain + (sampled OR closes)::INT))::BIGINT ELSE 0 END AS taken FROM e
+    """,
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
