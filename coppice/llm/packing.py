@@ -10,8 +10,10 @@ with room left; those meet in new, fewer partitions and are packed again.
 
 from __future__ import annotations
 
+import functools
 import json
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +46,10 @@ def _byte_alphabet() -> str:
     return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Ids of white-space-free words as little-endian 32-bit bytes, remembered by word.
 
@@ -76,27 +82,36 @@ class WordIds(dict):
         if not word:
             return b""
         if self.short:
-            core = word.rstrip(string.punctuation)
-            if core.isalpha() and max(core) <= "\xff":
-                if core == word:
-                    lower = word.lower()
-                    if lower != word:
-                        return self[lower]
-                    letters = word.encode().decode("latin-1").translate(self.alphabet)
-                    return np.array([x.id for x in self.model.tokenize(letters)], "<u4").tobytes()
-                if "'" not in word:
-                    return self[core] + self[word[len(core) :]]
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            core = word if word.isalpha() else word.rstrip(string.punctuation)
+            if core.isascii():
+                plain = core.isalpha()
+                letters = core
+            elif plain := core.isalpha() and max(core) <= "\xff":
+                letters = core.encode().decode("latin-1").translate(self.alphabet)
+            if plain:
+                if core is not word and core != word:
+                    if "'" not in word:
+                        return self[core] + self[word[len(core) :]]
+                elif not core.islower() and (lower := core.lower()) != core:
+                    return self[lower]
+                else:
+                    return _packed_ids([x.id for x in self.model.tokenize(letters)])
+        return _packed_ids(self.whole.encode(word, add_special_tokens=False).ids)
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@functools.cache
+def _words_of(tokenizer: str) -> WordIds:
+    """One store of words for all tasks of a worker."""
+    return WordIds(tokenizer)
+
+
 def _piece_batches(tokenizer: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        words = _words_of(tokenizer)
         for b in batches:
-            words = words or WordIds(tokenizer)
             rows: list[list] = [[] for _ in range(6)]
             for row, doc, text in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 ids = words.of(text.as_py() or "") + b"\0\0\0\0"
