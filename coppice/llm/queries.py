@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from coppice.llm import secrets
 from coppice.llm.exact_dedup import exact_duplicates
+from coppice.llm.langid import identify
 from coppice.llm.mixing import mix
 from coppice.llm.packing import pack
 from coppice.llm.sharding import shard
 from coppice.llm.simhash import near_duplicates
+from coppice.llm.topk import top_k
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), word_tokenizer()).drop("row_id")
 
@@ -61,12 +71,23 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_kd_sharding": op3_kd_sharding,
     "op7_pareto_mixing": op7_pareto_mixing,
+    "op4_threshold_topk": op4_threshold_topk,
+    "op8_language_id": op8_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op4_threshold_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op7_pareto_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
