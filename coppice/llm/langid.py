@@ -9,6 +9,7 @@ Document frequencies are counted over all labelled rows.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ SAMPLE = 400
 CENTROIDS = 4
 TURNS = 10
 #: A text is rejected below this share of the smallest cosine in its language's sample.
-REJECT = 0.5
+REJECT = 0.25
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,15 +49,31 @@ class Model:
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point of the basic plane is a letter; all beyond it count as letters."""
+    return np.array([chr(i).isalpha() for i in range(1 << 16)], bool)
+
+
+def letter_runs(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with one space for each run of anything but letters, and at both ends."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    codes = np.where(letter, codes, np.uint32(32))
+    return codes[np.r_[True, letter[1:] | letter[:-1]]]
+
+
 def ngram_counts(texts: list[str]) -> np.ndarray:
-    """``(texts, FEATURES)`` counts of hashed n-grams of the lower-cased texts, whole."""
+    """``(texts, FEATURES)`` counts of hashed n-grams of the texts' letters, whole."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     for i, text in enumerate(texts):
-        codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = letter_runs(text)
         for start in range(0, len(codes), _BLOCK):
             part = codes[start : start + _BLOCK + max(NGRAMS) - 1]
             h = np.zeros(len(part), np.uint32)
             for n in NGRAMS:
+                if len(part) < n:
+                    break
                 h = h[: len(part) - n + 1] * _MIX[0] + part[n - 1 :] * _MIX[1]
                 last = min(len(h), _BLOCK)
                 mixed = (h[:last] ^ (h[:last] >> np.uint32(15))) * _MIX[2]
