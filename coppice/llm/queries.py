@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import secrets
+from coppice.llm import pii, secrets
 from coppice.llm.exact_dedup import exact_duplicates
 from coppice.llm.langid import identify
 from coppice.llm.mixing import mix
@@ -46,6 +46,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_docs(spark, sf_dir))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), word_tokenizer()).drop("row_id")
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op3_kd_sharding": op3_kd_sharding,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op4_threshold_topk": op4_threshold_topk,
+    "op5_personal_data": op5_personal_data,
     "op8_language_id": op8_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
