@@ -55,7 +55,7 @@ def drop_cut(df: DataFrame) -> None:
 
 def planned_bytes(df: DataFrame) -> int:
     """Size of ``df`` as the optimizer estimates it from file sizes; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def signature(df: DataFrame) -> tuple:
