@@ -12,6 +12,7 @@ from coppice.llm.mixing import mix
 from coppice.llm.packing import pack
 from coppice.llm.sharding import shard
 from coppice.llm.simhash import near_duplicates
+from coppice.llm.substrings import repeated_passages
 from coppice.llm.topk import top_k
 
 
@@ -26,6 +27,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_docs(spark, sf_dir)).drop("removed")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.findings(_docs(spark, sf_dir))
     base = tuple(r.name for r in secrets.BASE)
@@ -74,6 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_kd_sharding": op3_kd_sharding,
     "op7_pareto_mixing": op7_pareto_mixing,
