@@ -34,8 +34,8 @@ UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-#: Code points hashed at once.
-_BLOCK = 1 << 20
+#: Code points hashed at once, and texts whose vectors are held at once.
+_BLOCK, _TEXTS = 1 << 20, 128
 
 
 @dataclass
@@ -87,15 +87,21 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, _TEXTS):
+            yield b.slice(i, _TEXTS)
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(FEATURES, np.int64)
-    for b in batches:
+    for b in _slices(batches):
         df += (ngram_counts(b.column("text").to_pylist()) > 0).sum(axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES)), pa.array(df)], names=["feature", "df"])
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches):
         rows = [x.astype("<f4").tobytes() for x in ngram_counts(b.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(rows, pa.binary())], names=["lang", "place", "counts"])
 
@@ -144,24 +150,36 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     return Model(languages, idf, np.concatenate(found).astype(np.float32), np.array(of), np.array(least, np.float32))
 
 
+def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, for each text."""
+    known = np.array([bool(t) and bool(_LETTER.search(t)) for t in texts], bool) & bool(model.languages)
+    names, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~known
+    some = np.flatnonzero(known)
+    if len(some):
+        cosine = vectors(ngram_counts([texts[i] for i in some]), model.idf) @ model.centroids.T
+        score[some] = np.clip(cosine.max(axis=1), 0, 1)
+        language = model.of[cosine.argmax(axis=1)]
+        rejected[some] = score[some] < REJECT * model.least[language]
+        for i, n in zip(some, language):
+            names[i] = model.languages[n]
+    return names, score, rejected
+
+
 def _predict_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            known = np.array([bool(_LETTER.search(t)) for t in texts], bool) & bool(model.languages)
-            names, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~known
-            some = np.flatnonzero(known)
-            if len(some):
-                cosine = vectors(ngram_counts([texts[i] for i in some]), model.idf) @ model.centroids.T
-                best = cosine.argmax(axis=1)
-                score[some] = np.clip(cosine.max(axis=1), 0, 1)
-                language = model.of[best]
-                rejected[some] = score[some] < REJECT * model.least[language]
-                for i, n in zip(some, language):
-                    names[i] = model.languages[n]
-            kept = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
-            arrays = [*kept, pa.array(names), pa.array(score), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*(n for n in b.schema.names if n != "text"), "lang_pred", "score", "rejected"])
+        for b in _slices(batches):
+            names, score, rejected = predict(b.column("text").to_pylist(), model)
+            arrays = [b.column("doc_id"), b.column("held_out"), pa.array(names), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+
+    return run
+
+
+def _accept_batches(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            _, _, rejected = predict(b.column("text").to_pylist(), model)
+            yield b.filter(pa.array(~rejected))
 
     return run
 
@@ -171,6 +189,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def fit_documents(docs: DataFrame) -> Model:
+    """A model learned from the rows that are not held out."""
+    columns = (("doc_id", "long"), ("text", "string"), ("lang", "string"))
+    return fit(docs.select(*(F.col(c).cast(kind).alias(c) for c, kind in columns)).where(~held_out(F.col("doc_id"))))
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is not rejected."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_accept_batches(model or fit_documents(docs)), docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score, rejected``.
 
@@ -182,11 +212,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    if model is None:
-        labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        model = fit(labelled.where(~held_out(F.col("doc_id"))))
+    model = model or fit_documents(docs)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
     return rows.mapInArrow(_predict_batches(model), schema)
 
 
-__all__ = ["Model", "fit", "held_out", "identify", "ngram_counts", "spherical_kmeans", "vectors"]
+__all__ = ["Model", "accepted", "fit", "fit_documents", "held_out", "identify", "predict", "ngram_counts", "spherical_kmeans", "vectors"]
