@@ -40,13 +40,37 @@ def without(df: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(dropped, keys, "left_anti")
 
 
+#: Stands for a null doc_id where rows are joined by it.
+NO_ID = -(1 << 63)
+
+
+def row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id`` and ``_xx``, which tell rows apart by doc_id and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_xx": F.xxhash64(text)})
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdict`` (``doc_id, xx, kept``; a cut table) keeps.
+
+    Rows that are to go are few and leave by ``without``.  Where a row is repeated and
+    only one of it is kept, one is picked by a shuffle, which runs in that case alone.
+    """
+    v = verdict.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("_id", F.col("xx").alias("_xx"))
+    v = cut(v.agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n")).where("stay < n"), "verdict")
+    out = without(row_key(docs), v.where("stay = 0").select("_id", "_xx"), ["_id", "_xx"])
+    if v.where("stay > 0").limit(1).count():
+        out = out.dropDuplicates(["_id", "_xx"])
+    return out.select(*docs.columns)
+
+
 def shard_count(df: DataFrame, bytes_each: int) -> int:
     """Shards so that each holds about ``bytes_each`` of stored input, never fewer than shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-planned_bytes(df) // bytes_each))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "checked_broadcast", "column_or_null", "cut", "planned_bytes", "shard_count", "small_batches", "without"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "checked_broadcast", "column_or_null", "cut", "keep_rows", "planned_bytes", "shard_count", "small_batches", "without"]
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:

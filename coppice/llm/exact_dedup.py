@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import LOWER, UPPER, cut, small_batches
+from coppice.llm.common import LOWER, UPPER, cut, keep_rows, small_batches
 
 # fixed values: primes under 2^31 for which 256 has a long period
 PRIMES = (2147483629, 2147483587, 2147483563, 2147483549)
@@ -150,3 +150,8 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.col("sha").alias("text_sha256"),
         "xx",
     )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, that stay."""
+    return keep_rows(docs, cut(exact_duplicates(docs).select("doc_id", "xx", "kept"), "verdict"))

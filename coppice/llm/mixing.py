@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import checked_broadcast, column_or_null, cut
+from coppice.llm.common import NO_ID, checked_broadcast, column_or_null, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -59,6 +59,74 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return s.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(level, F.lit(0.0))).alias("target"))
 
 
+def _with_place(docs: DataFrame, seed: int, preference: Column | None) -> DataFrame:
+    """``docs`` with what ranks a row: size, random number, preference and tie-breaks, all taken from the row alone."""
+    text = F.col("text").cast("string")
+    return docs.withColumns(
+        {
+            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+            "_xx": F.xxhash64(F.coalesce(text, F.lit(""))),
+            "_k": F.coalesce(F.concat(F.lit("s"), column_or_null(docs, "source", "string")), F.lit("n")),
+            "_size": word_count(text),
+            "_u": random_unit(F.col("doc_id"), seed),
+            "_pref": F.lit(1.0) if preference is None else preference.cast("double"),
+        }
+    )
+
+
+def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with their source's target, odds ratio ``_q`` and bucket ``_b``; certain or empty rows have none."""
+    j = rows.join(targets, "_k")
+    q = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")) * F.col("_pref"))
+    j = j.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_size") > 0), q))
+    return j.withColumn("_b", F.least(F.floor(BUCKETS * F.col("_q") / (1 + F.col("_q"))), F.lit(BUCKETS - 1)))
+
+
+_PLACE = ("_q", "_id", "_xx")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, preference: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Rows without their texts, and one row per source that decides over each of its documents."""
+    rows = cut(_with_place(docs.withColumn("source", column_or_null(docs, "source", "string")), seed, preference).select("source", "_id", "_xx", "_k", "_size", "_u", "_pref"), "sizes")
+    src = source_targets(rows.withColumnRenamed("_size", "size"), weights, share, cap)
+    size = F.greatest("source_size", F.lit(1))
+    src = src.withColumn("_k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    src = src.withColumn("_certain", F.floor(F.col("target") / size))
+    src = src.withColumn("_need", F.col("target") - F.col("_certain") * F.col("source_size"))
+    src = cut(src.withColumn("_p", F.col("_need") / size), "targets")
+    j = _ranked(rows, checked_broadcast(src))
+    place = F.struct(*_PLACE)
+
+    # the bucket in which each source's need falls
+    running = Window.partitionBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    sums = j.where("_b is not null").groupBy("_k", "_b", "_need").agg(F.sum("_size").alias("n"))
+    sums = sums.withColumn("before", F.sum("n").over(running.orderBy("_b")) - F.col("n"))
+    over = F.struct("_b", "before")
+    edge = sums.groupBy("_k").agg(F.min(F.when(F.col("before") + F.col("n") > F.col("_need"), over)).alias("e"), F.sum("n").alias("all_n"))
+    edge = cut(edge.select("_k", F.coalesce("e._b", F.lit(BUCKETS)).alias("_edge"), F.coalesce("e.before", "all_n").alias("before")), "edge")
+    in_edge = j.join(checked_broadcast(edge), "_k").where("_b = _edge")
+    in_edge = in_edge.withColumn("so_far", F.col("before") + F.sum("_size").over(running.orderBy(*_PLACE)))
+    last = in_edge.where("so_far <= _need").groupBy("_k").agg(F.max(place).alias("_last"), F.max("so_far").alias("so_far"))
+    ranks = edge.join(last, "_k", "left").select("_k", "_edge", "_last", F.coalesce("so_far", "before").alias("so_far"))
+    src = cut(src.join(ranks, "_k", "left").withColumn("_gap", F.col("_need") - F.col("so_far")), "ranks")
+
+    # the document that closes the gap, if one comes nearer than none
+    j = _ranked(rows, checked_broadcast(src))
+    near = F.struct(F.abs(F.col("_gap") - F.col("_size")).alias("off"), place.alias("place"))
+    closing = j.where(F.col("_b").isNotNull() & ~_sampled() & (F.col("_size") < 2 * F.col("_gap"))).groupBy("_k").agg(F.min(near).alias("c"))
+    return rows, cut(src.join(closing.select("_k", F.col("c.place").alias("_closes")), "_k", "left"), "plan")
+
+
+def _sampled() -> Column:
+    inside = (F.col("_b") < F.col("_edge")) | ((F.col("_b") == F.col("_edge")) & (F.struct(*_PLACE) <= F.col("_last")))
+    return F.coalesce(inside, F.lit(False))
+
+
+def _copies() -> Column:
+    extra = _sampled() | F.coalesce(F.struct(*_PLACE) == F.col("_closes"), F.lit(False))
+    return F.when(F.col("_size") > 0, F.col("_certain") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -67,56 +135,29 @@ def mix(
     seed: int = SEED,
     preference: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken, row_id``.
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     ``preference`` multiplies a document's inclusion odds against others of its source.
     A null source is a source of its own, after all others.  A null or empty text has
-    size 0 and takes nothing; sources without words have target 0.  Equal ranks (repeated
-    rows, null ids) go by doc_id and then by place in the table, each row for itself.
+    size 0 and takes nothing; sources without words have target 0.  Equal ranks go by
+    doc_id, a null one first, then by a hash of the text; repeated rows are taken alike.
     An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        column_or_null(docs, "source", "string").alias("source"),
-        word_count(F.col("text")).alias("size"),
-        (F.lit(1.0) if preference is None else preference.cast("double")).alias("pref"),
-    )
-    rows = cut(rows, "sizes")
-    k = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    src = source_targets(rows, weights, share, cap)
-    size = F.greatest("source_size", F.lit(1))
-    src = src.withColumn("k", k).withColumn("certain", F.floor(F.col("target") / size))
-    src = src.withColumn("need", F.col("target") - F.col("certain") * F.col("source_size")).drop("source")
-    src = cut(src.withColumn("p", F.col("need") / size), "targets")
-    u = random_unit(F.col("doc_id"), seed)
-    q = F.when((F.col("p") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * F.col("pref")))
-    j = rows.withColumn("k", k).join(checked_broadcast(src), "k").withColumn("q", q)
-    j = j.withColumn("b", F.least(F.floor(BUCKETS * F.col("q") / (1 + F.col("q"))), F.lit(BUCKETS - 1)))
-    place = F.struct("q", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "row_id")
+    rows, plan = _plan(docs, weights, share, cap, seed, preference)
+    j = _ranked(rows, checked_broadcast(plan)).withColumn("copies", _copies())
+    doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
+    return j.select(doc_id, "source", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
-    # the bucket in which each source's need falls
-    sums = j.where("b is not null").groupBy("k", "b", "need").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    over = F.struct("b", "before")
-    edge = sums.groupBy("k").agg(
-        F.min(F.when(F.col("before") + F.col("n") > F.col("need"), over)).alias("e"), F.sum("n").alias("all_n")
-    )
-    edge = cut(edge.select("k", F.coalesce("e.b", F.lit(BUCKETS)).alias("edge"), F.coalesce("e.before", "all_n").alias("before")), "edge")
-    in_edge = j.join(checked_broadcast(edge), "k").where("b = edge")
-    so_far = F.col("before") + F.sum("size").over(Window.partitionBy("k").orderBy("q", F.coalesce("doc_id", F.lit(-(1 << 63))), "row_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = in_edge.withColumn("so_far", so_far).where("so_far <= need").groupBy("k").agg(F.max(place).alias("last"), F.max("so_far").alias("so_far"))
-    ranks = edge.join(last, "k", "left").select("k", "edge", "last", F.coalesce("so_far", "before").alias("so_far"))
-    ranks = cut(ranks, "ranks")
-
-    j = j.join(checked_broadcast(ranks), "k", "left")
-    j = j.withColumn("gap", F.col("need") - F.col("so_far"))
-    taken = F.coalesce((F.col("b") < F.col("edge")) | ((F.col("b") == F.col("edge")) & (place <= F.col("last"))), F.lit(False))
-    j = j.withColumn("sampled", taken)
-    near = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), place.alias("place"))
-    closing = j.where((F.col("b").isNotNull()) & ~F.col("sampled") & (F.col("size") < 2 * F.col("gap"))).groupBy("k").agg(F.min(near).alias("c"))
-    closing = cut(closing.select("k", F.col("c.place.row_id").alias("closes")), "closing")
-    j = j.join(checked_broadcast(closing), "k", "left")
-    extra = (F.col("sampled") | F.coalesce(F.col("row_id") == F.col("closes"), F.lit(False))).cast("long")
-    copies = F.when(F.col("size") > 0, F.col("certain") + extra).otherwise(F.lit(0)).cast("long")
-    return j.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row_id")
+
+def mixed(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, preference: Column | None = None
+) -> DataFrame:
+    """The rows of ``docs``, as they are, each as often as the mix takes it.
+
+    A row's copies follow from the row and its source's line of the plan, so texts
+    neither move nor are joined.
+    """
+    _, plan = _plan(docs, weights, share, cap, seed, preference)
+    j = _ranked(_with_place(docs, seed, preference), checked_broadcast(plan.drop("source_size", "target"))).withColumn("_copies", _copies())
+    j = j.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return j.select(*docs.columns)

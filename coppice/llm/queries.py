@@ -66,7 +66,7 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_docs(spark, sf_dir)).drop("row_id", "source", "copies")
+    return mix(_docs(spark, sf_dir)).drop("source", "copies")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cut, small_batches
+from coppice.llm.common import cut, keep_rows, small_batches
 from coppice.operators.components import component_labels
 
 MAX_BITS = 3
@@ -105,15 +105,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for b in batches:
         texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")]
         fp = pa.array(simhash(texts).view(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("xx"), fp], names=["doc_id", "xx", "fp"])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row."""
+    """``(doc_id, xx, fp)`` of every row; ``xx`` identifies its raw text."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("xx"), text.alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, xx long, fp long")
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, component_id``.
+    """One row per row of ``docs``: ``doc_id, xx, fp, component_id``.
 
     Words and shingles as in ``simhash``; A-Z are lower-cased.  Texts of fewer than
     three words are one shingle; texts without words, empty and null ones have
@@ -223,4 +223,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes, "classes")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(classes.join(least, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "xx", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, with the smallest doc_id of their component."""
+    found = near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # of rows with one doc_id in one component a single one stays
+    found = cut(found.select("doc_id", "xx", "component_id", "kept"), "found")
+    one = found.where("kept").groupBy("component_id").agg(F.min("xx").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = cut(one.select(F.col("component_id").alias("c"), "one"), "repeated")
+    if one.limit(1).count():
+        found = found.join(one, F.col("component_id").eqNullSafe(F.col("c")), "left")
+        repeat = F.row_number().over(Window.partitionBy("component_id", "doc_id", "xx").orderBy("xx"))
+        found = found.withColumn("kept", F.col("kept") & (F.col("one").isNull() | ((F.col("xx") == F.col("one")) & (repeat == 1))))
+        found = cut(found, "found")
+    return keep_rows(docs, found)
