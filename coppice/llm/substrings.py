@@ -220,46 +220,67 @@ def _window_hashes(window: int):
 
 
 class Automaton:
-    """Blocks of a shard's passages over word numbers; finds what a document shares with them."""
+    """Blocks of a shard's passages over word numbers; finds what a document shares with them.
+
+    A word of the passages is one character, all other words are a character of their
+    own, and the automaton reads documents as strings of these.  Should a shard have more
+    words than there are characters, the same automaton is built over tuples of numbers.
+    """
+
+    #: Code points that numbers can use, without the surrogates.
+    CHARACTERS = 0x110000 - 0x800
 
     def __init__(self, passages: list[tuple[list[bytes], int]], window: int):
         import ahocorasick
 
         self.window, self.block = window, window // 2
-        self.number: dict[bytes, int] = {}
-        self.passages: list[tuple[np.ndarray, int]] = []
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for words, owner in passages:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            p = len(self.passages)
-            self.passages.append((np.array(ids, np.int64), owner))
+        number: dict[bytes, int] = {}
+        listed = [[number.setdefault(w, len(number) + 1) for w in words] for words, _ in passages]
+        self.strings = len(number) < self.CHARACTERS
+        self.other = "\0" if self.strings else 0
+        self.symbol = {w: chr(i + 0x800 * (i >= 0xD800)) for w, i in number.items()} if self.strings else number
+        self.passages: list[tuple] = []
+        places: dict = {}
+        for p, (words, owner) in enumerate(passages):
+            key, ids = self._symbols(words)
+            self.passages.append((key, ids, owner))
             for at in range(0, len(ids) - self.block + 1, self.block):
-                places.setdefault(tuple(ids[at : at + self.block]), []).append((p, at))
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                places.setdefault(key[at : at + self.block], []).append((p, at))
+        kind = ahocorasick.KEY_STRING if self.strings else ahocorasick.KEY_SEQUENCE
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, kind)
         for key, held in places.items():
             self.found.add_word(key, held)
         if places:
             self.found.make_automaton()
 
+    def _symbols(self, words: list[bytes]):
+        """The words as the automaton reads them, and as an array."""
+        get, other = self.symbol.get, self.other
+        if self.strings:
+            key = "".join([get(w, other) for w in words])
+            return key, np.frombuffer(key.encode("utf-32-le"), np.uint32)
+        key = tuple([get(w, other) for w in words])
+        return key, np.array(key, np.int64)
+
     def covered(self, words: list[bytes], doc_id: int) -> np.ndarray:
         """Which words lie in a stretch of a window or more that an owner of smaller id has too."""
         out = np.zeros(len(words), bool)
-        get = self.number.get
-        listed = [get(w, 0) for w in words]
-        ids = np.array(listed, np.int64)
+        key, ids = self._symbols(words)
         done: dict[tuple[int, int], int] = {}  # passage and diagonal: where the last stretch ended
-        for end, held in self.found.iter(tuple(listed)):
+        for end, held in self.found.iter(key):
             start = end - self.block + 1
             for p, at in held:
-                passage, owner = self.passages[p]
+                theirs, passage, owner = self.passages[p]
                 if owner >= doc_id or done.get((p, start - at), -1) > start:
                     continue
-                back = min(start, at)
-                same = ids[start - back : start][::-1] == passage[at - back : at][::-1]
-                left = back if same.all() else int(same.argmin())
-                ahead = min(len(ids) - end - 1, len(passage) - at - self.block)
-                same = ids[end + 1 : end + 1 + ahead] == passage[at + self.block : at + self.block + ahead]
-                right = ahead if same.all() else int(same.argmin())
+                # mostly all of it is alike, which one comparison of slices tells
+                back, after = min(start, at), at + self.block
+                left = back
+                if key[start - back : start] != theirs[at - back : at]:
+                    left = int((ids[start - back : start][::-1] == passage[at - back : at][::-1]).argmin())
+                right = min(len(ids) - end - 1, len(passage) - after)
+                if key[end + 1 : end + 1 + right] != theirs[after : after + right]:
+                    right = int((ids[end + 1 : end + 1 + right] == passage[after : after + right]).argmin())
                 done[p, start - at] = end + 1 + right
                 if left + self.block + right >= self.window:
                     out[start - left : end + 1 + right] = True
@@ -326,6 +347,29 @@ def _remove(window: int):
     return run
 
 
+def _confirmed(rows: DataFrame, parts: int, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
+    """The texts dealt into their shards, and the confirmed windows of each shard: ``shard, row, at, windows, owner``."""
+    anchors = cut(rows.where("doc_id is not null").mapInArrow(_anchor_batches(window, phrase), _ANCHORS), "anchors")
+    known = anchors.groupBy("phrase").agg(
+        F.min("doc_id").alias("owner"),
+        F.max("top").alias("last"),
+        ((F.min("lane1") == F.max("lane1")) & (F.min("lane2") == F.max("lane2"))).alias("alike"),
+    )
+    known = cut(known.where("owner < last").select("phrase", "owner", "alike"), "phrases")
+    repeated = anchors.join(checked_broadcast(known), "phrase").where("not alike or owner < top")
+    repeated = cut(repeated.select("shard", "row", "doc_id", "at", "windows", "top", "owner", "alike"), "repeated")
+    whole = repeated.where("alike").select("shard", "row", "at", "windows", "owner")
+    unlike = repeated.where("not alike").select("shard", "row", "doc_id", "at", "windows", "top")
+    # the texts move once: the two steps that need them in shards read this one exchange
+    rows = rows.repartition(parts, "shard")
+    hashes = rows.groupBy("shard").cogroup(unlike.groupBy("shard")).applyInArrow(_window_hashes(window), _WINDOWS)
+    # a window has one row for each shard that holds it, so no key outgrows the number of shards
+    alike = Window.partitionBy("lane1", "lane2")
+    single = hashes.withColumn("owner", F.min("doc_id").over(alike)).where("owner < top")
+    single = single.select("shard", "row", "at", F.lit(1).alias("windows"), "owner")
+    return rows, whole.union(single)
+
+
 def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, removed``.
 
@@ -345,23 +389,5 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         F.col("text").cast("string").alias("text"),
     )
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    anchors = cut(rows.where("doc_id is not null").mapInArrow(_anchor_batches(window, phrase), _ANCHORS), "anchors")
-    known = anchors.groupBy("phrase").agg(
-        F.min("doc_id").alias("owner"),
-        F.max("top").alias("last"),
-        ((F.min("lane1") == F.max("lane1")) & (F.min("lane2") == F.max("lane2"))).alias("alike"),
-    )
-    known = cut(known.where("owner < last").select("phrase", "owner", "alike"), "phrases")
-    repeated = anchors.join(checked_broadcast(known), "phrase").where("not alike or owner < top")
-    repeated = cut(repeated.select("shard", "row", "doc_id", "at", "windows", "top", "owner", "alike"), "repeated")
-    whole = repeated.where("alike").select("shard", "row", "at", "windows", "owner")
-    unlike = repeated.where("not alike").select("shard", "row", "doc_id", "at", "windows", "top")
-    # the texts move once: both steps below read this one exchange
-    rows = rows.repartition(parts, "shard")
-    hashes = rows.groupBy("shard").cogroup(unlike.groupBy("shard")).applyInArrow(_window_hashes(window), _WINDOWS)
-    # a window has one row for each shard that holds it, so no key outgrows the number of shards
-    alike = Window.partitionBy("lane1", "lane2")
-    single = hashes.withColumn("owner", F.min("doc_id").over(alike)).where("owner < top")
-    single = single.select("shard", "row", "at", F.lit(1).alias("windows"), "owner")
-    wanted = whole.union(single)
+    rows, wanted = _confirmed(rows, parts, window, phrase)
     return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_remove(window), _RESULT)
