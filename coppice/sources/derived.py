@@ -84,7 +84,7 @@ def solver_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         line.groupBy(F.col("l_partkey").alias("instance"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("solver"))
         .agg(
             F.min(F.floor("l_quantity")).cast("long").alias("fvs_size"),
-            F.round(F.avg("l_extendedprice") / 10000, 6).alias("runtime_s"),
+            F.round(F.avg("l_extendedprice") / 10000, 10).alias("runtime_s"),
             (F.max("l_discount") < 0.095).alias("valid"),
         )
         .withColumn("n", (F.col("instance") % 40 + 10).cast("long"))
