@@ -41,7 +41,9 @@ def _undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    """Doubles rounded, for comparison. Walks are sums of halves and quarters, which end in ties: at nine digits a nudge decides them."""
+    nudge = 1e-12 if digits == 9 else 0.0
+    return df.select(*(F.round(F.col(c) + nudge, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 DIR = "WITH RECURSIVE" + Q.event_graph(DIRECTED) + ","
@@ -361,18 +363,18 @@ def four_cycles(spark, sf):
 
 
 def _rwse_sql(source: str, steps: tuple[int, ...]) -> str:
-    rows = " UNION ALL ".join(f"SELECT gv.graph_id, gv.v, CAST({k} AS BIGINT) AS step, round(coalesce(d{k}.p, 0.0::DOUBLE), 6) AS p FROM gv LEFT JOIN d{k} ON gv.graph_id = d{k}.graph_id AND gv.v = d{k}.v" for k in steps)
+    rows = " UNION ALL ".join(f"SELECT gv.graph_id, gv.v, CAST({k} AS BIGINT) AS step, round(coalesce(d{k}.p, 0.0::DOUBLE) + 1e-12::DOUBLE, 9) AS p FROM gv LEFT JOIN d{k} ON gv.graph_id = d{k}.graph_id AND gv.v = d{k}.v" for k in steps)
     return Q.walks(source, steps) + " " + rows
 
 
 @query(DIR + _rwse_sql("e", (2, 3, 4, 5)))
 def rwse_2_5(spark, sf):
-    return _rounded(S.return_probabilities(_directed(spark, sf), D.event_vertices(spark, sf), True))
+    return _rounded(S.return_probabilities(_directed(spark, sf), D.event_vertices(spark, sf), True), 9)
 
 
 @query(UND + _rwse_sql("b", features.V3_STEPS))
 def rwse_v3(spark, sf):
-    return _rounded(S.return_probabilities(_undirected(spark, sf), D.event_vertices(spark, sf), False, features.V3_STEPS))
+    return _rounded(S.return_probabilities(_undirected(spark, sf), D.event_vertices(spark, sf), False, features.V3_STEPS), 9)
 
 
 # ---------------------------------------------------------------- kernels and solvers
@@ -737,7 +739,7 @@ def parse_status(spark, sf):
 
 @query("SELECT DISTINCT CAST(l_partkey AS BIGINT) AS id, CAST(l_partkey AS BIGINT) AS digits, 'h_' AS prefix, '.gr' AS suffix FROM lineitem WHERE l_partkey BETWEEN 1 AND 200")
 def natural_order(spark, sf):
-    names = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("h_"), F.lpad(F.col("l_partkey").cast("string"), 3, "0"), F.lit(".gr")).alias("instance")).distinct()
+    names = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("h_"), F.col("l_partkey").cast("string"), F.lit(".gr")).alias("instance")).distinct()
     kept = A.instance_filter(names)
     key = A.natural_key(F.col("instance"))
     return kept.select("id", key["digits"].alias("digits"), key["prefix"].alias("prefix"), key["suffix"].alias("suffix"))
@@ -772,7 +774,7 @@ FEATURES_END = " FROM f"
     + FEATURES_END
 )
 def features_v1_und(spark, sf):
-    return _rounded(features.undirected_v1(_undirected(spark, sf), D.event_vertices(spark, sf)))
+    return _rounded(features.undirected_v1(_undirected(spark, sf), D.event_vertices(spark, sf)), 9)
 
 
 DEG = """ di AS (SELECT gv.graph_id, gv.v, (SELECT count(*) FROM ty) AS n, (SELECT count(*) FROM e WHERE e.graph_id = gv.graph_id AND e.dst = gv.v) AS i,
@@ -788,7 +790,7 @@ DEG = """ di AS (SELECT gv.graph_id, gv.v, (SELECT count(*) FROM ty) AS n, (SELE
     + FEATURES_END
 )
 def features_v1_dir(spark, sf):
-    return _rounded(features.directed_v1(_directed(spark, sf), D.event_vertices(spark, sf)))
+    return _rounded(features.directed_v1(_directed(spark, sf), D.event_vertices(spark, sf)), 9)
 
 
 def _joined_walks(steps) -> str:
@@ -824,7 +826,7 @@ _V2_TAIL = ["rwse_2", "rwse_3", "rwse_4", "rwse_5", "triangles_log", "cycles_log
     + FEATURES_END
 )
 def features_v2_dir(spark, sf):
-    return _rounded(features.v2(_directed(spark, sf), D.event_vertices(spark, sf), True))
+    return _rounded(features.v2(_directed(spark, sf), D.event_vertices(spark, sf), True), 9)
 
 
 @query(
@@ -844,7 +846,7 @@ def features_v2_dir(spark, sf):
     + FEATURES_END
 )
 def features_v2_und(spark, sf):
-    return _rounded(features.v2(_undirected(spark, sf), D.event_vertices(spark, sf), False))
+    return _rounded(features.v2(_undirected(spark, sf), D.event_vertices(spark, sf), False), 9)
 
 
 _V3 = features.V3_STEPS
@@ -877,7 +879,7 @@ _V3_MOTIFS = "LEFT JOIN tri ON x.graph_id = tri.graph_id AND x.v = tri.v LEFT JO
     + FEATURES_END
 )
 def features_v3_dir(spark, sf):
-    return _rounded(features.v3(_directed(spark, sf), D.event_vertices(spark, sf), True))
+    return _rounded(features.v3(_directed(spark, sf), D.event_vertices(spark, sf), True), 9)
 
 
 @query(
@@ -901,7 +903,7 @@ def features_v3_dir(spark, sf):
     + FEATURES_END
 )
 def features_v3_und(spark, sf):
-    return _rounded(features.v3(_undirected(spark, sf), D.event_vertices(spark, sf), False))
+    return _rounded(features.v3(_undirected(spark, sf), D.event_vertices(spark, sf), False), 9)
 
 
 # ---------------------------------------------------------------- scoring

@@ -91,7 +91,7 @@ def walks(source: str, steps: tuple[int, ...]) -> str:
 
 
 def rounded(columns: list[str]) -> str:
-    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
+    return ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-12::DOUBLE, 9) AS {c}" for c in columns)
 
 
 #: ``res``: the table of solver runs; ``pen``: with invalid answers set to n; ``sc``: scored.
