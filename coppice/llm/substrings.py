@@ -22,6 +22,7 @@ bounded text, and each step works on a shard at a time:
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,6 +248,7 @@ class Automaton:
             for at in range(0, len(ids) - self.block + 1, self.block):
                 places.setdefault(key[at : at + self.block], []).append((p, at))
         kind = ahocorasick.KEY_STRING if self.strings else ahocorasick.KEY_SEQUENCE
+        self.known = re.compile("[^\0]{%d,}" % self.block)
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, kind)
         for key, held in places.items():
             self.found.add_word(key, held)
@@ -262,12 +264,24 @@ class Automaton:
         key = tuple([get(w, other) for w in words])
         return key, np.array(key, np.int64)
 
+    def _hits(self, key):
+        """Blocks found, with the place of their last word.
+
+        A block has only words of the passages, so the automaton reads the runs of such
+        words that are long enough for one, and none of what lies between.
+        """
+        if not self.strings:
+            yield from self.found.iter(key)
+            return
+        for m in self.known.finditer(key):
+            yield from self.found.iter(key, m.start(), m.end())
+
     def covered(self, words: list[bytes], doc_id: int) -> np.ndarray:
         """Which words lie in a stretch of a window or more that an owner of smaller id has too."""
         out = np.zeros(len(words), bool)
         key, ids = self._symbols(words)
         done: dict[tuple[int, int], int] = {}  # passage and diagonal: where the last stretch ended
-        for end, held in self.found.iter(key):
+        for end, held in self._hits(key):
             start = end - self.block + 1
             for p, at in held:
                 theirs, passage, owner = self.passages[p]
