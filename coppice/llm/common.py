@@ -64,10 +64,15 @@ def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def shard_count(df: DataFrame, bytes_each: int) -> int:
-    """Shards so that each holds about ``bytes_each`` of stored input, never fewer than shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-planned_bytes(df) // bytes_each))
+def shard_count(docs: DataFrame, least: int, bytes_each: int) -> int:
+    """Shards so that each holds about ``bytes_each`` of stored text, but no fewer than ``least``.
+
+    The planner knows the size of files; where it does not know a table's, the text is measured.
+    """
+    size = planned_bytes(docs.select("doc_id", "text"))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(least, -(-size // bytes_each))
 
 
 __all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "checked_broadcast", "column_or_null", "cut", "keep_rows", "planned_bytes", "shard_count", "small_batches", "without"]

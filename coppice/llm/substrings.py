@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import checked_broadcast, cut, planned_bytes, small_batches
+from coppice.llm.common import checked_broadcast, cut, shard_count, small_batches
 
 WINDOW, PHRASE = 50, 16
 #: Stored bytes of documents in a shard; their text, words and automaton are in one task's memory.
@@ -396,7 +396,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(4 * parts, -(-planned_bytes(docs.select("doc_id", "text")) // shard_bytes))
+    shards = shard_count(docs, 4 * parts, shard_bytes)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
