@@ -9,6 +9,8 @@ from coppice.plans.fixpoint import cut, planned_bytes
 
 #: A side with at most so many rows is broadcast when a row holds a few numbers (16 MB or so).
 BROADCAST_ROWS = 500_000
+#: The same side takes up no more than so many bytes as a table.
+BROADCAST_BYTES = 32 << 20
 #: Texts reach Python in batches of at most so many rows, about 4 MB of ordinary prose.
 BATCH_ROWS = 1_000
 
@@ -79,5 +81,6 @@ __all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "LOWER", "UPPER", "checked_broadcast"
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if a count shows that it is small, else as it is; give a cut table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` to be broadcast if its files and a count show that it is small, else as it is; give a cut table."""
+    small = planned_bytes(df) <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df

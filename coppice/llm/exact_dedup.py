@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import LOWER, UPPER, cut, keep_rows, small_batches
+from coppice.llm.common import LOWER, UPPER, checked_broadcast, cut, keep_rows, small_batches
 
 # fixed values: primes under 2^31 for which 256 has a long period
 PRIMES = (2147483629, 2147483587, 2147483563, 2147483549)
@@ -125,7 +125,7 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = cut(fingerprints(docs, chunk), "fingerprints")
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("o"), F.col("row_id").alias("r"))
     groups = cut(rows.groupBy("fp").agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-    members = rows.join(groups, "fp").select(
+    members = rows.join(checked_broadcast(groups), "fp").select(
         "doc_id",
         "xx",
         "fp",
@@ -141,12 +141,14 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "left",
     ).select("row_id", "doc_id", "xx", "fp", "sha", F.when(F.col("alone"), F.col("sha")).otherwise("").alias("class"))
     rows = cut(rows, "classes")
-    final = cut(rows.groupBy("fp", "class").agg(F.max(order).alias("top"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "kept")
-    return rows.join(final, ["fp", "class"]).select(
+    found = rows.groupBy("fp", "class").agg(F.max(order).alias("top"), F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    # a row alone in its group needs no partner; the groups that are left are few
+    found = checked_broadcast(cut(found.where("n > 1"), "kept"))
+    return rows.join(found, ["fp", "class"], "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("row_id") == F.col("top.r")).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row_id") == F.col("top.r"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "xx",
     )
