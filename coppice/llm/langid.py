@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,16 +95,20 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(FEATURES, np.int64)
+    df, rows = np.zeros(FEATURES, np.int64), Counter()
     for b in _slices(batches):
         df += (ngram_counts(b.column("text").to_pylist()) > 0).sum(axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES)), pa.array(df)], names=["feature", "df"])
+        rows.update(b.column("lang").to_pylist())
+    languages = pa.array([None] * FEATURES + list(rows), pa.string())
+    features = pa.array(list(range(FEATURES)) + [None] * len(rows), pa.int64())
+    counts = pa.array(df.tolist() + list(rows.values()), pa.int64())
+    yield pa.RecordBatch.from_arrays([languages, features, counts], names=["lang", "feature", "n"])
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _slices(batches):
         rows = [x.astype("<f4").tobytes() for x in ngram_counts(b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(rows, pa.binary())], names=["lang", "place", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("hash"), b.column("doc_id"), pa.array(rows, pa.binary())], names=["lang", "hash", "doc_id", "counts"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, turns: int = TURNS) -> np.ndarray:
@@ -128,15 +133,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    df = rows.select("text").mapInArrow(_document_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-    df = {r["feature"]: r["df"] for r in df.collect()}
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id"))
-    few = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= sample)
-    chosen = rows.join(F.broadcast(few), ["doc_id", "lang"]).select("lang", "place", "text")
-    got = chosen.mapInArrow(_sample_counts, "lang string, place int, counts binary").orderBy("lang", "place", "counts").collect()
-    if not got:
+    counted = rows.select("text", "lang").mapInArrow(_document_frequencies, "lang string, feature long, n long")
+    counted = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature and language
+    df = {r["feature"]: r["n"] for r in counted if r["lang"] is None}
+    size = {r["lang"]: r["n"] for r in counted if r["lang"] is not None}
+    if not size:
         return Model()
-    total = rows.count()
+    # twice as many rows as wanted pass the hash; the window below then sees no more than these
+    near = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, (2.0 * sample + 50) / n))))[F.col("lang")]
+    hashed = F.xxhash64(F.lit("langid"), "doc_id")
+    unit = hashed.cast("double") / float(1 << 64) + 0.5
+    few = rows.select("lang", hashed.alias("hash"), "doc_id", "text").where(unit <= near)
+    few = few.mapInArrow(_sample_counts, "lang string, hash long, doc_id long, counts binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "counts"))
+    got = few.withColumn("place", place).where(F.col("place") <= sample).orderBy("lang", "place").select("lang", "counts").collect()
+    total = sum(size.values())
     idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(FEATURES)], np.float32)
     languages = sorted({r["lang"] for r in got})
     found, of, least = [], [], []
