@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cut, keep_rows, small_batches
+from coppice.llm.common import checked_broadcast, cut, keep_rows, small_batches
 from coppice.operators.components import component_labels
 
 MAX_BITS = 3
@@ -217,13 +217,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows; other columns are ignored.
     """
     rows = cut(fingerprint_table(docs), "simhash")
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = component_labels(fingerprint_links(fps)).withColumnRenamed("v", "fp")
-    classes = fps.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # a fingerprint of one row without a link is a component of its own and needs no partner
+    classes = fps.join(labels, "fp", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fp"))
     classes = cut(classes, "classes")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(classes.join(least, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "xx", "fp", "component_id")
+    named = cut(classes.join(least, "component").select("fp", "component_id", F.lit(True).alias("named")), "named")
+    component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(checked_broadcast(named), "fp", "left").select("doc_id", "xx", "fp", component.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
