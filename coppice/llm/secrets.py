@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cut, small_batches, without
+from coppice.llm.common import checked_broadcast, cut, small_batches, without
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         F.col("text").cast("string").alias("text"),
         F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"),
     )
-    copies = readers.where("rows > 1").join(paths, "blob").where(~F.col("doc_id").eqNullSafe(F.col("reader")))
+    repeated = checked_broadcast(cut(readers.where("rows > 1"), "repeated"))
+    copies = paths.join(repeated, "blob").where(~F.col("doc_id").eqNullSafe(F.col("reader")))
     rows = without(rows, cut(copies.select("doc_id", "blob").distinct(), "copies"), ["doc_id", "blob"])
     if ledger is None:
         rows = rows.withColumn("rules", keys)
@@ -156,7 +157,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     by_place = F.struct("s.start", order[F.col("s.rule")].alias("o"), F.col("s.end").alias("end"), F.col("s.rule").alias("rule"))
     found = held.groupBy("blob").agg(F.array_sort(F.collect_set(by_place)).alias("spans"))
     found = cut(found.select("blob", F.transform("spans", lambda x: F.struct(x["rule"], x["start"], x["end"])).cast(_SPAN).alias("spans")), "found")
-    out = paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+    out = paths.join(checked_broadcast(found), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
     return out, whole
 
 
