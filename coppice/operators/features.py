@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators.edges import canonical, degrees, in_out_degrees
 from coppice.operators.structure import clustering, connected, core_numbers, four_cliques, four_cycles, return_probabilities, strong_components, triangles
+from coppice.plans.fixpoint import cut
 
 EPS = 1e-8
 
@@ -26,8 +27,13 @@ def _joined(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return out.select("graph_id", "v", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c not in ("graph_id", "v")))
 
 
-def _rest(n: Column | str) -> Column:
-    return F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
+def _once(edges: DataFrame, of: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame]:
+    """Both tables written once, since many parts read them."""
+    return cut(canonical(edges, directed), "edges"), cut(of.select("graph_id", "v").distinct(), "vertices")
+
+
+def _rest(n: str) -> Column:
+    return F.greatest(F.col(n) - 1, F.lit(1)).cast("double")
 
 
 def _log_norm(c: str) -> Column:
@@ -73,7 +79,8 @@ def v2(edges: DataFrame, of: DataFrame, directed: bool) -> DataFrame:
 
     Directed degrees leave loops out; motifs and cores are those of the undirected projection.
     """
-    first = directed_v1(canonical(edges, True), of) if directed else undirected_v1(edges, of)
+    edges, of = _once(edges, of, directed)
+    first = directed_v1(edges, of) if directed else undirected_v1(edges, of)
     base = _joined(_with_n(of), [first, _walks(edges, of, directed, (2, 3, 4, 5)), *_motifs(edges)])
     return base.select(
         "graph_id",
@@ -93,6 +100,7 @@ V3_STEPS = (2, 3, 4, 6, 8, 12, 16)
 def v3(edges: DataFrame, of: DataFrame, directed: bool) -> DataFrame:
     """16 channels: three degree ratios, in-out balance, seven return probabilities, component size and
     whether it holds a cycle by more than one vertex, cycle score, triangles and core number, each by its maximum."""
+    edges, of = _once(edges, of, directed)
     if directed:
         e = canonical(edges, True)
         d = in_out_degrees(e)

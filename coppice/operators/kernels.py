@@ -20,12 +20,12 @@ from coppice.plans.fixpoint import cut, signature
 
 def confluent_kernel(edges: DataFrame, directed: bool, how: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Kernel edges and forced vertices by the rules whose result does not depend on their order."""
-    e = canonical(edges, directed, loops=True)
+    e = cut(canonical(edges, directed, loops=True), "edges")
     forced = self_loops(e)
     rest = without_vertices(e, forced)
     if directed:
         # cycles lie within components; peeling first makes the component search small
-        inner = peel(rest, True, sinks=True, how=how)
+        inner = cut(peel(rest, True, sinks=True, how=how), "peeled")
         return _within_components(inner, how), forced
     return peel(rest, False, how=how), forced
 

@@ -21,6 +21,8 @@ from coppice.plans.fixpoint import cut, drop_cut, fixpoint
 
 #: A graph with more edges than this is not handed to one worker.
 WORKER_EDGES = 200_000
+#: For components alone, which bit sets are slow at, the bound is lower.
+WORKER_VERTEX_SETS = 5_000
 
 
 def graph_rows(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -58,18 +60,26 @@ def numbered(edges: list[tuple[int, int]], directed: bool) -> tuple[G.Graph, lis
     return G.Graph(len(ids), ((at[a], at[b]) for a, b in edges), directed), ids
 
 
-def is_small(edges: DataFrame) -> bool:
-    """Whether every graph of the table fits a worker."""
-    most = edges.groupBy("graph_id").count().agg(F.max("count")).first()[0]
-    return (most or 0) <= WORKER_EDGES
+def is_small(edges: DataFrame, most: int = WORKER_EDGES) -> bool:
+    """Whether no graph of the table has more than ``most`` edges."""
+    largest = edges.groupBy("graph_id").count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= most
 
 
 # ---------------------------------------------------------------- components
 
 
-def connected(edges: DataFrame, of: DataFrame | None = None, keys=KEYS) -> DataFrame:
+def _component_rows(g: int, edges: list[tuple[int, int]]) -> list[tuple]:
+    graph, ids = numbered(edges, False)
+    return [(g, ids[v], ids[next(G.bits(part))]) for part in G.components(graph, graph.all) for v in G.bits(part)]
+
+
+def connected(edges: DataFrame, of: DataFrame | None = None, keys=KEYS, how: str = "auto") -> DataFrame:
     """``(keys, v, component)``: smallest vertex reachable; vertices of ``of`` without edges are their own."""
-    labels = component_labels(edges, keys=tuple(keys))
+    if tuple(keys) == KEYS and (how == "worker" or (how == "auto" and is_small(edges, WORKER_VERTEX_SETS))):
+        labels = per_graph(graph_rows(edges.select(*KEYS, "src", "dst").distinct()), _component_rows, "graph_id long, v long, component long")
+    else:
+        labels = component_labels(edges, keys=tuple(keys))
     if of is None:
         of = vertices(edges, keys)
     return of.join(labels, [*keys, "v"], "left").select(*keys, "v", F.coalesce("component", "v").alias("component"))
