@@ -206,6 +206,21 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_batches, "src long, dst long")
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with ``root``, the smallest fingerprint of the component: unlike ``component_id`` never null or shared."""
+    rows = cut(fingerprint_table(docs), "simhash")
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    labels = component_labels(fingerprint_links(fps)).withColumnRenamed("v", "fp")
+    # a fingerprint of one row without a link is a component of its own and needs no partner
+    classes = fps.join(labels, "fp", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fp"))
+    classes = cut(classes, "classes")
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(classes.join(least, "component").select("fp", "component_id", F.col("component").alias("named")), "named")
+    component = F.when(F.col("named").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    found = rows.join(checked_broadcast(named), "fp", "left")
+    return found.select("doc_id", "xx", "fp", component.alias("component_id"), F.coalesce("named", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, xx, fp, component_id``.
 
@@ -216,28 +231,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows share a fingerprint and so a component.  An empty table gives no
     rows; other columns are ignored.
     """
-    rows = cut(fingerprint_table(docs), "simhash")
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    labels = component_labels(fingerprint_links(fps)).withColumnRenamed("v", "fp")
-    # a fingerprint of one row without a link is a component of its own and needs no partner
-    classes = fps.join(labels, "fp", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fp"))
-    classes = cut(classes, "classes")
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(classes.join(least, "component").select("fp", "component_id", F.lit(True).alias("named")), "named")
-    component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(checked_broadcast(named), "fp", "left").select("doc_id", "xx", "fp", component.alias("component_id"))
+    return _labelled(docs).drop("root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as they are, with the smallest doc_id of their component."""
-    found = near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each component one row of ``docs``, as it is: the one with the smallest doc_id; null ids come last.
+
+    Components are told apart by fingerprints, as rows of several may share an id or have none.
+    """
+    found = _labelled(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     # of rows with one doc_id in one component a single one stays
-    found = cut(found.select("doc_id", "xx", "component_id", "kept"), "found")
-    one = found.where("kept").groupBy("component_id").agg(F.min("xx").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    one = cut(one.select(F.col("component_id").alias("c"), "one"), "repeated")
+    found = cut(found.select("doc_id", "xx", "root", "kept"), "found")
+    one = found.where("kept").groupBy("root").agg(F.min("xx").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = cut(one.select("root", "one"), "repeated")
     if one.limit(1).count():
-        found = found.join(one, F.col("component_id").eqNullSafe(F.col("c")), "left")
-        repeat = F.row_number().over(Window.partitionBy("component_id", "doc_id", "xx").orderBy("xx"))
+        found = found.join(one, "root", "left")
+        repeat = F.row_number().over(Window.partitionBy("root", "doc_id", "xx").orderBy("xx"))
         found = found.withColumn("kept", F.col("kept") & (F.col("one").isNull() | ((F.col("xx") == F.col("one")) & (repeat == 1))))
         found = cut(found, "found")
     return keep_rows(docs, found)

@@ -214,3 +214,15 @@ def test_representatives_are_one_for_each_component(docs, rows):
     got = simhash.representatives(docs).collect()
     want = {c for *_, c in brute_components([(r[0], brute_simhash(r[1])) for r in rows])}
     assert sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_representatives_without_an_id_of_their_own(spark):
+    """Unrelated rows with null ids or one reused id are components each; repeats and near copies of them are not."""
+    r = random.Random(29)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(1, texts[7]), (2, texts[8])]
+    rows += [(None, texts[0]), (None, texts[1].upper()), (7, texts[4]), (None, texts[7]), (3, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.text.lower()) for x in simhash.representatives(df).collect()]
+    want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (3, texts[5]), (7, texts[6]), (1, texts[7]), (2, texts[8])]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
