@@ -11,6 +11,7 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +21,8 @@ from coppice.operators import analytics as A
 
 # fixed values: extensions of graph files; files without one count too
 GRAPH_GLOB = "{*.txt,*.gr,*.edges,*.edgelist,*.el,*.graph,*.gz,[!.]*}"
-#: Bytes of an archive's member that are taken apart in one task.
-MEMBER_BYTES = 1 << 30
+#: Characters of an archive's member that are held and sent on at once.
+MEMBER_CHARS = 8 << 20
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -80,23 +81,44 @@ def read_metis(spark: SparkSession, path: str) -> DataFrame:
     return near.select("path", "src", (F.col("dst").cast("long") - 1).alias("dst"))
 
 
+def _members(data: bytes) -> Iterator[tuple[str, IO[bytes]]]:
+    if zipfile.is_zipfile(io.BytesIO(data)):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    yield i.filename, z.open(i)
+    else:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            yield from ((m.name, t.extractfile(m)) for m in t if m.isfile())
+
+
+def _line_blocks(member: IO[bytes]) -> Iterator[list[str]]:
+    """A member's lines in blocks of about ``MEMBER_CHARS``, so that its size does not matter; one line is held whole."""
+    lines, held = [], 0
+    with io.TextIOWrapper(member, "utf-8", "replace") as text:
+        for long in text:
+            lines += [x.strip() for x in long.splitlines()]
+            held += len(long)
+            if held >= MEMBER_CHARS:
+                yield lines
+                lines, held = [], 0
+    if lines:
+        yield lines
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, src, dst`` from zip and tar archives of edge lists; a path is ``archive!member``."""
+    """``path, src, dst`` from zip and tar archives of edge lists; a path is ``archive!member``.
 
-    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and i.file_size <= MEMBER_BYTES)
-        else:
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile() and m.size <= MEMBER_BYTES)
+    Members are unpacked as streams, whatever their size.  The archive itself is a row:
+    Spark raises an error where its packed bytes are over ``spark.sql.sources.binaryFile.maxLength``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                for name, data in members(path, content):
-                    lines = [x.strip() for x in data.decode("utf-8", "replace").splitlines()]
-                    yield pd.DataFrame({"path": f"{path}!{name}", "line": lines})
+                for name, member in _members(content):
+                    for lines in _line_blocks(member):
+                        yield pd.DataFrame({"path": f"{path}!{name}", "line": lines})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return _parsed(files.mapInPandas(run, "path string, line string"))

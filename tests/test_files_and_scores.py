@@ -52,6 +52,34 @@ def test_gzip_and_archives(spark, tmp_path):
     assert rows(files.read_archives(spark, str(tmp_path / "b")).select("src", "dst")) == [(0, 1), (0, 1), (1, 0)]
 
 
+@pytest.mark.parametrize("kind", ["zip", "tar"])
+def test_archive_members_of_over_a_gigabyte(spark, tmp_path, kind):
+    blank, blanks = b" " * ((1 << 20) - 1) + b"\n", (1 << 10) + 1
+
+    class Text(io.RawIOBase):
+        """An edge, more than 1 GiB of blank lines, an edge."""
+
+        def __init__(self):
+            self.parts = iter([b"0 1\n", *[blank] * blanks, b"1 2"])
+            self.left = b""
+
+        def read(self, n):
+            while len(self.left) < n and (part := next(self.parts, None)):
+                self.left += part
+            out, self.left = self.left[:n], self.left[n:]
+            return out
+
+    if kind == "zip":
+        with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("e.txt", "w", force_zip64=True) as f:
+            f.writelines(iter(lambda t=Text(): t.read(1 << 20), b""))
+    else:
+        with tarfile.open(tmp_path / "x.tar.gz", "w:gz", compresslevel=1) as t:
+            info = tarfile.TarInfo("e.txt")
+            info.size = 4 + len(blank) * blanks + 3
+            t.addfile(info, Text())
+    assert rows(files.read_archives(spark, str(tmp_path)).select("src", "dst")) == [(0, 1), (1, 2)]
+
+
 def test_metis_counts_blank_lines(spark, tmp_path):
     put(tmp_path, "g.graph", "% comment\n4 3 0\n2 3\n\n% between\n4\n\n")
     assert rows(files.read_metis(spark, str(tmp_path)).select("src", "dst")) == [(0, 1), (0, 2), (2, 3)]
