@@ -395,6 +395,25 @@ def kernelize(g: Graph) -> tuple[Graph, int, int]:
     return h, alive, forced
 
 
+def kernel_pieces(g: Graph, small: int) -> tuple[list[tuple[Graph, int]], int]:
+    """Reduced components as (graph, vertices), and the forced vertices; one over ``small`` neither reduces nor splits further."""
+    todo, forced, out = [g], 0, []
+    while todo:
+        h, alive, more = kernelize(todo.pop())
+        forced |= more
+        parts = components(h, alive)
+        for part in parts:
+            if len(parts) == 1 or part.bit_count() <= small:
+                out.append((h, part))
+                continue
+            # without the edges between components the rules may reach further
+            inner = Graph(h.n, (), h.directed)
+            inner.out = [x & part if part >> v & 1 else 0 for v, x in enumerate(h.out)]
+            inner.into = [x & part if part >> v & 1 else 0 for v, x in enumerate(h.into)]
+            todo.append(inner)
+    return out, forced
+
+
 def solve_kma(g: Graph, seed: int = 42, population: int = 20, generations: int = 100, patience: int = 20) -> int:
     """Kernel first, memetic search on what is left."""
     h, alive, forced = kernelize(g)

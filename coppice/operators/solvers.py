@@ -1,8 +1,10 @@
 """Feedback vertex sets: exact and heuristic searches, one graph or component per row.
 
 A search is not relational, so it runs in workers, keyed by graph or, with
-``split``, by the components of the kernel, whose least sizes add up.  A piece with more
-vertices than ``EXACT_VERTICES`` goes to the heuristic and says so in ``status``.
+``solve_by_component``, by components, whose least sizes add up.  Exact searches take a graph
+of more than ``EXACT_VERTICES`` vertices by the components of its kernel; one that still has more
+goes to the heuristic, and ``status`` and ``bound`` say so.  ``exact_vertices`` sets another limit;
+with None the search is exact whatever it takes, which the registered queries ask for.
 """
 
 from __future__ import annotations
@@ -20,27 +22,50 @@ EXACT = ("bst", "ic", "brute")
 SOLUTION = "graph_id long, fvs_size long, solution array<long>, valid boolean, minimal boolean, bound long, status string"
 
 
-def _solve(directed: bool, algo: str, options: dict):
+def _solve(directed: bool, algo: str, options: dict, exact_vertices: int | None):
+    small = EXACT_VERTICES if exact_vertices is None else exact_vertices
+
+    def exactly(graph: G.Graph) -> tuple[int, int, bool]:
+        """Solution, lower bound, and whether the solution is a least one."""
+        if graph.n <= small:
+            x = G.SOLVERS[algo](graph)
+            return x, x.bit_count(), True
+        pieces, x = G.kernel_pieces(graph, small)
+        bound, exact = x.bit_count(), True
+        for h, part in pieces:
+            if exact_vertices is None or part.bit_count() <= small:
+                found = G.SOLVERS[algo](h, alive=part)
+                bound += found.bit_count()
+            else:
+                found, exact = G.solve_memetic(h, alive=part, **options), False
+                bound += G.packing_bound(h, part)
+            x |= found
+        return (x if exact else G.minimal(graph, x)), bound, exact
+
     def work(g: int, edges: list[tuple[int, int]]) -> list[tuple]:
         graph, ids = numbered(edges, directed)
-        name = algo if algo not in EXACT or graph.n <= EXACT_VERTICES else "kma"
-        x = G.SOLVERS[name](graph, **({} if name in EXACT or name == "greedy" else options))
+        if algo in EXACT:
+            x, bound, exact = exactly(graph)
+        else:
+            x, bound, exact = G.SOLVERS[algo](graph, **({} if algo == "greedy" else options)), G.packing_bound(graph, graph.all), False
         valid = G.acyclic(graph, graph.all & ~x)
         minimal = valid and G.minimal(graph, x) == x
-        bound = x.bit_count() if name in EXACT else G.packing_bound(graph, graph.all)
-        return [(g, x.bit_count(), [ids[v] for v in G.bits(x)], valid, minimal, bound, "EXACT" if name in EXACT else "HEURISTIC")]
+        return [(g, x.bit_count(), [ids[v] for v in G.bits(x)], valid, minimal, bound, "EXACT" if exact else "HEURISTIC")]
 
     return work
 
 
-def solve(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, **options) -> DataFrame:
+def solve(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, exact_vertices: int | None = EXACT_VERTICES, **options) -> DataFrame:
     """``SOLUTION`` rows, one per graph (of ``ids``, if given: graphs without edges have size 0)."""
     rows = graph_rows(canonical(edges, directed, loops=True), ids)
-    return per_graph(rows, _solve(directed, algo, options), SOLUTION)
+    return per_graph(rows, _solve(directed, algo, options, exact_vertices), SOLUTION)
 
 
-def solve_by_component(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, how: str = "auto", **options) -> DataFrame:
-    """``(graph_id, fvs_size, pieces)``: sum of the pieces' sizes; each strong or plain component is a task's row."""
+def solve_by_component(
+    edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, how: str = "auto", exact_vertices: int | None = EXACT_VERTICES, **options
+) -> DataFrame:
+    """``(graph_id, fvs_size, pieces, bound, status)``: sums of the pieces' sizes and bounds; each strong or plain component
+    is a task's row.  ``status`` is EXACT where all pieces are."""
     e = cut(canonical(edges, directed, loops=True), "edges")
     e = cut(peel(e, directed, sinks=directed, how=how), "peeled")
     labels = cut(strong_components(e, how).withColumnRenamed("scc", "component") if directed else connected(e), "labels")
@@ -50,13 +75,15 @@ def solve_by_component(edges: DataFrame, directed: bool, algo: str = "bst", ids:
         b = labels.select("graph_id", F.col("v").alias("dst"), F.col("component").alias("other"))
         inner = inner.join(b, ["graph_id", "dst"]).where("piece = other")
     rows = inner.groupBy("graph_id", "piece").agg(F.collect_list(F.struct("src", "dst")).alias("edges")).select(F.struct("graph_id", "piece").alias("k"), "edges")
-    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options), SOLUTION.replace("graph_id long", "graph_id string"))
-    parts = found.select(F.get_json_object("graph_id", "$.graph_id").cast("long").alias("graph_id"), "fvs_size")
-    sizes = parts.groupBy("graph_id").agg(F.sum("fvs_size").alias("fvs_size"), F.count(F.lit(1)).alias("pieces"))
+    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options, exact_vertices), SOLUTION.replace("graph_id long", "graph_id string"))
+    parts = found.select(F.get_json_object("graph_id", "$.graph_id").cast("long").alias("graph_id"), "fvs_size", "bound", "status")
+    # of the two words HEURISTIC is the larger one
+    sizes = parts.groupBy("graph_id").agg(F.sum("fvs_size").alias("fvs_size"), F.count(F.lit(1)).alias("pieces"), F.sum("bound").alias("bound"), F.max("status").alias("status"))
     if ids is None:
         ids = edges.select("graph_id").distinct()
     zero = F.lit(0).cast("long")
-    return ids.select("graph_id").distinct().join(sizes, "graph_id", "left").select("graph_id", F.coalesce("fvs_size", zero).alias("fvs_size"), F.coalesce("pieces", zero).alias("pieces"))
+    counts = (F.coalesce(name, zero).alias(name) for name in ("fvs_size", "pieces", "bound"))
+    return ids.select("graph_id").distinct().join(sizes, "graph_id", "left").select("graph_id", *counts, F.coalesce("status", F.lit("EXACT")).alias("status"))
 
 
 def greedy(edges: DataFrame, directed: bool, by: str = "degree", max_iter: int = 100_000) -> DataFrame:

@@ -147,3 +147,24 @@ def test_logistic_model_learns(spark):
     t = spark.createDataFrame([(i / 100.0, int(i > 50)) for i in range(100)], "x double, y int")
     model = scoring.train_logistic(t, ["x"])
     assert model.coefficients[0] > 0
+
+
+def _cliques(g, size, copies):
+    return [(g, size * i + a, size * i + b) for i in range(copies) for a in range(size) for b in range(a)]
+
+
+def test_exact_searches_of_graphs_over_the_limit(spark):
+    """Only a component of the kernel that is over the limit goes to the heuristic, and the result says so."""
+    wheel = [(3, 0, i) for i in range(1, 71)] + [(3, i, i % 70 + 1) for i in range(1, 71)]
+    graphs = [(1, i, (i + 1) % 70) for i in range(70)] + _cliques(2, 4, 20) + wheel
+    e = spark.createDataFrame(graphs, "graph_id long, src long, dst long")
+    exact = [(1, 1, 1, "EXACT"), (2, 40, 40, "EXACT"), (3, 2, 2, "EXACT")]
+    columns = ["graph_id", "fvs_size", "bound", "status"]
+    for search in (solvers.solve, solvers.solve_by_component):
+        assert rows(search(e, False, "bst", exact_vertices=None).select(columns)) == exact
+        got = rows(search(e, False, "bst").select(columns))
+        assert got[:2] == exact[:2]
+        assert got[2][3] == "HEURISTIC" and got[2][2] <= 2 <= got[2][1]
+    both = spark.createDataFrame([(g, a, b) for g, x, y in graphs for a, b in ((x, y), (y, x))], "graph_id long, src long, dst long")
+    found = solvers.solve(both.where("graph_id = 2"), True, "ic")
+    assert found.select("fvs_size", "valid", "minimal", "status").first() == (60, True, True, "EXACT")
