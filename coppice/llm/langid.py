@@ -30,7 +30,7 @@ SAMPLE = 400
 CENTROIDS = 4
 TURNS = 10
 #: A text is rejected below this share of the smallest cosine in its language's sample.
-REJECT = 0.25
+REJECT = 0.5
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")

@@ -1,6 +1,8 @@
 """Secrets, personal data, language ID and top-k search."""
 
+import base64
 import hashlib
+import os
 import random
 import re
 
@@ -173,6 +175,21 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert sorted(langid.identify(df).collect()) == sorted(langid.identify(spoilt).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+def test_texts_of_no_known_language_are_rejected(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_documents(documents)
+    r = random.Random(3)
+    odd = [
+        " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(3, 9))) for _ in range(120)),
+        base64.b64encode(bytes(r.randrange(256) for _ in range(900))).decode(),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    ]
+    assert langid.predict(odd, model)[2].all()
+    assert not langid.predict([x.text for x in documents.select("text").collect()], model)[2].any()
+
+
 def test_accepted_rows_are_unchanged(docs):
     from pyspark.sql import functions as F
 
