@@ -434,7 +434,7 @@ def _solver_queries() -> None:
                 """Properties that any run must have: valid, minimal, no smaller than the least size."""
                 e = cut((_directed(spark, sf) if directed else _undirected(spark, sf)).select("graph_id", "src", "dst"), "edges")
                 ids = D.event_graph_ids(spark, sf)
-                found = solvers.solve(e, directed, algo, ids, **({} if algo in ("greedy", "dkma") else {"generations": 20}))
+                found = solvers.solve(e, directed, algo, ids)
                 best = solvers.solve(e, directed, "bst", ids, exact_vertices=None).select("graph_id", F.col("fvs_size").alias("least"))
                 j = found.join(best, "graph_id")
                 minimal = F.col("minimal") if algo != "greedy" else F.lit(True)
@@ -519,7 +519,7 @@ def consensus_commit(spark, sf):
     ids = D.event_graph_ids(spark, sf)
     members = None
     for seed in (1, 2, 3):
-        x = solvers.solve(e, True, "ma", ids, seed=seed, generations=10, population=6).select("graph_id", F.lit(seed).alias("member"), F.explode("solution").alias("v"))
+        x = solvers.solve(e, True, "ma", ids, seed=seed).select("graph_id", F.lit(seed).alias("member"), F.explode("solution").alias("v"))
         members = x if members is None else members.unionByName(x)
     n = D.event_vertices(spark, sf).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     return solvers.consensus(cut(members, "members"), n)

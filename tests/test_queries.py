@@ -38,3 +38,15 @@ def test_every_query_is_callable_and_sql_has_a_query():
     q = entry.queries()
     assert all(callable(f) for f in q.values())
     assert set(entry.oracle_sql()) <= set(q)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+@pytest.mark.parametrize("name", ["ma_dfvs_valid", "kma_fvs_valid", "consensus_commit"])
+def test_heuristic_queries_run_with_the_defaults(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from coppice.operators import solvers
+
+    real, given = solvers.solve, []
+    monkeypatch.setattr(solvers, "solve", lambda *a, **options: given.append(set(options)) or real(*a, **options))
+    entry.queries()[name](spark, SF)
+    assert given and not set().union(*given) & {"generations", "population", "patience"}
