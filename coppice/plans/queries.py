@@ -413,7 +413,7 @@ def kernel_bypass_preserves_opt(spark, sf):
 @query("SELECT CAST(0 AS BIGINT) AS graph_id, count(DISTINCT l_partkey) AS forced FROM lineitem WHERE l_partkey = l_suppkey")
 def kernel_forced_count(spark, sf):
     e = D.part_supp(spark, sf).withColumn("dst", F.col("dst") - D.SUPPLIER_OFFSET)
-    forced = E.self_loops(e)
+    forced = kernels.confluent_kernel(e, directed=True)[1]
     return forced.groupBy("graph_id").agg(F.count(F.lit(1)).alias("forced"))
 
 

@@ -50,3 +50,15 @@ def test_heuristic_queries_run_with_the_defaults(spark, monkeypatch, name):
     monkeypatch.setattr(solvers, "solve", lambda *a, **options: given.append(set(options)) or real(*a, **options))
     entry.queries()[name](spark, SF)
     assert given and not set().union(*given) & {"generations", "population", "patience"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_forced_vertices_are_counted_by_the_kernel(spark, duck, monkeypatch):
+    import __spark_entry__ as entry
+    from coppice.operators import kernels
+
+    real, edges = kernels.confluent_kernel, []
+    monkeypatch.setattr(kernels, "confluent_kernel", lambda e, *a, **k: edges.append(e.count()) or real(e, *a, **k))
+    got = entry.queries()["kernel_forced_count"](spark, SF).collect()
+    assert edges == [duck.execute("SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)").fetchone()[0]]
+    assert [tuple(x) for x in got] == duck.execute(entry.oracle_sql()["kernel_forced_count"]).fetchall()
