@@ -211,14 +211,19 @@ def girth(edges: DataFrame, directed: bool) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame, of: DataFrame, max_iter: int = 10_000) -> DataFrame:
-    """``(graph_id, v, level)``: the round in which a vertex has no predecessor left; those behind a cycle do not appear."""
+    """``(graph_id, v, level)``: the round in which a vertex has no predecessor left; those behind a cycle do not appear.
+
+    More than ``max_iter`` levels are an error.
+    """
     left, level, done = cut(of.select("graph_id", "v").distinct(), "level"), 0, []
     e = cut(canonical(edges, directed=True, loops=True), "edges")
-    while level < max_iter:
+    while True:
         blocked = e.select("graph_id", F.col("dst").alias("v")).distinct()
         free = cut(left.join(blocked, ["graph_id", "v"], "left_anti").withColumn("level", F.lit(level).cast("long")), "free")
         if free.isEmpty():
             break
+        if level >= max_iter:
+            raise RuntimeError(f"topological_levels: vertices still free after {max_iter} levels")
         done.append(free)
         left = cut(left.join(free, ["graph_id", "v"], "left_anti"), "level")
         e = cut(e.join(free.select("graph_id", F.col("v").alias("src")), ["graph_id", "src"], "left_anti"), "edges")

@@ -168,3 +168,11 @@ def test_exact_searches_of_graphs_over_the_limit(spark):
     both = spark.createDataFrame([(g, a, b) for g, x, y in graphs for a, b in ((x, y), (y, x))], "graph_id long, src long, dst long")
     found = solvers.solve(both.where("graph_id = 2"), True, "ic")
     assert found.select("fvs_size", "valid", "minimal", "status").first() == (60, True, True, "EXACT")
+
+
+def test_levels_over_the_limit_are_an_error(spark):
+    path = spark.createDataFrame([(1, i, i + 1) for i in range(4)], "graph_id long, src long, dst long")
+    of = spark.createDataFrame([(1, i) for i in range(5)], "graph_id long, v long")
+    assert rows(S.topological_levels(path, of, max_iter=5)) == [(1, i, i) for i in range(5)]
+    with pytest.raises(RuntimeError, match="4 levels"):
+        S.topological_levels(path, of, max_iter=4)
