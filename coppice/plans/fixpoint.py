@@ -11,17 +11,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is named (tests)."""
+    """The folder that all executors share.
+
+    Where the session names none, a temporary one is set if driver and executors are one
+    process (tests); on a cluster that is an error, as executors do not share local disks.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="coppice-"))
         named = sc.getCheckpointDir()
     return named
@@ -36,15 +43,51 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables written inside each open ``scope``.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: same rows, no lineage."""
+    """Write ``df`` to the shared folder and read it again: same rows, no lineage.
+
+    The files go when the innermost open ``scope`` ends, or with the process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables cut inside are deleted at the end: nothing lazy that reads them may leave."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+def cut_of(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``cut(make(), name)``, after which the tables that making it cut are deleted."""
+    _SCOPES.append([])
+    try:
+        df = make()
+        inner = _SCOPES.pop()
+        try:
+            return cut(df, name)
+        finally:
+            _SCOPES.append(inner)
+    finally:
+        for spark, path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
     spark = df.sparkSession
