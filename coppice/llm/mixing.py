@@ -1,30 +1,42 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target in words: shares of a total by weight, no more than a cap,
-with the excess reshared by weight (water-filling).  A source that needs ``r`` copies of
-each document gives every document ``floor(r)`` certain copies.  The rest of its target
-is a sample of fixed size, in words, with unequal inclusion odds: documents are ranked
-by random odds divided by inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in
-that order as long as they fit; one more closes the gap that is left, if any comes
-nearer to it than none.
+with the excess reshared by weight (water-filling).  Within a source a document is wanted
+``e`` times, in proportion to its measure (by default the number of binary digits of its
+word count, so that long documents come more often than short ones), at most ``cap``
+times, so that the words wanted add up to the target.  The whole part of ``e`` are certain
+copies.  Its fraction is the inclusion probability ``p`` of one more copy: documents are
+ranked by random odds divided by inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and
+taken in that order as long as they fit into what the certain copies leave of the target,
+so the sample is of fixed size in words; one more document closes the gap that is left,
+if any comes nearer to it than none.
 
 No source is ever sorted as a whole.  Ranks are cut into buckets, the buckets' sums tell
-in which one the target falls, and only that bucket's documents are put in order.
+in which one the target falls, that bucket is cut again while it holds many documents,
+and only the last one's documents are put in order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import NO_ID, checked_broadcast, column_or_null, cut
+from coppice.llm.common import NO_ID, checked_broadcast, column_or_null, cut, held_rows, id_of, released, text_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 SEED = 42
-#: Buckets of a source's ranks; about one in so many of its documents is sorted.
-BUCKETS = 4096
+#: Measures are whole numbers up to this.
+MEASURES = 4096
+#: Buckets into which the ranks of a source are cut at once, and how often at most.
+BUCKETS, LEVELS = 128, 6
+#: A bucket of no more documents is put in order.
+SORTED = 20_000
+
+_ROW = ("id", "xx", "k", "m", "size", "u")
 
 
 def word_count(text: Column) -> Column:
@@ -59,72 +71,130 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return s.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(level, F.lit(0.0))).alias("target"))
 
 
-def _with_place(docs: DataFrame, seed: int, preference: Column | None) -> DataFrame:
-    """``docs`` with what ranks a row: size, random number, preference and tie-breaks, all taken from the row alone."""
-    text = F.col("text").cast("string")
-    return docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-            "_xx": F.xxhash64(F.coalesce(text, F.lit(""))),
-            "_k": F.coalesce(F.concat(F.lit("s"), column_or_null(docs, "source", "string")), F.lit("n")),
-            "_size": word_count(text),
-            "_u": random_unit(F.col("doc_id"), seed),
-            "_pref": F.lit(1.0) if preference is None else preference.cast("double"),
-        }
-    )
-
-
-def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows with their source's target, odds ratio ``_q`` and bucket ``_b``; certain or empty rows have none."""
-    j = rows.join(targets, "_k")
-    q = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")) * F.col("_pref"))
-    j = j.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_size") > 0), q))
-    return j.withColumn("_b", F.least(F.floor(BUCKETS * F.col("_q") / (1 + F.col("_q"))), F.lit(BUCKETS - 1)))
-
-
-_PLACE = ("_q", "_id", "_xx")
-
-
-def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, preference: Column | None) -> tuple[DataFrame, DataFrame]:
-    """Rows without their texts, and one row per source that decides over each of its documents."""
-    rows = cut(_with_place(docs.withColumn("source", column_or_null(docs, "source", "string")), seed, preference).select("source", "_id", "_xx", "_k", "_size", "_u", "_pref"), "sizes")
-    src = source_targets(rows.withColumnRenamed("_size", "size"), weights, share, cap)
-    size = F.greatest("source_size", F.lit(1))
-    src = src.withColumn("_k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    src = src.withColumn("_certain", F.floor(F.col("target") / size))
-    src = src.withColumn("_need", F.col("target") - F.col("_certain") * F.col("source_size"))
-    src = cut(src.withColumn("_p", F.col("_need") / size), "targets")
-    j = _ranked(rows, checked_broadcast(src))
-    place = F.struct(*_PLACE)
-
-    # the bucket in which each source's need falls
-    running = Window.partitionBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    sums = j.where("_b is not null").groupBy("_k", "_b", "_need").agg(F.sum("_size").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(running.orderBy("_b")) - F.col("n"))
-    over = F.struct("_b", "before")
-    edge = sums.groupBy("_k").agg(F.min(F.when(F.col("before") + F.col("n") > F.col("_need"), over)).alias("e"), F.sum("n").alias("all_n"))
-    edge = cut(edge.select("_k", F.coalesce("e._b", F.lit(BUCKETS)).alias("_edge"), F.coalesce("e.before", "all_n").alias("before")), "edge")
-    in_edge = j.join(checked_broadcast(edge), "_k").where("_b = _edge")
-    in_edge = in_edge.withColumn("so_far", F.col("before") + F.sum("_size").over(running.orderBy(*_PLACE)))
-    last = in_edge.where("so_far <= _need").groupBy("_k").agg(F.max(place).alias("_last"), F.max("so_far").alias("so_far"))
-    ranks = edge.join(last, "_k", "left").select("_k", "_edge", "_last", F.coalesce("so_far", "before").alias("so_far"))
-    src = cut(src.join(ranks, "_k", "left").withColumn("_gap", F.col("_need") - F.col("so_far")), "ranks")
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _of_row(docs: DataFrame, seed: int, measure: Column | None) -> dict[str, Column]:
+    """What ranks a row, all taken from the row alone."""
+    size = word_count(docs["text"].cast("string"))
+    m = F.length(F.bin(size)) if measure is None else F.coalesce(F.round(measure.cast("double")), F.lit(1.0))
+    return {
+        "id": id_of(docs),
+        "xx": text_hash(docs),
+        "k": _source_key(column_or_null(docs, "source", "string")),
+        "m": F.greatest(F.lit(1), F.least(F.lit(MEASURES), m)).cast("long"),
+        "size": size,
+        "u": random_unit(docs["doc_id"], seed),
+    }
+
+
+def _wanted(classes: DataFrame, cap: int) -> DataFrame:
+    """``k, m, certain, p, need``: copies of a document of measure m, and the words of its source that are left to the sample.
+
+    ``classes`` holds ``k, m, words, target``, one row per source and measure.  The largest
+    measures reach the cap first; the level is that of the smallest number of them for
+    which the next stays below it.
+    """
+    by_m = Window.partitionBy("k").orderBy(F.col("m").desc())
+    above, rest = by_m.rowsBetween(Window.unboundedPreceding, -1), by_m.rowsBetween(0, Window.unboundedFollowing)
+    capped = F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double")
+    open_ = F.sum(F.col("words") * F.col("m")).over(rest).cast("double")
+    c = classes.withColumn("level", F.when(open_ > 0, (F.col("target") - float(cap) * capped) / open_))
+    fits = F.when(F.col("level") * F.col("m") <= float(cap), F.struct((-F.col("m")).alias("place"), "level"))
+    level = F.min(fits).over(Window.partitionBy("k"))["level"]
+    # without a level that fits all are at the cap
+    e = F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.coalesce(level * F.col("m"), F.lit(float(cap)))))
+    c = c.withColumn("e", F.when(F.col("target") > 0, e).otherwise(F.lit(0.0)))
+    c = c.withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.floor("e"))
+    sure = F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("k"))
+    return c.select("k", "m", "certain", "p", (F.col("target") - sure).alias("need"))
+
+
+def _placed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with their class's columns and their rank ``z`` in (0, 1), which sorts as the ratio of odds does; none where there is no chance."""
+    j = rows.join(classes, ["k", "m"])
+    ours, theirs = F.col("u") * (1 - F.col("p")), F.col("p") * (1 - F.col("u"))
+    return j.withColumn("z", F.when((F.col("p") > 0) & (F.col("size") > 0), ours / (ours + theirs)))
+
+
+def _bucket(z: Column, level: int) -> Column:
+    """Bucket of a rank at a level: powers of two of ``z``, so that buckets nest."""
+    return F.least(F.floor(z * float(BUCKETS ** (level + 1))), F.lit(BUCKETS ** (level + 1) - 1)).cast("long")
+
+
+_PLACE = ("z", "id", "xx")
+
+
+def _edges(ranked: DataFrame, needs: DataFrame) -> DataFrame:
+    """``k, low, high, before``: for each source the stretch of ranks in which its need falls, and the words below it."""
+    edge = needs.select("k", "need", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("long").alias("before"), F.lit(SORTED + 1).cast("long").alias("n"))
+    done = []
+    for level in range(LEVELS):
+        inside = ranked.join(checked_broadcast(edge), "k").where("z >= low and (z < high or high = 1)")
+        sums = inside.groupBy("k", _bucket(F.col("z"), level).alias("b"), "need", "before").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+        # at most as many rows for a source as there are buckets
+        upto = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(upto))
+        over = F.when(F.col("upto") > F.col("need"), F.struct("b", (F.col("upto") - F.col("words")).alias("before"), "docs"))
+        found = sums.groupBy("k", "need").agg(F.min(over).alias("e"), F.max("upto").alias("all_words"))
+        width = float(BUCKETS ** -(level + 1))
+        found = cut(
+            found.select(
+                "k",
+                "need",
+                # where everything fits, nothing is left to put in order
+                F.coalesce(F.col("e.b") * width, F.lit(2.0)).alias("low"),
+                F.coalesce(F.when(F.col("e.b") == BUCKETS ** (level + 1) - 1, F.lit(1.0)).otherwise((F.col("e.b") + 1) * width), F.lit(2.0)).alias("high"),
+                F.coalesce("e.before", "all_words").alias("before"),
+                F.coalesce("e.docs", F.lit(0)).alias("n"),
+            ),
+            "edge",
+        )
+        settled = found if level + 1 == LEVELS else found.where(F.col("n") <= SORTED)
+        done.append(settled)
+        edge = cut(found.where(F.col("n") > SORTED), "open")
+        if edge.isEmpty():
+            break
+    return reduce(DataFrame.union, done).select("k", "low", "high", "before")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, measure: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without their texts, sources with their targets, and the table by source and measure that decides over each document."""
+    rows = docs.select(column_or_null(docs, "source", "string").alias("source"), *(c.alias(n) for n, c in _of_row(docs, seed, measure).items()))
+    rows = cut(rows, "sizes")
+    sources = source_targets(rows.select("source", "size"), weights, share, cap)
+    sources = cut(sources.select(_source_key(F.col("source")).alias("k"), "source_size", "target"), "targets")
+    classes = rows.groupBy("k", "m").agg(F.sum("size").alias("words")).join(checked_broadcast(sources), "k")
+    classes = cut(_wanted(classes, cap), "classes")
+    ranked = _placed(rows.drop("source"), checked_broadcast(classes.drop("need"))).where("z is not null")
+    needs = cut(classes.select("k", "need").distinct(), "needs")
+    edge = cut(_edges(ranked, needs).join(needs, "k"), "edges")
+
+    # the last stretch is put in order
+    place, order = F.struct(*_PLACE), Window.partitionBy("k").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranked.join(checked_broadcast(edge), "k").where("z >= low and (z < high or high = 1)")
+    inside = inside.withColumn("so_far", F.col("before") + F.sum("size").over(order))
+    last = inside.where("so_far <= need").groupBy("k").agg(F.max(place).alias("last"), F.max("so_far").alias("so_far"))
+    ends = edge.join(last, "k", "left").select("k", "low", "last", (F.col("need") - F.coalesce("so_far", "before")).alias("gap"))
+    ends = cut(ends, "ends")
 
     # the document that closes the gap, if one comes nearer than none
-    j = _ranked(rows, checked_broadcast(src))
-    near = F.struct(F.abs(F.col("_gap") - F.col("_size")).alias("off"), place.alias("place"))
-    closing = j.where(F.col("_b").isNotNull() & ~_sampled() & (F.col("_size") < 2 * F.col("_gap"))).groupBy("_k").agg(F.min(near).alias("c"))
-    return rows, cut(src.join(closing.select("_k", F.col("c.place").alias("_closes")), "_k", "left"), "plan")
+    near = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), place.alias("place"))
+    others = ranked.join(checked_broadcast(ends), "k").where(~_sampled() & (F.col("size") < 2 * F.col("gap")))
+    closing = others.groupBy("k").agg(F.min(near)["place"].alias("closes"))
+    ends = cut(ends.join(closing, "k", "left").select("k", "low", "last", "closes"), "plan")
+    return rows, sources, cut(classes.join(checked_broadcast(ends), "k", "left").drop("need"), "plan")
 
 
 def _sampled() -> Column:
-    inside = (F.col("_b") < F.col("_edge")) | ((F.col("_b") == F.col("_edge")) & (F.struct(*_PLACE) <= F.col("_last")))
+    inside = (F.col("z") < F.col("low")) | (F.struct(*_PLACE) <= F.col("last"))
     return F.coalesce(inside, F.lit(False))
 
 
 def _copies() -> Column:
-    extra = _sampled() | F.coalesce(F.struct(*_PLACE) == F.col("_closes"), F.lit(False))
-    return F.when(F.col("_size") > 0, F.col("_certain") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
+    extra = F.col("z").isNotNull() & (_sampled() | F.coalesce(F.struct(*_PLACE) == F.col("closes"), F.lit(False)))
+    return F.when(F.col("size") > 0, F.col("certain") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
 
 
 def mix(
@@ -133,31 +203,34 @@ def mix(
     share: float = SHARE,
     cap: int = CAP,
     seed: int = SEED,
-    preference: Column | None = None,
+    measure: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
-
-    ``preference`` multiplies a document's inclusion odds against others of its source.
-    A null source is a source of its own, after all others.  A null or empty text has
-    size 0 and takes nothing; sources without words have target 0.  Equal ranks go by
-    doc_id, a null one first, then by a hash of the text; repeated rows are taken alike.
-    An empty table gives no rows; other columns are ignored.
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, measure, wanted, copies, taken``.
+
+    ``measure`` says how much a document is wanted against others of its source; it is
+    rounded to a whole number from 1 to ``MEASURES``, and a null one is 1.  ``wanted`` is
+    the expected number of copies.  A null source is a source of its own, after all
+    others.  A null or empty text has size 0 and takes nothing; sources without words
+    have target 0.  Texts of any length count whole.  Equal ranks go by doc_id, a null one
+    first, then by a hash of the text; repeated rows are taken alike, which can pass the
+    target by as many.  An empty table gives no rows; other columns are ignored.
     """
-    rows, plan = _plan(docs, weights, share, cap, seed, preference)
-    j = _ranked(rows, checked_broadcast(plan)).withColumn("copies", _copies())
-    doc_id = F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id")
-    return j.select(doc_id, "source", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    rows, sources, plan = _plan(docs, weights, share, cap, seed, measure)
+    j = _placed(rows, checked_broadcast(plan)).join(checked_broadcast(sources), "k").withColumn("copies", _copies())
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    wanted = (F.col("certain") + F.col("p")).alias("wanted")
+    return j.select(doc_id, "source", "size", "source_size", "target", F.col("m").alias("measure"), wanted, "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, preference: Column | None = None
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, measure: Column | None = None
 ) -> DataFrame:
     """The rows of ``docs``, as they are, each as often as the mix takes it.
 
-    A row's copies follow from the row and its source's line of the plan, so texts
-    neither move nor are joined.
+    A row's copies follow from the row and its line of the plan, so texts neither move
+    nor are joined by key.  Nulls, empty and long texts, ties, repeated rows and an empty
+    table are as in ``mix``; columns of any name pass through unchanged.
     """
-    _, plan = _plan(docs, weights, share, cap, seed, preference)
-    j = _ranked(_with_place(docs, seed, preference), checked_broadcast(plan.drop("source_size", "target"))).withColumn("_copies", _copies())
-    j = j.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return j.select(*docs.columns)
+    _, _, plan = _plan(docs, weights, share, cap, seed, measure)
+    j = _placed(held_rows(docs, **_of_row(docs, seed, measure)), checked_broadcast(plan)).withColumn("copies", _copies())
+    return released(j.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

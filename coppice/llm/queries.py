@@ -102,10 +102,11 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op7_pareto_mixing": r"""
-        WITH d AS (
+        WITH d0 AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                    (CAST('0x' || substr(md5('42:' || doc_id), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
             FROM documents),
+        d AS (SELECT *, length(bin(size)) AS m FROM d0),
         s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
                       (2 * source_size)::DOUBLE AS cap, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total FROM s0),
@@ -113,19 +114,26 @@ ORACLES = {
                       (total - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
                FROM s1 WINDOW f AS (ORDER BY cap / w, source NULLS LAST)),
-        s3 AS (SELECT *, least(cap, w * (SELECT arg_min(level, place) FROM s2 WHERE level * w <= cap)) AS target FROM s2),
-        s AS (SELECT source, source_size, target, floor(target / greatest(source_size, 1)) AS certain,
-                     target - floor(target / greatest(source_size, 1)) * source_size AS need FROM s3),
-        j AS (SELECT d.*, source_size, target, certain, need, need / greatest(source_size, 1) AS p
-              FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-        q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM j),
-        c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) END AS so_far FROM q),
-        g AS (SELECT source AS gs, any_value(need) - coalesce(max(so_far) FILTER (so_far <= need), 0) AS gap FROM c GROUP BY source),
-        r AS (SELECT c.*, gap, coalesce(so_far <= need, false) AS sampled FROM c JOIN g ON source IS NOT DISTINCT FROM gs),
-        e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN q IS NOT NULL AND NOT sampled AND size < 2 * gap THEN 0 ELSE 1 END,
-                                           abs(gap - size), q, doc_id) = 1 AND q IS NOT NULL AND NOT sampled AND size < 2 * gap AS closes FROM r)
-        SELECT doc_id, size, source_size, target,
-               CASE WHEN size > 0 THEN (size * (certain + (sampled OR closes)::INT))::BIGINT ELSE 0 END AS taken FROM e
+        s AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, place) FROM s2 WHERE level * w <= cap)) AS target FROM s2),
+        c0 AS (SELECT d.source, m, sum(size)::BIGINT AS words, any_value(target) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.source, m),
+        c1 AS (SELECT *, coalesce(sum(words) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
+                      (sum(words * m) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS open_words
+               FROM c0 WINDOW f AS (PARTITION BY source ORDER BY m DESC)),
+        c2 AS (SELECT *, CASE WHEN open_words > 0 THEN (target - 2.0::DOUBLE * capped) / open_words END AS level FROM c1),
+        c3 AS (SELECT source, m, words, target, arg_min(level, -m) FILTER (level * m <= 2.0::DOUBLE) OVER (PARTITION BY source) AS level FROM c2),
+        c4 AS (SELECT *, CASE WHEN target > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(level * m, 2.0::DOUBLE))) ELSE 0.0::DOUBLE END AS e FROM c3),
+        c AS (SELECT source, m, floor(e)::BIGINT AS certain, e - floor(e) AS p,
+                     target - (sum(floor(e)::BIGINT * words) OVER (PARTITION BY source))::BIGINT AS need FROM c4),
+        j AS (SELECT d.*, source_size, target, certain, need, p FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+              JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.m = c.m),
+        q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS z FROM j),
+        o AS (SELECT *, CASE WHEN z IS NOT NULL THEN sum(size) OVER (PARTITION BY source, z IS NULL ORDER BY z, doc_id ROWS UNBOUNDED PRECEDING) END AS so_far FROM q),
+        g AS (SELECT source AS gs, any_value(need) - coalesce(max(so_far) FILTER (so_far <= need), 0) AS gap FROM o GROUP BY source),
+        r AS (SELECT o.*, gap, coalesce(so_far <= need, false) AS sampled FROM o JOIN g ON source IS NOT DISTINCT FROM gs),
+        x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN z IS NOT NULL AND NOT sampled AND size < 2 * gap THEN 0 ELSE 1 END,
+                                           abs(gap - size), z, doc_id) = 1 AND z IS NOT NULL AND NOT sampled AND size < 2 * gap AS closes FROM r)
+        SELECT doc_id, size, source_size, target, m AS measure, certain + p AS wanted,
+               CASE WHEN size > 0 THEN (size * (certain + (sampled OR closes)::INT))::BIGINT ELSE 0 END AS taken FROM x
     """,
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

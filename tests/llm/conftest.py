@@ -64,5 +64,5 @@ def clashing(spark, docs):
     """Extra columns under names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("row", "row_id", "shard", "fp", "xx", "size", "kept", "slot", "_id", "_xx", "_k", "u", "q", "blob", "spans", "rules", "part", "piece", "chunk", "h", "at", "copies")
-    return docs.withColumns({n: F.lit("clash") for n in names})
+    names = "row row_id shard fp xx size kept slot _id _xx _k _need _size _u _pref held id k m u z p low last closes copy copies certain target need q blob spans rules part piece chunk h at n".split()
+    return docs.withColumns({n: F.lit("clash") for n in names} | {"a.b": F.lit("dotted"), "odd name`": F.col("doc_id")})

@@ -113,21 +113,54 @@ def test_mix_is_near_its_targets_on_many_documents(spark):
     assert all(abs(r.off) <= 2 for r in off)
 
 
-def test_inclusion_follows_the_odds(spark):
-    """Over many seeds a document is in with about its source's chance."""
-    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.when(F.col("id") < 30, "a").otherwise("b").alias("source"))
-    n, hits = 12, 0
+def brute_wanted(sizes, measures, target, cap=2.0):
+    """Copies wanted of each document, by bisection of the level."""
+    low, high = 0.0, cap
+    for _ in range(200):
+        at = (low + high) / 2
+        low, high = (at, high) if sum(s * min(cap, at * m) for s, m in zip(sizes, measures)) < target else (low, at)
+    return [min(cap, high * m) for m in measures]
+
+
+def test_copies_wanted_follow_the_measure(docs):
+    by_source = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        by_source[r.source].append(r)
+    for rows in by_source.values():
+        assert [r.measure for r in rows] == [max(1, r.size.bit_length()) for r in rows]
+        want = brute_wanted([r.size for r in rows], [r.measure for r in rows], rows[0].target)
+        assert [r.wanted for r in rows] == pytest.approx(want, abs=1e-6)
+        assert all(int(r.wanted) <= r.copies <= int(r.wanted) + (r.wanted % 1 > 0) for r in rows if r.size)
+
+
+def test_inclusion_follows_the_odds_of_each_document(spark):
+    """Over many seeds a document is taken about as often as it is wanted, the measures of one source far apart."""
+    df = spark.range(60).select(
+        F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"), F.element_at(F.array(F.lit(1), F.lit(3), F.lit(9)), (F.col("id") % 3 + 1).cast("int")).alias("w")
+    )
+    df = df.unionByName(spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit("x y z").alias("text"), F.lit("b").alias("source"), F.lit(1).alias("w"))).cache()
+    n, hits, wanted = 10, defaultdict(float), {}
     for seed in range(n):
-        hits += mixing.mix(df, seed=seed).where("source = 'a'").agg(F.sum("copies")).first()[0]
-    target = mixing.mix(df).where("source = 'a'").first().target
-    assert hits / n == pytest.approx(target / 4, abs=1.01)
+        for r in mixing.mix(df, weights=(1, 12), share=0.9, seed=seed, measure=F.col("w")).where("source = 'a'").collect():
+            hits[r.measure] += r.copies / (20 * n)
+            wanted[r.measure] = r.wanted
+    assert sorted(wanted) == [1, 3, 9] and wanted[9] == pytest.approx(9 * wanted[1]) and 0.2 < wanted[9] % 1 < 0.9
+    for m in wanted:
+        assert hits[m] == pytest.approx(wanted[m], abs=0.1)
 
 
 def test_preferred_documents_come_first(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") < 100, 50.0).otherwise(1.0).alias("w"))
-    got = mixing.mix(df, preference=F.col("w"))
+    got = mixing.mix(df, measure=F.col("w"))
     share = {r.liked: r.c for r in got.groupBy((F.col("doc_id") < 100).alias("liked")).agg(F.avg("copies").alias("c")).collect()}
-    assert share[True] > 1.9 and share[False] < 1.6
+    assert share[True] == 2 and share[False] == pytest.approx(4 / 3, abs=0.01)
+
+
+def test_buckets_are_cut_again_while_they_are_large(spark, docs, monkeypatch):
+    whole = sorted(map(repr, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "BUCKETS", 2)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == whole
 
 
 def test_mixed_rows_are_the_mix(distinct_docs):
@@ -140,6 +173,8 @@ def test_mix_edge_cases(empty, clashing, docs, spark):
     assert sorted(map(repr, mixing.mix(clashing).collect())) == sorted(map(repr, mixing.mix(docs).collect()))
     wordless = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(wordless).collect()] == [0, 0]
+    long = spark.createDataFrame([(1, "word " * 700_000, "a"), (2, "b c", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.size for r in mixing.mix(long).collect()} == {1: 700_000, 2: 2}
 
 
 # ---------------------------------------------------------------- packing
