@@ -10,7 +10,7 @@ Document frequencies are counted over all labelled rows.
 from __future__ import annotations
 
 import functools
-import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +33,6 @@ TURNS = 10
 REJECT = 0.5
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: Code points hashed at once, and texts whose vectors are held at once.
 _BLOCK, _TEXTS = 1 << 20, 128
@@ -52,14 +51,18 @@ class Model:
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """Whether a code point of the basic plane is a letter; all beyond it count as letters."""
-    return np.array([chr(i).isalpha() for i in range(1 << 16)], bool)
+    """Whether a code point is a letter, as ``str.isalpha`` has it; numerals and symbols are none."""
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)], bool)
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
 
 
 def letter_runs(text: str) -> np.ndarray:
     """Code points of the lower-cased text, with one space for each run of anything but letters, and at both ends."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letter = _letters()[codes]
     codes = np.where(letter, codes, np.uint32(32))
     return codes[np.r_[True, letter[1:] | letter[:-1]]]
 
@@ -88,15 +91,17 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], lettered: bool = False) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time; with ``lettered`` only those whose text has a letter."""
     for b in batches:
         for i in range(0, b.num_rows, _TEXTS):
-            yield b.slice(i, _TEXTS)
+            part = b.slice(i, _TEXTS)
+            yield part.filter(pa.array([has_letter(t) for t in part.column("text").to_pylist()], pa.bool_())) if lettered else part
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, rows = np.zeros(FEATURES, np.int64), Counter()
-    for b in _slices(batches):
+    for b in _slices(batches, lettered=True):
         df += (ngram_counts(b.column("text").to_pylist()) > 0).sum(axis=0)
         rows.update(b.column("lang").to_pylist())
     languages = pa.array([None] * FEATURES + list(rows), pa.string())
@@ -106,7 +111,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
+    for b in _slices(batches, lettered=True):
         rows = [x.astype("<f4").tobytes() for x in ngram_counts(b.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("hash"), b.column("doc_id"), pa.array(rows, pa.binary())], names=["lang", "hash", "doc_id", "counts"])
 
@@ -132,7 +137,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     driver as n-gram counts; ``sample`` is the bound on labelled rows.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counted = rows.select("text", "lang").mapInArrow(_document_frequencies, "lang string, feature long, n long")
     counted = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()  # a row for each feature and language
     df = {r["feature"]: r["n"] for r in counted if r["lang"] is None}
@@ -163,7 +168,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether it is rejected, for each text."""
-    known = np.array([bool(t) and bool(_LETTER.search(t)) for t in texts], bool) & bool(model.languages)
+    known = np.array([has_letter(t) for t in texts], bool) & bool(model.languages)
     names, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~known
     some = np.flatnonzero(known)
     if len(some):
@@ -189,7 +194,7 @@ def _predict_batches(model: Model):
 def _accept_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            _, _, rejected = predict(b.column("text").to_pylist(), model)
+            _, _, rejected = predict([t if t is None else str(t) for t in b.column("text").to_pylist()], model)
             yield b.filter(pa.array(~rejected))
 
     return run
@@ -207,17 +212,26 @@ def fit_documents(docs: DataFrame) -> Model:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, as they are, whose language is not rejected."""
+    """The rows of ``docs``, as they are, whose language is not rejected.
+
+    Null and empty texts and those without a letter go; texts are read whole whatever
+    their length; of repeated rows and ties all stay or all go; an empty table stays
+    empty, and columns of any name pass through unchanged.
+    """
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_accept_batches(model or fit_documents(docs)), docs.schema)
+    model, names = model or fit_documents(docs), docs.columns
+    # plain names on the way through Python, which takes no dots and quotes
+    plain = docs.toDF(*("text" if c == "text" else f"column_{i}" for i, c in enumerate(names)))
+    return plain.mapInArrow(_accept_batches(model), plain.schema).toDF(*names)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score, rejected``.
 
     Without a model one is fitted to the rows that are not held out.  Null and empty
-    texts and those without a letter are ``und`` with score 0, and rejected; so is
-    everything where there was nothing to learn from.  Ties go to the language first in
+    texts and those without a letter (``str.isalpha``) are ``und`` with score 0, and
+    rejected; so is everything where there was nothing to learn from.  Texts of any
+    length are read whole.  Ties go to the language first in
     order, repeated rows get equal predictions, an empty table gives no rows, and other
     columns are ignored.
     """

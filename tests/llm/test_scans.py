@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -167,6 +169,54 @@ def test_languages_of_held_out_rows(spark):
     assert not any(got[i].rejected for i, *_ in rows)
 
 
+def brute_counts(text):
+    """Hashed n-grams by plain loops over Python integers."""
+    runs, out = " ", defaultdict(int)
+    for c in f"{text.lower()} ":
+        runs += c if c.isalpha() else "" if runs[-1] == " " else " "
+    for n in (1, 2, 3):
+        for i in range(len(runs) - n + 1):
+            h = 0
+            for c in runs[i : i + n]:
+                h = (h * 0x9E3779B1 + ord(c) * 0x85EBCA77) % 2**32
+            out[((h ^ h >> 15) * 0xC2B2AE3D) % 2**32 >> 20] += 1
+    return out
+
+
+def test_predictions_as_by_brute_force(spark):
+    rows = language_rows(60) + [(500, "½ ² Ⅷ 12", "fr"), (501, "𝟙𝟚 ☃ 😀", "en"), (502, "𐐀𐐁 and the thing 𝒜", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    lettered = [t for i, t, _ in rows if i not in (500, 501)]
+    seen = defaultdict(int)
+    for t in lettered:
+        for f in brute_counts(t):
+            seen[f] += 1
+    idf = [math.log((1 + len(lettered)) / (1 + seen[f])) + 1 for f in range(langid.FEATURES)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    names, score, _ = langid.predict([t for _, t, _ in rows], model)
+    for (i, t, _), name, s in zip(rows, names, score):
+        if i in (500, 501):
+            assert (name, s) == ("und", 0)
+            continue
+        x = {f: math.log1p(n) * idf[f] for f, n in brute_counts(t).items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        cosine = [sum(v * c[f] for f, v in x.items()) / length for c in model.centroids]
+        assert s == pytest.approx(max(cosine), abs=1e-4)
+        assert cosine[model.languages.index(name) * langid.CENTROIDS :][: langid.CENTROIDS] and max(cosine) - max(c for c, of in zip(cosine, model.of) if model.languages[of] == name) < 1e-5
+
+
+def test_what_has_no_letter_is_undetermined(spark):
+    texts = ["½", "²", "Ⅷ 12", "😀 ☃", "𝟙𝟚", "१२३", "_ ・", "\u0301", None, "", "x", "ª", "𐐀", "あ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = langid.fit(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(len(texts))] == [True] * 10 + [False] * 4
+    assert all(got[i].rejected and got[i].score == 0 for i in range(10))
+    long = spark.createDataFrame([(1, "the thing and er " * 150_000)], "doc_id long, text string")
+    assert langid.identify(long, model).first().lang_pred == "en"
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     from pyspark.sql import functions as F
 
@@ -190,13 +240,16 @@ def test_texts_of_no_known_language_are_rejected(spark):
     assert not langid.predict([x.text for x in documents.select("text").collect()], model)[2].any()
 
 
-def test_accepted_rows_are_unchanged(docs):
+def test_accepted_rows_are_unchanged(docs, empty, clashing):
     from pyspark.sql import functions as F
 
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns
     assert kept.count() == langid.identify(docs).where("not rejected").count()
     assert kept.where(~F.col("text").rlike(r"\p{L}")).count() == 0
+    assert langid.accepted(empty).count() == 0
+    odd = langid.accepted(clashing)
+    assert odd.columns == clashing.columns and odd.count() == kept.count() and odd.select("_id", "`a.b`").distinct().count() == 1
     # prose of any length stays
     assert kept.where(F.length("text") > 200).count() >= 60
 
