@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import LOWER, UPPER, checked_broadcast, cut, keep_rows, small_batches
+from coppice.llm.common import LOWER, UPPER, checked_broadcast, cut, cut_of, keep_rows, small_batches
 
 # fixed values: primes under 2^31 for which 256 has a long period
 PRIMES = (2147483629, 2147483587, 2147483563, 2147483549)
@@ -62,26 +62,29 @@ def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(text, chunk: int):
-    """The text's chunks as an array; a text of one chunk is passed on as it is."""
-    n = F.ceil(F.length(text) / F.lit(chunk))
-    many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, (i * chunk + 1).cast("int"), F.lit(chunk)))
-    return F.when(n <= 1, F.array(text)).otherwise(many)
+    """The text's chunks as an array, cut in one pass; a text of one chunk is passed on as it is."""
+    many = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % chunk), F.lit(0))
+    return F.when(F.length(text) <= chunk, F.array(text)).otherwise(many)
+
+
+def _hashed_chunks(rows: DataFrame, chunk: int) -> DataFrame:
+    """Chunk hashes of all rows; a long text's chunks are dealt over the tasks before they are hashed."""
+    columns = ["row_id", "doc_id", "xx"]
+    long = F.length("t") > chunk
+    short = rows.where(~long).select(*columns, F.lit(None).cast("string").alias("big_sha"), F.lit(0).alias("chunk_no"), F.col("t").alias("chunk"))
+    whole = F.sha2(F.translate("t", UPPER, LOWER), 256).alias("big_sha")
+    parts = rows.where(long).select(*columns, whole, F.posexplode(_chunks(F.col("t"), chunk)).alias("chunk_no", "chunk"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(n, F.xxhash64("row_id", "chunk_no"))
+    return short.union(dealt).mapInArrow(_hash_chunks, _HASHED)
 
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(row_id, doc_id, xx, fp, sha)`` for every row: fingerprint with length, and SHA-256 of the normalised text."""
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    long = F.length("t") > chunk
-    rows = rows.select(
-        "row_id",
-        "doc_id",
-        F.xxhash64("t").alias("xx"),
-        F.when(long, F.sha2(F.translate("t", UPPER, LOWER), 256)).alias("big_sha"),
-        F.posexplode(_chunks(F.col("t"), chunk)).alias("chunk_no", "chunk"),
-    )
-    hashed = rows.mapInArrow(_hash_chunks, _HASHED)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("xx"), text.alias("t"))
+    hashed = _hashed_chunks(rows, chunk)
     part = F.struct("chunk_no", "size", "sha", *_LANES)
     parts = hashed.groupBy("row_id", "doc_id", "xx").agg(F.sort_array(F.collect_list(part)).alias("p"))
 
@@ -96,7 +99,7 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def _unlike(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
     """Members whose text differs from their group's surviving text: ``(doc_id, xx, fp)``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("x"), text.alias("t"))
     held = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("xx"))).select(
         "doc_id", "xx", "fp", "survives", "salts", F.translate("t", UPPER, LOWER).alias("t")
@@ -155,5 +158,10 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as they are, that stay."""
-    return keep_rows(docs, cut(exact_duplicates(docs).select("doc_id", "xx", "kept"), "verdict"))
+    """The rows of ``docs``, as they are, that stay: one of each group of equal texts.
+
+    Nulls, empty and long texts, ties and repeated rows are as in ``exact_duplicates``;
+    an empty table stays empty, and columns of any name pass through unchanged.
+    """
+    verdict = cut_of(lambda: exact_duplicates(docs).select("doc_id", "xx", "kept"), "verdict")
+    return keep_rows(docs, verdict)
