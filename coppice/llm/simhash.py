@@ -10,7 +10,11 @@ others, and a fingerprint carries those keys as well.  Any two linked fingerprin
 meet under a key that is the own key of one of them, and every meeting is verified.
 
 Fingerprints are made distinct first.  Within a key the verified links are thinned to a
-spanning forest, which keeps every component and never writes all pairs of a group.
+spanning forest, which keeps every component and never writes all pairs of a group.  A
+key that holds more than ``RUN`` fingerprints is dealt out again: the two segments that
+are not in the key differ in at most three bits, so of four stretches of them one is
+equal, and its bits lengthen the key.  After two such turns 30 bits are fixed beside
+the codeword, and what can still share a key is bounded by the other bits.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import checked_broadcast, cut, keep_rows, small_batches
+from coppice.llm.common import checked_broadcast, cut, cut_of, keep_rows, small_batches
 from coppice.operators.components import component_labels
 
 MAX_BITS = 3
@@ -33,6 +37,10 @@ GENERATOR = 0b110001110101
 SHORT_RUN = 32
 #: Comparisons held in memory at once by the spanning search.
 BLOCK = 1 << 21
+#: Fingerprints of one key that a task compares; a longer run is dealt out by longer keys.
+RUN = 1 << 14
+#: Times that long runs are dealt out, by stretches of 8 bits and then of 6.
+TURNS = 2
 
 _BYTES = np.uint64(0x0101010101010101)
 
@@ -177,40 +185,114 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> pa.Recor
         return None
     a, b = np.concatenate(sources).view(np.int64), np.concatenate(targets).view(np.int64)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+    return _found(pairs[:, 0], pairs[:, 1])
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of a key; rows come sorted by key and runs may span batches."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        part = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
-        if held and held[-1][0][-1] == part[0][0] == part[0][-1]:
-            held.append(part)  # the run goes on through this whole batch
-            continue
-        last = int(np.searchsorted(part[0], part[0][-1]))
-        done = [np.concatenate(x) for x in zip(*held, [x[:last] for x in part])]
-        held = [[x[last:].copy() for x in part]]
-        if len(done[0]) and (links := _links_of_runs(*done)):
-            yield links
-    if held and (links := _links_of_runs(*(np.concatenate(x) for x in zip(*held)))):
-        yield links
+_FOUND = "src long, dst long, key long, fp long"
+
 
+def _found(src=None, dst=None, key=None, fp=None) -> pa.RecordBatch:
+    n = len(src if src is not None else key)
+    columns = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (src, dst, key, fp)]
+    return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "key", "fp"])
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` that span every component of the distinct fingerprints ``fp``."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = fps.select("fp").mapInArrow(_key_batches, "key long, fp long, own boolean")
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_batches, "src long, dst long")
+
+def _link_batches(limit: int | None = None):
+    """Links within each run of a key, or the run itself as ``key, fp`` where it is longer than ``limit``.
+
+    Rows come sorted by key and runs may span batches; of an open run no more than ``limit`` rows and a batch are held.
+    """
+
+    def whole_runs(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if limit is not None and len(key) > limit:
+            lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+            long = np.repeat(lengths > limit, lengths)
+            if long.any():
+                yield _found(key=key[long], fp=fp[long].view(np.int64))
+                key, fp, own = key[~long], fp[~long], own[~long]
+        if len(key) and (links := _links_of_runs(key, fp, own)):
+            yield links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        over = None  # the key whose rows are passed on as they come
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
+            if over is not None:
+                same = int(np.searchsorted(part[0], over, "right"))
+                if same:
+                    yield _found(key=part[0][:same], fp=part[1][:same].view(np.int64))
+                part = [x[same:] for x in part]
+                if not len(part[0]):
+                    continue
+                over = None
+            if held and held[-1][0][-1] == part[0][0] == part[0][-1]:
+                held.append([x.copy() for x in part])  # the run goes on through this whole batch
+            else:
+                last = int(np.searchsorted(part[0], part[0][-1]))
+                done = [np.concatenate(x) for x in zip(*held, [x[:last] for x in part])]
+                held = [[x[last:].copy() for x in part]]
+                yield from whole_runs(*done)
+            if limit is not None and sum(len(x[0]) for x in held) > limit:
+                key, fp, _ = (np.concatenate(x) for x in zip(*held))
+                yield _found(key=key, fp=fp.view(np.int64))
+                over, held = int(key[0]), []
+        if held:
+            yield from whole_runs(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _longer_keys(turn: int):
+    """Each fingerprint of a run that was put off, once for every stretch of its open bits, with that stretch's bits in the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            first = key >> 10 * turn
+            # the 32 bits of the two segments that the first key does not name
+            at = (16 * (((first >> 28) + 2) % 4)).astype(np.uint64)
+            rest = ((fp >> at) | (fp << ((64 - at) % np.uint64(64)))).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            rest, width = rest.astype(np.int64), 8
+            if turn:
+                # one stretch of eight bits is in the key already
+                gone = 8 * (key >> 8 & 3)
+                low = (1 << gone) - 1
+                rest, width = (rest & low) | (rest >> (gone + 8) << gone), 6
+            for part in range(4):
+                value = rest >> width * part & ((1 << width) - 1)
+                longer = key << (width + 2) | part << width | value
+                yield pa.RecordBatch.from_arrays([pa.array(longer), pa.array(fp.view(np.int64)), pa.array(np.ones(len(fp), bool))], names=["key", "fp", "own"])
+
+    return run
+
+
+def _links_under(keys: DataFrame, limit: int | None) -> DataFrame:
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_batches(limit), _FOUND)
+
+
+def fingerprint_links(fps: DataFrame, limit: int = RUN) -> DataFrame:
+    """Links ``(src, dst)`` that span every component of the distinct fingerprints ``fp``; from cut tables."""
+    keyed, out = fps.select("fp").mapInArrow(_key_batches, "key long, fp long, own boolean"), None
+    for turn in range(TURNS + 1):
+        found = cut(_links_under(keyed, limit if turn < TURNS else None), "links")
+        links = found.where("src is not null").select("src", "dst")
+        out = links if out is None else out.union(links)
+        long = found.where("fp is not null").select("key", "fp")
+        if turn == TURNS or long.isEmpty():
+            break
+        keyed = long.mapInArrow(_longer_keys(turn), "key long, fp long, own boolean")
+    return out
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` with ``root``, the smallest fingerprint of the component: unlike ``component_id`` never null or shared."""
     rows = cut(fingerprint_table(docs), "simhash")
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    labels = component_labels(fingerprint_links(fps)).withColumnRenamed("v", "fp")
+    labels = cut_of(lambda: component_labels(fingerprint_links(fps)), "labels").withColumnRenamed("v", "fp")
     # a fingerprint of one row without a link is a component of its own and needs no partner
     classes = fps.join(labels, "fp", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fp"))
     classes = cut(classes, "classes")
@@ -237,7 +319,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """Of each component one row of ``docs``, as it is: the one with the smallest doc_id; null ids come last.
 
-    Components are told apart by fingerprints, as rows of several may share an id or have none.
+    Components are told apart by fingerprints, as rows of several may share an id or have
+    none; ties of id go to the smaller text hash, and of repeated rows one stays.  Null,
+    empty and wordless texts are one component; texts of any length are read whole; an
+    empty table stays empty, and columns of any name pass through unchanged.
     """
     found = _labelled(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     # of rows with one doc_id in one component a single one stays

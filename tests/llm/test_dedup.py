@@ -129,6 +129,28 @@ def test_survivors_are_one_row_for_each_text(docs, rows):
     assert got[0].__fields__ == docs.columns
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.survivors, simhash.representatives])
+def test_kept_rows_pass_unchanged(stage, docs, clashing, empty):
+    want = stage(docs).collect()
+    odd = stage(clashing)
+    assert odd.columns == clashing.columns
+    assert sorted(map(repr, odd.select(docs.columns).collect())) == sorted(map(repr, want))
+    assert {r[0] for r in odd.select("_id").collect()} == {r[0] for r in odd.select("_xx").collect()} == {"clash"}
+    assert {r[0] for r in odd.select("`a.b`").collect()} == {"dotted"}
+    assert stage(empty).count() == 0
+
+
+def test_long_texts_are_whole(spark):
+    """Texts of several chunks that differ in their last character only."""
+    long = "Long tëxt, word by word. " * 120_000
+    rows = [(1, long), (2, long.lower()), (3, long + "x"), (4, long[:-1]), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = exact_dedup.exact_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute_groups(rows)
+    assert sorted(r.doc_id for r in simhash.representatives(df).collect()) == sorted({c for *_, c in brute_components([(i, brute_simhash(t)) for i, t in rows])})
+    assert removal(df.where("doc_id < 4")) == brute_removal(rows[:3], 50)
+
+
 # ---------------------------------------------------------------- SimHash
 
 
@@ -202,12 +224,42 @@ def test_runs_over_batches_are_whole():
     fp = np.arange(len(key)).astype(np.int64)
     own = np.ones(len(key), bool)
 
+    limit = None
+
     def links(size):
         batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, fp, own)], names=["key", "fp", "own"]) for i in range(0, len(key), size)]
-        found = [tuple(x.values()) for b in simhash._link_batches(iter(batches)) for x in b.to_pylist()]
-        return sorted(set(found))
+        found = [tuple(x.values()) for b in simhash._link_batches(limit)(iter(batches)) for x in b.to_pylist()]
+        assert len([x for x in found if x[0] is None]) == len({x for x in found if x[0] is None})
+        return sorted({x for x in found if x[0] is None}, key=repr), sorted({x for x in found if x[0] is not None})
+
+    for limit in (None, 39):
+        assert links(7) == links(1000) == links(41)
+        assert len(links(7)[0]) == (90 if limit else 0)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hot_keys_are_dealt_out_without_losing_a_link(spark, seed):
+    """Most fingerprints share a segment and its neighbour, so whole runs are put off twice."""
+    r = np.random.default_rng(seed)
+    low = r.integers(0, 1 << 12, 700).astype(np.uint64) << np.uint64(40 if seed == 4 else 2)
+    fp = np.unique(np.concatenate([low, low ^ (np.uint64(1) << r.integers(0, 64, 700).astype(np.uint64)), r.integers(0, 1 << 63, 50).astype(np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
+    links = simhash.fingerprint_links(df, limit=30).collect()
+    root = {int(x): int(x) for x in fp.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    assert links(7) == links(1000) == links(41)
+    for a, b in links:
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+        root[find(a)] = find(b)
+    want = brute_components([(int(x), int(x)) for x in fp])
+    groups = defaultdict(set)
+    for x, _, c in want:
+        groups[c].add(find(int(np.uint64(x).view(np.int64))))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
 def test_representatives_are_one_for_each_component(docs, rows):
