@@ -40,15 +40,14 @@ SHARD_BYTES = 4 << 20
 #: Word hashes that a worker remembers.
 CACHED_WORDS = 300_000
 
-_MASK = (1 << 64) - 1
 _LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
 
@@ -56,7 +55,8 @@ _hash_of = _WordHash()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    """128 bits of each word, as two numbers in a row."""
+    return np.frombuffer(b"".join(map(_hash_of.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,11 +65,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Ranges:
-    """Hashes of any range of words, from prefix sums modulo 2^64, in two lanes."""
+    """Hashes of any range of words, from prefix sums modulo 2^64, in two lanes, each over its own half of the words' hashes."""
 
     def __init__(self, h: np.ndarray):
         self.lanes = []
-        for base in _LANES:
+        for base, h in zip(_LANES, h.T):
             power = np.full(len(h) + 1, base, np.uint64)
             power[0] = 1
             power = np.multiply.accumulate(power)
@@ -125,7 +125,7 @@ def _concatenated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     parts = [_word_hashes(t.split()) for t in texts]
     n = np.array([len(p) for p in parts], np.int64)
     last = np.cumsum(n)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), last - n, last
+    return (np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)), last - n, last
 
 
 _ANCHORS = "shard int, phrase long, lane1 long, lane2 long, row long, doc_id long, at int, windows int, top long"
@@ -194,6 +194,7 @@ def _window_hashes(window: int):
         if not wanted.num_rows or not docs.num_rows:
             return kinds.empty_table()
         want = wanted.select(["row", "doc_id", "at", "windows", "top"]).to_pandas().sort_values(["row", "at"])
+        # rows repeated with one doc_id share a name and a text
         texts = dict(zip(docs.column("row").to_pylist(), docs.column("text")))
         out = []
         for row, part in want.groupby("row", sort=False):
@@ -390,18 +391,21 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
     ``removed`` lists the word ranges taken out; ``kept_sha256`` is of the words kept,
     joined by one space.  Windows are judged on the input.  A passage that repeats
     within one document alone stays, and so do all rows repeated with one doc_id as
-    against each other.  A null text has no words; a row with a null doc_id owns nothing
-    and keeps everything.  An empty table gives no rows; other columns are ignored.
+    against each other.  A null or empty text has no words; texts of any length are read
+    whole, each in one task; a row with a null doc_id owns nothing and keeps everything.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = shard_count(docs, 4 * parts, shard_bytes)
+    # a row is named by what it holds, so that every reading of the table gives it the same name
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    # rows without an id take no part in the search and are spread, whatever they hold
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("row"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(spread), F.lit(shards)).cast("int"))
     rows, wanted = _confirmed(rows, parts, window, phrase)
     return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_remove(window), _RESULT)
