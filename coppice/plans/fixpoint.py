@@ -52,14 +52,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
     The files go when the innermost open ``scope`` ends, or with the process.
     """
-    spark = df.sparkSession
+    path = temporary_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted as tables of ``cut`` are."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append((spark, path))
     else:
         atexit.register(_remove, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager
