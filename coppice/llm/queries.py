@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import pii, secrets
+from coppice.llm.common import cut
 from coppice.llm.exact_dedup import exact_duplicates
 from coppice.llm.langid import identify
 from coppice.llm.mixing import mix
@@ -14,6 +15,7 @@ from coppice.llm.sharding import shard
 from coppice.llm.simhash import near_duplicates
 from coppice.llm.substrings import repeated_passages
 from coppice.llm.topk import top_k
+from coppice.plans.fixpoint import temporary_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.findings(_docs(spark, sf_dir))
+    """Every document with its findings: the base rules are scanned and stored first, then what newer rules have not seen."""
+    docs = _docs(spark, sf_dir)
+    ledger, paths = secrets.Ledger(spark, temporary_path(spark, "ledger")), cut(secrets.versions(docs), "versions")
+    ledger.add(docs, secrets.BASE, paths)
+    ledger.add(docs, secrets.RULES, paths)
+    found = ledger.findings(docs, secrets.RULES, paths)
     base = tuple(r.name for r in secrets.BASE)
     counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in base]
     return found.select(

@@ -1,10 +1,11 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every row is a version of a path.  Its text is a blob, named by its SHA-256, and the
-ledger holds what each rule, at its version, found in each blob.  A scan takes the
-distinct blobs, leaves out the pairs of blob and rule version that the ledger holds,
-reads the text of one row for each blob that is left, and adds what it finds.  Findings
-are then joined back to all paths that hold the blob.
+ledger holds what each rule, at its version, found in each blob.  It is a table in the
+store to which scans only ever add.  A scan takes the distinct blobs, leaves out the
+pairs of blob and rule version that the ledger holds, reads the text of one row for each
+blob that is left, and adds what it finds.  Findings are then joined back to all paths
+that hold the blob.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.common import checked_broadcast, cut, small_batches, without
+from coppice.plans.fixpoint import scope
 
 
 @dataclass(frozen=True)
@@ -107,17 +109,31 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob"))
 
 
+def _unseen(readers: DataFrame, ledger: DataFrame, keys: list[str]) -> tuple[list[str], DataFrame]:
+    """The rules that most blobs still lack, and ``(blob, missing)`` of the blobs that lack others; a cut table."""
+    wanted = F.array(*(F.lit(k) for k in keys))
+    entries = ledger.where(F.arrays_overlap("rules", wanted)).join(readers.select("blob"), "blob", "left_semi")
+    seen = entries.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    missing = F.coalesce(F.array_except(wanted, "seen"), wanted)
+    state = cut(readers.select("blob").join(seen, "blob", "left").select("blob", missing.alias("missing")), "missing")
+    # as many groups as there are sets of rules that were run together
+    most = state.groupBy("missing").count().orderBy(F.col("count").desc(), "missing").first()
+    common = list(most["missing"]) if most else []
+    return common, cut(state.where(F.col("missing") != F.array(*(F.lit(k) for k in common)).cast("array<string>")), "others")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, paths: DataFrame | None = None) -> DataFrame:
     """Ledger rows (``LEDGER``) for the pairs of blob and rule version that ``ledger`` lacks.
 
     ``paths`` is ``versions(docs)``, cut, where the caller has it.  The text of a blob
-    is read from its row of smallest doc_id, in place: rows that are not to be read are
-    left out by a broadcast of their keys if these are few, else by a shuffled join.
+    is read from its row of smallest doc_id, in place.  Most blobs lack the same rules;
+    copies and blobs that lack other rules, or none, are told by joins of their names,
+    broadcast if these are few.
     """
     small_batches(docs.sparkSession)
     paths = cut(versions(docs), "versions") if paths is None else paths
-    keys = F.array(*(F.lit(r.key) for r in rules))
-    readers = paths.groupBy("blob").agg(F.min("doc_id").alias("reader"), F.count(F.lit(1)).alias("rows"))
+    keys = [r.key for r in rules]
+    readers = cut(paths.groupBy("blob").agg(F.min("doc_id").alias("reader"), F.count(F.lit(1)).alias("rows")), "readers")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -127,38 +143,77 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     copies = paths.join(repeated, "blob").where(~F.col("doc_id").eqNullSafe(F.col("reader")))
     rows = without(rows, cut(copies.select("doc_id", "blob").distinct(), "copies"), ["doc_id", "blob"])
     if ledger is None:
-        rows = rows.withColumn("rules", keys)
+        rows = rows.withColumn("rules", F.array(*(F.lit(k) for k in keys)))
     else:
-        seen = ledger.join(readers, "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        seen = cut(seen, "seen")
-        rows = without(rows, cut(seen.where(F.size(F.array_except(keys, "seen")) == 0).select("blob"), "complete"), ["blob"])
-        part = cut(seen.where(F.size(F.array_except(keys, "seen")) > 0), "partial")
-        rows = rows.join(part, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
+        common, others = _unseen(readers, ledger, keys)
+        others = checked_broadcast(others.withColumnRenamed("missing", "rules"))
+        if common:
+            most = F.array(*(F.lit(k) for k in common))
+            rows = rows.join(others, "blob", "left").withColumn("rules", F.coalesce("rules", most)).where(F.size("rules") > 0)
+        else:
+            rows = rows.join(others, "blob")
     found = rows.select("blob", "text", "rules").mapInArrow(_scan_batches(rules), LEDGER)
     # a blob is read twice only where a row is repeated with its doc_id
     return found.groupBy("blob", "rules").agg(F.any_value("spans").alias("spans"))
 
 
+class Ledger:
+    """The ledger as a table in the store: scans add rows to it, nothing is ever changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """All entries; none where nothing was scanned yet."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        return self.spark.createDataFrame([], LEDGER)
+
+    def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, paths: DataFrame | None = None) -> int:
+        """Scan what is unseen, and append it as one commit; the number of new pairs of blob and rule version.
+
+        A scan that fails on the way adds nothing and can be run again.
+        """
+        with scope():
+            new = cut(scan(docs, self.read(), rules, paths), "scanned")
+            pairs = new.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
+            if pairs:
+                new.write.mode("append").parquet(self.path)
+        return pairs
+
+    def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, paths: DataFrame | None = None) -> DataFrame:
+        """``findings`` from what the ledger holds."""
+        return joined(cut(versions(docs), "versions") if paths is None else paths, self.read(), rules)
+
+
+def joined(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``doc_id, blob, spans`` of every path, with what these rules, at these versions, found in its blob."""
+    version = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.key))))
+    order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
+    # what an older version of a rule found does not count
+    current = F.filter("spans", lambda x: F.coalesce(F.array_contains(F.col("rules"), version[x["rule"]]), F.lit(False)))
+    held = ledger.where(F.arrays_overlap("rules", F.array(*(F.lit(r.key) for r in rules)))).select("blob", F.explode(current).alias("s"))
+    by_place = F.struct("s.start", order[F.col("s.rule")].alias("o"), F.col("s.end").alias("end"), F.col("s.rule").alias("rule"))
+    found = held.groupBy("blob").agg(F.array_sort(F.collect_set(by_place)).alias("spans"))
+    found = cut(found.select("blob", F.transform("spans", lambda x: F.struct(x["rule"], x["start"], x["end"])).cast(_SPAN).alias("spans")), "found")
+    return paths.join(checked_broadcast(found), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+
+
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """All paths with what was found in their blobs, and the ledger with the new entries.
 
     The first table has one row per row of ``docs``: ``doc_id, blob, spans``; ``spans``
     is sorted by start, then by the order of ``rules``, and empty where nothing was
-    found.  Null and empty texts share the empty blob, repeated rows and copies share a
-    scan, null ids are kept as they are, an empty table gives no rows, and other
-    columns are ignored.
+    found.  Null and empty texts share the empty blob, texts of any length are scanned
+    whole, repeated rows and copies share a scan, null ids are kept as they are, an empty
+    table gives no rows, and other columns are ignored.
     """
     paths = cut(versions(docs), "versions")
     new = cut(scan(docs, ledger, rules, paths), "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    current = F.filter("spans", lambda x: x["rule"].isin([r.name for r in rules]))
-    order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
-    held = whole.where(F.arrays_overlap("rules", F.array(*(F.lit(r.key) for r in rules)))).select("blob", F.explode(current).alias("s"))
-    by_place = F.struct("s.start", order[F.col("s.rule")].alias("o"), F.col("s.end").alias("end"), F.col("s.rule").alias("rule"))
-    found = held.groupBy("blob").agg(F.array_sort(F.collect_set(by_place)).alias("spans"))
-    found = cut(found.select("blob", F.transform("spans", lambda x: F.struct(x["rule"], x["start"], x["end"])).cast(_SPAN).alias("spans")), "found")
-    out = paths.join(checked_broadcast(found), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
-    return out, whole
+    return joined(paths, whole, rules), whole
 
 
 def digest(spans, names: tuple[str, ...]):

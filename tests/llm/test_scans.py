@@ -68,6 +68,40 @@ def test_ledger_leaves_out_what_was_scanned(spark, secret_docs, monkeypatch):
     assert {repr(r) for r in secrets.findings(more, ledger)[0].collect()} == whole
 
 
+def test_stored_ledger_only_grows(spark, secret_docs, tmp_path):
+    from dataclasses import replace
+
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    blobs = len({t or "" for t in SECRET_TEXTS})
+    assert ledger.read().count() == 0
+    assert ledger.add(secret_docs, secrets.BASE) == 3 * blobs
+    assert ledger.add(secret_docs, secrets.BASE) == 0
+    # rules that are new are run over the blobs, the base rules are not run again
+    assert ledger.add(secret_docs, secrets.RULES) == len(secrets.MORE) * blobs
+    assert {frozenset(r.rules) for r in ledger.read().collect()} == {frozenset(r.key for r in secrets.BASE), frozenset(r.key for r in secrets.MORE)}
+    # new versions of paths: one blob is new, one is known
+    more = spark.createDataFrame([(7, "new token: abcdefghij"), (8, SECRET_TEXTS[0])], "doc_id long, text string")
+    assert ledger.add(more, secrets.RULES) == len(secrets.RULES)
+    assert ledger.add(more.unionByName(secret_docs)) == 0
+    again = secrets.Ledger(spark, ledger.path)
+    whole = {repr(r) for r in secrets.findings(more.unionByName(secret_docs))[0].collect()}
+    assert {repr(r) for r in again.findings(more.unionByName(secret_docs)).collect()} == whole
+    # a rule's new version is run over all blobs, and what the old one found is no longer told
+    newer = tuple(replace(r, version=2, pattern="qqqqq", passes=None) if r.name == "assign" else r for r in secrets.RULES)
+    assert again.add(more.unionByName(secret_docs), newer) == blobs + 1
+    told = {x.rule for r in again.findings(secret_docs, newer).collect() for x in r.spans}
+    assert told == {r.name for r in secrets.RULES} - {"assign"}
+
+
+def test_long_texts_are_scanned_whole(spark):
+    text = "no secret here " * 100_000 + "token = abcdefgh12"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(x) for x in secrets.findings(df)[0].first().spans] == brute_secrets(text)
+    text = text.replace("token =", "call +1 (743) 555-3824 now")
+    row = pii.personal_data(df.selectExpr("doc_id", "replace(text, 'token =', 'call +1 (743) 555-3824 now') AS text")).first()
+    assert [tuple(x) for x in row.base] == brute_pii(text) and len(row.base) == 1
+
+
 def test_scan_edge_cases(empty, clashing, docs):
     assert secrets.findings(empty)[0].count() == 0
     assert sorted(map(repr, secrets.findings(clashing)[0].collect())) == sorted(map(repr, secrets.findings(docs)[0].collect()))
