@@ -1,13 +1,16 @@
 """Sharding by a k-d tree over document metadata, in DataFrame operations alone.
 
 Rows with equal texts form a group and stay together.  A group is a point whose
-dimensions are the logarithm of its size and its first language, source and doc_id, and
-whose weight is its bytes.  A node is split at the weighted median of the dimension in
-which its points spread widest, until every leaf holds the target bytes.  The median is
-found on all points of all nodes at once, by histograms of the dimension's leading
-bits that narrow down until the bucket left is too light to matter; the text's hash
-follows the dimension's own bits, so heavy ties split like any other value.  What comes
-to the driver are these histograms, whose size depends on the number of leaves alone.
+dimensions are the logarithm of its size, the ranks of its first language and source
+among all values, and its first doc_id, and whose weight is its bytes.  A node is split
+at the weighted median of the dimension in which its points spread widest, until every
+leaf holds the target bytes.  The medians of all nodes of a level are found at once, on
+all their points, by histograms of the dimension's leading bits that narrow down until
+the bucket left is too light to matter; the text's hash follows the dimension's own
+bits, so heavy ties split like any other value.
+
+Nodes, histograms and splits are tables: they grow with the number of leaves, are worked
+on by executors, and nothing of them comes to the driver.
 """
 
 from __future__ import annotations
@@ -15,20 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import checked_broadcast, column_or_null, cut
+from coppice.llm.common import checked_broadcast, column_or_null, cut, cut_of
 
 DIMENSIONS = ("size_log", "lang_at", "source_at", "doc_at")
 #: Leading bits of a dimension and of the hash that breaks its ties.
-DIMENSION_BITS, TIE_BITS = 20, 32
+DIMENSION_BITS, TIE_BITS = 28, 24
 #: Bits that one histogram resolves, and the share of a node's bytes below which a bucket is not split further.
-STEP_BITS, FINE = 10, 0.0005
+STEP_BITS, FINE = 13, 0.0005
 #: Rows that one task numbers at most, about.
 NUMBERED_ROWS = 50_000
+#: Levels of splits that are applied before the points are written anew.
+LEVELS_EACH = 4
 
 
-def _ordinal(text: Column) -> Column:
-    """The first six characters as one number that sorts like the text; null comes first."""
-    return F.coalesce(sum(F.least(F.ascii(F.substring(text, i, 1)), F.lit(255)) * float(256 ** (6 - i)) for i in range(1, 7)), F.lit(-1.0))
+def _named(value: Column) -> Column:
+    """A text as a key that sorts like it; null comes first."""
+    return F.coalesce(F.concat(F.lit("s"), value), F.lit("n"))
+
+
+def _ranks(groups: DataFrame) -> DataFrame:
+    """``(dim, value, at)``: the place of every language and source among all, by code points.
+
+    Values are numbered within stretches of about ``NUMBERED_ROWS``, however many there are.
+    """
+    pairs = F.array(*(F.struct(F.lit(dim).alias("dim"), F.col(dim).alias("value")) for dim in ("lang", "source")))
+    values = cut(groups.select(F.inline(pairs)).distinct(), "values")
+    parts = max(1, -(-values.count() // NUMBERED_ROWS))
+    values = cut(values.repartitionByRange(parts, "dim", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = values.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    at = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("dim", "value"))
+    # a row for each stretch
+    firsts = F.broadcast(counts.select("part", before.alias("before")))
+    return values.join(firsts, "part").select("dim", "value", at.cast("double").alias("at"))
 
 
 def _points(rows: DataFrame) -> DataFrame:
@@ -36,11 +58,15 @@ def _points(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("h", "crc", "size").agg(
         F.sum("size").cast("double").alias("w"),
         F.log2("size").alias("size_log"),
-        _ordinal(F.min("lang")).alias("lang_at"),
-        _ordinal(F.min("source")).alias("source_at"),
+        _named(F.min("lang")).alias("lang"),
+        _named(F.min("source")).alias("source"),
         F.coalesce(F.min("doc_id"), F.lit(-1)).cast("double").alias("doc_at"),
     )
     g = cut(g, "groups")
+    ranks = cut(_ranks(g), "ranks")
+    for dim in ("lang", "source"):
+        of = ranks.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("at").alias(f"{dim}_at"))
+        g = g.join(checked_broadcast(of), dim)
     ends = g.agg(*(f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max)))).first()
     top, tie = float((1 << DIMENSION_BITS) - 1), F.col("h").bitwiseAND(F.lit((1 << TIE_BITS) - 1))
     keys = []
@@ -48,13 +74,7 @@ def _points(rows: DataFrame) -> DataFrame:
         lo, hi = ends[f"lo_{d}"] or 0.0, ends[f"hi_{d}"] or 0.0
         scaled = F.floor((F.col(d) - lo) / (hi - lo) * top) if hi > lo else F.lit(0)
         keys.append((F.shiftleft(scaled.cast("long"), TIE_BITS) + tie).alias(d))
-    return g.select("h", "crc", "size", "w", *keys, F.lit(0).alias("node"))
-
-
-def _values(spark, rows: list[tuple], names: str) -> DataFrame:
-    """Numbers as an inline table."""
-    body = ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+    return g.select("h", "crc", "size", "w", *keys, F.lit(0).cast("long").alias("node"))
 
 
 def _key_of(dimension: Column) -> Column:
@@ -64,70 +84,72 @@ def _key_of(dimension: Column) -> Column:
     return key
 
 
-def _medians(points: DataFrame, nodes: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """``(node, dimension, split)`` for each node that holds more than one leaf."""
-    spark = points.sparkSession
-    stats = (
-        points.where(F.col("node").isin(*nodes))
-        .groupBy("node")
-        .agg(
-            F.sum("w").alias("w"),
-            *(F.sum(F.col("w") * F.col(d)).alias(f"m_{d}") for d in DIMENSIONS),
-            *(F.sum(F.col("w") * F.col(d) * F.col(d)).alias(f"s_{d}") for d in DIMENSIONS),
-        )
-        .collect()
-    )
-    bits = DIMENSION_BITS + TIE_BITS
-    search, found = {}, []
-    for r in stats:
-        spread = [r[f"s_{d}"] / r["w"] - (r[f"m_{d}"] / r["w"]) ** 2 for d in DIMENSIONS]
-        leaves = nodes[r["node"]][1]
-        # node: dimension, low end, bits left open, weight below, weight wanted, weight of the node
-        search[r["node"]] = [spread.index(max(spread)), 0, bits, 0.0, r["w"] * (leaves // 2) / leaves, r["w"]]
-    while search:
-        table = _values(spark, [(n, d, f"{lo}L", left) for n, (d, lo, left, *_) in search.items()], "node, dim, lo, open_bits")
-        key = _key_of(F.col("dim"))
-        bucket = F.floor((key - F.col("lo")) / F.pow(F.lit(2.0), F.greatest(F.col("open_bits") - STEP_BITS, F.lit(0))))
-        inside = (key >= F.col("lo")) & (key < F.col("lo") + F.pow(F.lit(2.0), F.col("open_bits")).cast("long"))
-        sums = points.join(F.broadcast(table), "node").where(inside).groupBy("node", bucket.alias("bucket")).agg(F.sum("w").alias("w"))
-        by_node: dict[int, list] = {}
-        for r in sums.collect():
-            by_node.setdefault(r["node"], []).append((r["bucket"], r["w"]))
-        for n, (d, lo, left, below, wanted, all_w) in list(search.items()):
-            step = max(left - STEP_BITS, 0)
-            for b, w in sorted(by_node.get(n, [])):
-                if below + w >= wanted:
-                    break
-                below += w
-            lo += b << step
-            if step and w > FINE * all_w:
-                search[n] = [d, lo, step, below, wanted, all_w]
-                continue
-            # the bucket goes to the side that leaves the halves nearer to their shares
-            found.append((n, d, lo + (1 << step) if below + w - wanted < wanted - below else lo))
-            del search[n]
-    return found
+def _widest(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, dim, total, wanted`` of each node that is to be split: its widest dimension, its bytes, and those that go to the left."""
+    unit = 1.0 / (1 << (DIMENSION_BITS + TIE_BITS))
+    moments = [F.sum(F.col("w") * F.pow(F.col(d) * unit, n)).alias(f"m{n}_{d}") for d in DIMENSIONS for n in (1, 2)]
+    stats = points.join(checked_broadcast(nodes), "node").groupBy("node", "leaves").agg(F.sum("w").alias("total"), *moments)
+    spread = F.array(*(F.col(f"m2_{d}") / F.col("total") - F.pow(F.col(f"m1_{d}") / F.col("total"), 2) for d in DIMENSIONS))
+    wanted = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    return stats.select("node", (F.array_position(spread, F.array_max(spread)) - 1).cast("int").alias("dim"), "total", wanted.alias("wanted"))
+
+
+def _narrowed(points: DataFrame, search: DataFrame, open_bits: int) -> DataFrame:
+    """The bucket in which each node's median lies: ``lo`` moves up to it, ``below`` is the weight in front of it, ``inside`` its own."""
+    step = max(open_bits - STEP_BITS, 0)
+    key = _key_of(F.col("dim"))
+    near = points.join(checked_broadcast(search), "node").where((key >= F.col("lo")) & (key < F.col("lo") + F.lit(1 << open_bits)))
+    same = ("node", "dim", "total", "wanted", "lo", "below")
+    sums = near.groupBy(*same, F.shiftright(key - F.col("lo"), step).alias("bucket")).agg(F.sum("w").alias("w"))
+    # at most 2 ^ STEP_BITS rows for a node
+    upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("upto", upto)
+    this = F.struct("bucket", (F.col("upto") - F.col("w")).alias("below"), F.col("w").alias("inside"))
+    # sums of doubles may end a hair below the whole: then it is the last bucket
+    found = sums.groupBy(*same).agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("wanted"), this)), F.max(this)).alias("b"))
+    return found.select("node", "dim", "total", "wanted", (F.col("lo") + F.shiftleft(F.col("b.bucket"), step)).alias("lo"), F.col("b.below").alias("below"), F.col("b.inside").alias("inside"))
+
+
+def _medians(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, dim, split)``: keys below ``split`` go to the left."""
+    search = cut(_widest(points, nodes).withColumns({"lo": F.lit(0).cast("long"), "below": F.lit(0.0)}), "search")
+    open_bits, done = DIMENSION_BITS + TIE_BITS, None
+    while open_bits:
+        found = cut(_narrowed(points, search, open_bits), "narrowed")
+        open_bits = max(open_bits - STEP_BITS, 0)
+        fine = F.col("inside") <= FINE * F.col("total") if open_bits else F.lit(True)
+        # the bucket goes to the side that leaves the halves nearer to their shares
+        left = F.col("below") + F.col("inside") - F.col("wanted") < F.col("wanted") - F.col("below")
+        split = F.col("lo") + F.when(left, F.lit(1 << open_bits)).otherwise(0)
+        settled = found.where(fine).select("node", "dim", split.alias("split"))
+        done = settled if done is None else done.union(settled)
+        search = found.where(~fine).drop("inside")
+        if search.isEmpty():
+            break
+    return done
 
 
 def _shards_of(points: DataFrame, leaves: int) -> DataFrame:
-    nodes = {0: (0, leaves)}  # node: its first shard, its number of leaves
+    """``(h, crc, size, shard)``; the children of node ``i`` are ``2 i + 1`` and ``2 i + 2``."""
     points = cut(points, "points")
-    while open_ := {n: x for n, x in nodes.items() if x[1] > 1}:
-        splits, following, moves = _medians(points, open_), {n: x for n, x in nodes.items() if x[1] == 1}, []
-        fresh = max(nodes) + 1
-        for n, d, at in splits:
-            first, k = nodes[n]
-            following |= {fresh: (first, k // 2), fresh + 1: (first + k // 2, k - k // 2)}
-            moves.append((n, d, f"{at}L", fresh))
-            fresh += 2
-        if not moves:
-            break
-        table = F.broadcast(_values(points.sparkSession, moves, "node, dim, split, left_node"))
-        side = F.col("left_node") + (_key_of(F.col("dim")) >= F.col("split")).cast("int")
-        points = points.join(table, "node", "left").withColumn("node", F.coalesce(side, "node")).drop("dim", "split", "left_node")
-        points, nodes = cut(points, "points"), following
-    table = F.broadcast(_values(points.sparkSession, [(n, x[0]) for n, x in nodes.items()], "node, shard"))
-    return points.join(table, "node").select("h", "crc", "size", F.col("shard").cast("int").alias("shard"))
+    nodes = points.sparkSession.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(leaves).alias("leaves"))
+    for level in range(max(0, leaves - 1).bit_length()):
+        nodes = cut(nodes, "nodes")
+        splits = cut_of(lambda: _medians(points, nodes.where("leaves > 1").select("node", "leaves")), "splits")
+        # a node without points needs no split: no point looks for its leaves
+        side = F.when(_key_of(F.col("dim")) >= F.col("split"), 2).otherwise(1)
+        points = points.join(checked_broadcast(splits), "node", "left")
+        points = points.withColumn("node", F.when(F.col("split").isNull(), F.col("node")).otherwise(2 * F.col("node") + side)).drop("dim", "split")
+        if level % LEVELS_EACH == LEVELS_EACH - 1:
+            points = cut(points, "points")
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        children = F.array(
+            F.struct((2 * F.col("node") + 1).alias("node"), F.col("first"), half.alias("leaves")),
+            F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + half).alias("first"), (F.col("leaves") - half).alias("leaves")),
+        )
+        nodes = nodes.where("leaves = 1").union(nodes.where("leaves > 1").select(F.inline(children)))
+    nodes = cut(nodes, "nodes")
+    return points.join(checked_broadcast(nodes), "node").select("h", "crc", "size", F.col("first").alias("shard"))
 
 
 def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -135,9 +157,11 @@ def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None =
 
     Give the number of leaves or the bytes that a leaf aims at.  ``size`` is the UTF-8
     bytes of the text plus one.  Null and empty texts are one group; rows with equal
-    texts, repeated rows among them, share a shard even where that makes it large.
-    ``slot`` numbers a shard's rows from 0 without gaps.  The law is ``bytes``, so
-    ``grown_shard`` is null.  An empty table gives no rows; other columns are ignored.
+    texts, repeated rows among them, share a shard even where that makes it large.  Texts
+    of any length count whole; null languages, sources and ids come first in their
+    dimension.  ``slot`` numbers a shard's rows from 0 without gaps.  The law is
+    ``bytes``, so ``grown_shard`` is null.  An empty table gives no rows; other columns
+    are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -152,7 +176,7 @@ def shard(docs: DataFrame, leaves: int | None = None, target_bytes: int | None =
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if leaves is None:
         leaves = max(1, round(total / target_bytes))
-    placed = cut(_shards_of(_points(rows), leaves), "leaves")
+    placed = cut_of(lambda: _shards_of(_points(rows), leaves), "leaves")
     parts = max(1, -(-n // NUMBERED_ROWS))
     part = F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts))
     rows = cut(rows.join(placed, ["h", "crc", "size"]).select("doc_id", "size", "crc", "h", "shard", part.alias("part")), "sharded")

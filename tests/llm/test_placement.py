@@ -64,6 +64,51 @@ def test_shards_by_target_bytes(spark):
     assert sharding.shard(df, target_bytes=total // 4).select("shard").distinct().count() == 4
 
 
+def brute_tree(points, leaves, first=0):
+    """Shards of points ``(w, keys, name)`` by sorting whole nodes."""
+    if leaves == 1 or not points:
+        return {name: first for *_, name in points}
+    w = np.array([p[0] for p in points])
+    x = np.array([p[1] for p in points], float) / 2**52
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    dim = int(((w[:, None] * x * x).sum(0) / w.sum() - mean**2).argmax())
+    points = sorted(points, key=lambda p: p[1][dim])
+    half = leaves // 2
+    wanted = w.sum() * half / leaves
+    below, left = 0.0, 0
+    while below + points[left][0] < wanted:
+        below += points[left][0]
+        left += 1
+    left += below + points[left][0] - wanted < wanted - below
+    return brute_tree(points[:left], half, first) | brute_tree(points[left:], leaves - half, first + half)
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 40])
+def test_splits_as_by_brute_force(docs, leaves, monkeypatch):
+    """Searched to the last bit, every split is the weighted median of the widest dimension."""
+    monkeypatch.setattr(sharding, "FINE", 0.0)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"), "lang", "source")
+    points = sharding._points(rows).cache()
+    want = brute_tree([(r.w, tuple(r[d] for d in sharding.DIMENSIONS), r.h) for r in points.collect()], leaves)
+    assert {r.h: r["shard"] for r in sharding._shards_of(points, leaves).collect()} == want
+
+
+def test_ranks_tell_long_and_foreign_names_apart(spark):
+    names = ["prefix-the-same-a", "prefix-the-same-b", "Ωmega", "日本", "日本語", None, ""]
+    groups = spark.createDataFrame([("en" if i % 2 else None, n) for i, n in enumerate(names)], "lang string, source string")
+    groups = groups.select(sharding._named(F.col("lang")).alias("lang"), sharding._named(F.col("source")).alias("source"))
+    got = sorted((r["at"], r["dim"], r["value"]) for r in sharding._ranks(groups).collect())
+    assert [v for _, d, v in got if d == "source"] == ["n", "s", "sprefix-the-same-a", "sprefix-the-same-b", "sΩmega", "s日本", "s日本語"]
+    assert [a for a, *_ in got] == list(range(1, 10))
+
+
+def test_sharding_of_long_texts(spark):
+    rows = [(i, "x" * (1_500_000 + i)) for i in range(4)]
+    got = {r.size: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), leaves=4).collect()}
+    assert sorted(got) == [1_500_001 + i for i in range(4)] and sorted(got.values()) == [0, 1, 2, 3]
+
+
 def test_sharding_edge_cases(empty, clashing, docs, spark):
     assert sharding.shard(empty, leaves=8).count() == 0
     columns = ["doc_id", "size", "shard"]
