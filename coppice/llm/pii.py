@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field beside them.
 
 The base kinds are found by their patterns and stay as they are.  The field reads words
-by their shape (letters, digits and marks, not the letters themselves), together with
-the shapes of both neighbours, and is trained on a small labelled table by gradient
-ascent on the likelihood.  Words with neither a digit nor ``@`` are outside by
-definition, so the chain falls into short runs between such words; their best labels are
-found by Viterbi in numpy, many runs of one length at a time.  A labelled run becomes a
-span if it overlaps no base span and its digits or address form hold up.
+by their shape (letters, digits and marks, not the letters themselves; only ``at`` and
+``dot`` have shapes of their own where they could spell an address), together with the
+shapes of both neighbours, and is trained on a small labelled table by gradient ascent on
+the likelihood.  Words with neither a digit nor ``@``, outside spelled addresses and not
+lone marks between two digits, are outside by definition, so the chain falls into short
+runs between such words; their best labels are found by Viterbi in numpy, many runs of
+one length at a time.  A labelled run becomes a span if it overlaps no base span and its
+digits or address form hold up.
 """
 
 from __future__ import annotations
@@ -82,15 +84,51 @@ _SHAPE = bytes(
     ord("X") if 65 <= c <= 90 else ord("x") if 97 <= c <= 122 else ord("d") if 48 <= c <= 57 else ord("u") if c >= 128 else c for c in range(256)
 )
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: What could spell an address: ``at``, a name, and ``dot`` or a full stop before a last part.
+_SPELLED = re.compile(rb"(?i)(?<=[^a-z0-9])at[^a-z0-9\x80-\xff]{1,3}[a-z0-9-]+(?:[\s()\[\]{}<>_-]{1,3}dot[\s()\[\]{}<>_-]{1,3}|[(\[{<]?\.[)\]}>]?)[a-z]{2,}")
+_AT, _DOT = re.compile(rb"(?i)(?<![a-z0-9])at(?![a-z0-9])"), re.compile(rb"(?i)(?<![a-z0-9])dot(?![a-z0-9])")
+_MARKS = re.compile(rb"[()\[\]{}<>./_:-]{1,3}")
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def shape_of(text: str) -> bytes:
-    return text.encode("utf-8", "replace").translate(_SHAPE)
+    """A letter class for each byte of the UTF-8 text; ``at`` and ``dot`` of spelled addresses become two marks of their own."""
+    data = text.encode("utf-8", "replace")
+    out = data.translate(_SHAPE)
+    for m in _SPELLED.finditer(data):
+        part = _AT.sub(b"\x01\x01", data[m.start() : m.end()], 1)
+        part = _DOT.sub(b"\x02\x02\x02", part).translate(_SHAPE)
+        out = out[: m.start()] + part + out[m.end() :]
+    return out
+
+
+def words_of(shape: bytes) -> tuple[list[re.Match], list[bytes], list[tuple[int, int]]]:
+    """Words, their shapes, and the runs of words that the field labels, as half-open ranges."""
+    found = list(_WORD.finditer(shape))
+    shapes = [m[0] for m in found]
+    open_ = [b"d" in s or b"@" in s or b"\x01" in s or b"\x02" in s for s in shapes]
+    for i, s in enumerate(shapes):
+        if b"\x01" in s or b"\x02" in s:
+            # the names before and after a mark, and those between the marks
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(shapes):
+                    open_[j] = True
+        elif not open_[i] and 0 < i < len(shapes) - 1 and (b"d" in shapes[i - 1] or b"@" in shapes[i - 1] or b"@" in shapes[i + 1]) and _MARKS.fullmatch(s):
+            open_[i] = True
+    for i, s in enumerate(shapes):
+        if b"@" in s and len(s) <= 3:  # a lone @ has its names beside it
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(shapes):
+                    open_[j] = True
+    for i in range(1, len(shapes) - 1):
+        # a name between a lone mark and a last part: ``mail . org``
+        if not open_[i] and open_[i - 1] and shapes[i - 1] in _LONE and i > 1 and open_[i - 2]:
+            open_[i] = True
+    edges = [i for i in range(len(shapes) + 1) if (open_[i] if i < len(shapes) else False) != (open_[i - 1] if i else False)]
+    return found, shapes, list(zip(edges[::2], edges[1::2]))
 
 
-def _candidate(shape: bytes) -> bool:
-    return b"d" in shape or b"@" in shape
+_LONE = frozenset((b".", b"(.)", b"[.]", b"{.}"))
 
 
 @functools.lru_cache(1 << 16)
@@ -99,7 +137,7 @@ def own_features(shape: bytes) -> tuple[bytes, ...]:
     short = _RUNS.sub(rb"\1", shape)[:32]
     digits = min(shape.count(b"d"), 20)
     whole = (b"f=" + shape,) if len(shape) <= 24 else ()
-    return (*whole, b"c=" + short, b"n=%d" % digits, b"s=" + shape[:1], b"e=" + shape[-1:], b"@=%d" % (b"@" in shape), b".=%d" % min(shape.count(b"."), 5), b"-=%d" % min(shape.count(b"-"), 5))
+    return (*whole, b"c=" + short, b"n=%d" % digits, b"s=" + shape[:1], b"e=" + shape[-1:], b"@=%d" % (b"@" in shape), b"at=%d" % (b"\x01" in shape), b"dot=%d" % (b"\x02" in shape), b".=%d" % min(shape.count(b"."), 5), b"-=%d" % min(shape.count(b"-"), 5))
 
 
 @functools.lru_cache(1 << 16)
@@ -117,7 +155,14 @@ def features(shapes: list[bytes], i: int) -> tuple[bytes, ...]:
 # ---------------------------------------------------------------- the labelled table
 
 
-def example_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+# fixed values: ways of spelling an address out
+SPELLED = (
+    "{a} at {b} dot com", "{a}.{n} (at) {b} (dot) org", "{a}[at]{b}[dot]net", "{a}_{n} AT {b} DOT com", "{a} @ {b}.com",
+    "{a} (at) {b}.de", "{a} at {b}.org", "{a} <at> {b} <dot> io", "{a} @ {b} . com", "{a} {{at}} {b} {{dot}} co {{dot}} uk",
+)
+
+
+def example_rows(n: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table: ``(text, [(kind, start, end)])``, written by a seeded generator."""
     r = random.Random(seed)
     words = "please call the office about order and invoice from our team at noon or send it to".split()
@@ -128,23 +173,23 @@ def example_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str,
     def card() -> str:
         body = r.choice("3456") + digits(14)
         check = next(c for c in "0123456789" if luhn(body + c))
-        d, sep = body + check, r.choice(("", " ", "-", ".", "/"))
+        d, sep = body + check, r.choice(("", " ", "-", ".", "/", "_", "  ", " - ", " . "))
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        form = r.choice(("+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "+44 {} {} {}", "001 {} {} {}", "{}.{}.{}", "+1-{}-{}-{}", "1 {} {} {}"))
+        form = r.choice(("+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "+44 {} {} {}", "001 {} {} {}", "{}.{}.{}", "+1-{}-{}-{}", "1 {} {} {}", "{}/{}/{}", "{} {} {}", "00 44 {} {} {}", "tel:{}-{}-{}", "({}){}-{}", "+ {} {} {}", "0{} / {} {}"))
         return form.format(a, b, c)
 
     def name() -> str:
         return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
 
     def email() -> str:
-        form = r.choice(("{a}.{n}@{b}.com", "{a}@{b}.example.org", "<{a}_{n}@{b}.net>", "{a}{n}@{b}.co.uk", "{a}(@){b}.com", "{a}[@]{b}.org", "{a}@{b}[.]com"))
+        form = r.choice(("{a}.{n}@{b}.com", "{a}@{b}.example.org", "<{a}_{n}@{b}.net>", "{a}{n}@{b}.co.uk", "{a}(@){b}.com", "{a}[@]{b}.org", "{a}@{b}[.]com", *SPELLED))
         return form.format(a=name(), b=name(), n=digits(2))
 
     def ip() -> str:
-        sep = r.choice((".", ".", "[.]", "(.)"))
+        sep = r.choice((".", ".", "[.]", "(.)", " . ", "-dot-", "{.}", " [.] "))
         return sep.join(str(r.randint(0, 255)) for _ in range(4)) + r.choice(("", "", ":8080", "/24"))
 
     def other() -> str:
@@ -161,12 +206,24 @@ def example_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str,
                 f"{digits(2)}%",
                 f"{digits(3)},{digits(3)}",
                 f"{digits(6)}-{digits(4)}",
+                f"20{digits(2)}-0{digits(1)}-1{digits(1)} 1{digits(1)}:{digits(2)}:{digits(2)}",
+                f"0{digits(1)}.1{digits(1)}.20{digits(2)} {digits(2)}:{digits(2)}",
+                f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+                f"{digits(2)}.{digits(4)}, {digits(2)}.{digits(4)}",
+                f"{digits(1)},{digits(3)},{digits(3)}.{digits(2)}",
+                f"{digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+                f"{digits(2)} x {digits(2)} x {digits(2)}",
+                f"section {digits(1)}.{digits(1)}.{digits(1)}",
+                f"at {name()}.{name().title()} {name()}",
+                f"at {name()}. {name().title()}",
+                f"looked at {name()} dot {digits(1)} and",
+                f"@ {digits(1)} {name()}",
             )
         )
 
     rows = []
     for i in range(n):
-        parts: list[tuple[str, str | None]] = [(r.choice(words), None) for _ in range(r.randint(1, 5))]
+        parts: list[tuple[str, str | None]] = [(r.choice(words), None) for _ in range(r.randint(0, 5))]
         for _ in range(r.randint(1, 2)):
             kind = r.choice((*KINDS, None, None))
             made = {"email": email, "ip": ip, "card": card, "phone": phone, None: other}[kind]()
@@ -181,7 +238,7 @@ def example_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str,
     return rows
 
 
-def example_table(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFrame:
+def example_table(spark: SparkSession, n: int = 900, seed: int = 7) -> DataFrame:
     schema = "text string, spans array<struct<kind:string,start:int,end:int>>"
     return spark.createDataFrame(example_rows(n, seed), schema)
 
@@ -209,18 +266,6 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def _runs(shapes: list[bytes]) -> list[tuple[int, int]]:
-    """Runs of candidate words, as half-open ranges."""
-    runs, start = [], None
-    for i, s in enumerate(shapes):
-        if _candidate(s):
-            start = i if start is None else start
-        elif start is not None:
-            runs.append((start, i))
-            start = None
-    return runs + ([(start, len(shapes))] if start is not None else [])
-
-
 def fit(labelled: DataFrame, limit: int = LABELLED_ROWS) -> Field:
     """Train on rows ``(text, spans)`` by full-batch AdaGrad; rows beyond ``limit`` are not read."""
     got = labelled.orderBy("text").limit(limit).collect()
@@ -231,9 +276,7 @@ def fit_rows(rows: list[tuple[str, list[tuple[str, int, int]]]], turns: int = TU
     index: dict[bytes, int] = {}
     by_length: dict[int, list[tuple[list[list[int]], list[int]]]] = defaultdict(list)
     for text, spans in rows:
-        shape = shape_of(text)
-        found = list(_WORD.finditer(shape))
-        shapes = [m[0] for m in found]
+        found, shapes, runs_ = words_of(shape_of(text))
         labels = [OUTSIDE] * len(shapes)
         for kind, s, e in spans:
             if kind in KINDS:
@@ -241,7 +284,7 @@ def fit_rows(rows: list[tuple[str, list[tuple[str, int, int]]]], turns: int = TU
                 for i, m in enumerate(found):
                     if m.start() < e and m.end() > s:
                         labels[i] = 1 + KINDS.index(kind)
-        for a, b in _runs(shapes):
+        for a, b in runs_:
             ids = [[index.setdefault(f, len(index)) for f in features(shapes, i)] for i in range(a, b)]
             by_length[b - a].append((ids, labels[a:b]))
     w, moves = np.zeros((len(index), LABELS)), np.zeros((LABELS, LABELS))
@@ -299,14 +342,17 @@ def viterbi(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- decoding texts
 
-_TRIM = re.compile(r"[^A-Za-z0-9+(]*(.*[A-Za-z0-9])", re.DOTALL)
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\W{0,2}@\W{0,2}[A-Za-z0-9-]+(?:\W{1,3}[A-Za-z0-9-]+)+")
+_TRIM = re.compile(r"[^A-Za-z0-9]*(.*[A-Za-z0-9])", re.DOTALL)
+_TRIM_DIGITS = re.compile(r"[^0-9+(]*(.*[0-9])", re.DOTALL)
+_ADDRESS = re.compile(r"(?i)[A-Z0-9._%+-]+(?:\W{0,2}@\W{0,2}|\W{1,2}at\W{1,2})([A-Z0-9-]+(?:\W{1,3}[A-Z0-9-]+)+)")
+_DOTS = re.compile(r"(?i)\.|\bdot\b")
 
 
 def _holds_up(kind: int, text: str) -> bool:
     d = _digits(text)
     if kind == 0:
-        return _ADDRESS.fullmatch(text) is not None
+        m = _ADDRESS.fullmatch(text)
+        return m is not None and _DOTS.search(m[1]) is not None and text[-1].isalpha()
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) >= 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts[:4])
@@ -322,11 +368,10 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
     extra: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for d, text in enumerate(texts):
         shape = shape_of(text)
-        if not _candidate(shape):
+        if b"d" not in shape and b"@" not in shape and b"\x01" not in shape:
             continue
-        found = list(_WORD.finditer(shape))
-        shapes = [m[0] for m in found]
-        for a, b in _runs(shapes):
+        found, shapes, runs_ = words_of(shape)
+        for a, b in runs_:
             waiting[b - a].append((d, found[a:b], np.stack([field.emission(shapes, i) for i in range(a, b)])))
     for runs in waiting.values():
         best = viterbi(np.stack([e for *_, e in runs]), field.moves)
@@ -342,7 +387,7 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             data = text.encode("utf-8", "replace")
             for kind, s, e in more:
                 s, e = len(data[:s].decode()), len(data[:e].decode())
-                m = _TRIM.match(text[s:e])
+                m = (_TRIM_DIGITS if kind else _TRIM).match(text[s:e])
                 if not m:
                     continue
                 s, e = s + m.start(1), s + m.end(1)
@@ -372,7 +417,7 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     """One row per row of ``docs``: ``doc_id, base, spans``, arrays of (kind, start, end) in code points.
 
     ``labelled`` is the table the field is trained on; without one it is ``example_table``.
-    Null and empty texts have no spans, repeated rows get equal ones, null ids are kept,
+    Null and empty texts have no spans, texts of any length are read whole, repeated rows get equal ones, null ids are kept,
     an empty table gives no rows, and other columns are ignored.  Within one kind base
     spans do not overlap; a span that the field adds overlaps no base span.
     """

@@ -163,6 +163,53 @@ def test_field_on_held_out_examples():
     assert hit / wanted > 0.95
 
 
+# Written by hand, not by the generator that the field is trained on: what is hidden in a text, or nothing.
+HAND_LABELLED = [
+    ("You can reach Maria under maria.schulz (at) uni-ulm (dot) de until Friday.", "email", "maria.schulz (at) uni-ulm (dot) de"),
+    ("My address is tomk at riverbank dot org, thanks.", "email", "tomk at riverbank dot org"),
+    ("contact: sales[at]oldmill[dot]com", "email", "sales[at]oldmill[dot]com"),
+    ("Please forward it to h.ito AT physics DOT edu today", "email", "h.ito AT physics DOT edu"),
+    ("ping lee99 {at} proto {dot} io if it breaks", "email", "lee99 {at} proto {dot} io"),
+    ("Bug reports go to kern-dev@lists[.]kernel[.]org only", "email", "kern-dev@lists[.]kernel[.]org"),
+    ("her mail anna[@]post.se bounced", "email", "anna[@]post.se"),
+    ("Ask jo @ smallfarm.net for a price", "email", "jo @ smallfarm.net"),
+    ("The beacon called home to 185[.]220[.]101[.]4 every hour", "ip", "185[.]220[.]101[.]4"),
+    ("gateway 10(.)20(.)0(.)1 did not answer", "ip", "10(.)20(.)0(.)1"),
+    ("They blocked 203 . 0 . 113 . 77 last night", "ip", "203 . 0 . 113 . 77"),
+    ("Server: 172{.}16{.}5{.}9, port open", "ip", "172{.}16{.}5{.}9"),
+    ("pay with 4012.8888.8888.1881 before noon", "card", "4012.8888.8888.1881"),
+    ("He read out 5555/5555/5555/4444 over the line", "card", "5555/5555/5555/4444"),
+    ("Card: 4222_2222_2222_2220 on file", "card", "4222_2222_2222_2220"),
+    ("charged to 6011  1111  1111  1117 in May", "card", "6011  1111  1111  1117"),
+    ("Call the desk on (415) 555-0132 after lunch", "phone", "(415) 555-0132"),
+    ("my new cell: 212-555-0199.", "phone", "212-555-0199"),
+    ("Ring 0044 20 7946 0958 and ask for Pat", "phone", "0044 20 7946 0958"),
+    ("Fax 303.555.0148 still works", "phone", "303.555.0148"),
+    ("or text 1 650 555 0177 any time", "phone", "1 650 555 0177"),
+    ("(808)555-0111 is the harbour office", "phone", "(808)555-0111"),
+    ("Leave word at 617 555 0165, she calls back", "phone", "617 555 0165"),
+    ("tel:720-555-0120 is on the door", "phone", "720-555-0120"),
+]
+HAND_CLEAN = [
+    "We met at noon. Dot came later with 12 cups and 3 plates.", "Released on 2023-11-05 14:22:31 as version 10.4.2", "ISBN 978-3-16-148410-0, second edition",
+    "The total of 1,284,300.50 was paid in 3 parts", "Look at chapter 4.2.1.3 and at page 118", "Room 204, floor 3, at the end of hall 12", "52.5200, 13.4050 is the old gate",
+    "Order 9000426309966109 was sent back", "at home.Then we left", "follow @harbourlights for news", "from 1939 to 1945 and 1950 to 1953", "mix 2 x 100 x 50 with 3/4 cup at 180 degrees",
+    "Tickets cost $12.50 at the door, 10% off before 18:00", "IPs like 300.1.2.3 make no sense", "1 2 3 4 5 6 7 8", "sha 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "",
+]
+
+
+def test_field_finds_what_the_patterns_miss():
+    """Rows written by hand: recall over hidden data, no span of its own in clean rows."""
+    field = pii.fit_rows(pii.example_rows())
+    hit = 0
+    for text, kind, hidden in HAND_LABELLED:
+        (base, spans), at = pii.spans_of([text], field)[0], text.index(hidden)
+        assert not any(s < at + len(hidden) and at < e and pii.KINDS[k] == kind for k, s, e in base)
+        hit += any(pii.KINDS[k] == kind and text[s:e] == hidden for k, s, e in spans)
+    assert hit >= 0.9 * len(HAND_LABELLED), f"{hit} of {len(HAND_LABELLED)}"
+    assert [(t, x) for t, x in zip(HAND_CLEAN, pii.spans_of(HAND_CLEAN, field)) if x[0] != x[1]] == []
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(2)
     e, moves = r.normal(size=(1, 4, pii.LABELS)), r.normal(size=(pii.LABELS, pii.LABELS))
