@@ -204,8 +204,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, partition: int =
     """Place every piece of every row: ``_PIECE`` columns, ``sequence_id, offset, bins, bound``.
 
     ``bins`` and ``bound`` certify the partition in which a piece was placed last: it
-    used ``bins`` sequences and cannot do with fewer than ``bound``.  A null or empty
-    text is the closing id 0 alone.  Repeated rows are packed each for itself (the
+    used ``bins`` sequences and cannot do with fewer than ``bound``.  After ``rounds``
+    exchanges, or once one saves nothing, what is left stays as it is packed, valid but
+    with a gap that ``bins`` and ``bound`` show.  A null or empty text is the closing id 0
+    alone; texts of any length are read whole.  Repeated rows are packed each for itself (the
     hidden ``row_id`` tells them apart), ties of length go by row and piece, an empty
     table gives no rows, and other columns are ignored.
     """

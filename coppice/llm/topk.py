@@ -107,8 +107,9 @@ def top_k(table: DataFrame, is_query, k: int = K, scale: int = SCALE, candidates
     Ties of score go to the smaller vec_id.  A query's own row is no candidate; a row
     repeated with its vec_id is one, and a repeated query is answered once for each
     row.  Shorter vectors are filled up with zeros; rows with a null vec_id take no
-    part.  Scores beyond a long are held at its ends.  An empty table gives no rows;
-    other columns are ignored.
+    part.  Products beyond the range of a long are held at its ends: a component of
+    2^63 / ``scale`` or more counts as that, and so does a score.  An empty table gives no
+    rows; other columns are ignored.
     """
     rows = cut(integer_vectors(table.where("vec_id is not null"), scale), "vectors")
     asked = rows.where(is_query)

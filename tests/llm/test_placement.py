@@ -352,6 +352,23 @@ def test_pipeline_stages(spark, docs):
     check_packing(packed, brute_pieces([(r.doc_id, r.text) for r in mix.collect()]))
 
 
+def test_pipeline_on_empty_and_clashing_tables(spark, empty, clashing, docs):
+    import corpus_pipeline
+
+    given_, odd, none = docs, clashing, empty
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given_, odd, none = (stage(spark, x, TABLES).cache() for x in (given_, odd, none))
+        assert none.count() == 0 and none.columns == empty.columns, name
+        assert odd.columns == clashing.columns, name
+        assert sorted(map(repr, odd.select(docs.columns).collect())) == sorted(map(repr, given_.collect())), name
+        extra = [c for c in clashing.columns if c not in docs.columns and c != "odd name`"]
+        assert {r[0] for c in extra for r in odd.select(f"`{c}`").distinct().collect()} == {"clash", "dotted"}, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    assert pack(spark, none, TABLES).count() == 0
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(repr, pack(spark, odd, TABLES).select(columns).collect())) == sorted(map(repr, pack(spark, given_, TABLES).select(columns).collect()))
+
+
 def test_queries_agree_with_sql_and_contract(spark):
     import os
 
