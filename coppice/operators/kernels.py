@@ -76,7 +76,7 @@ def bypass_once(edges: DataFrame) -> DataFrame:
 
 
 def kernel(edges: DataFrame, directed: bool, how: str = "auto", max_iter: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Kernel edges and forced vertices by all rules."""
+    """Kernel edges and forced vertices by all rules; more than ``max_iter`` turns over tables are an error."""
     e = canonical(edges, directed, loops=True)
     if how == "worker" or (how == "auto" and is_small(e)):
 
@@ -96,9 +96,9 @@ def kernel(edges: DataFrame, directed: bool, how: str = "auto", max_iter: int =
         e = cut((bypass_once if directed else contract_once)(cut(e, "kernel")), "kernel")
         now = signature(e)
         if now == before:
-            break
+            return e, forced
         before = now
-    return e, forced
+    raise RuntimeError(f"kernel: no fixpoint after {max_iter} turns")
 
 
 def rekernel(edges: DataFrame, committed: DataFrame, directed: bool, how: str = "auto") -> tuple[DataFrame, DataFrame]:

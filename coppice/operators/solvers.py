@@ -1,14 +1,17 @@
 """Feedback vertex sets: exact and heuristic searches, one graph or component per row.
 
 A search is not relational, so it runs in workers, keyed by graph or, with
-``solve_by_component``, by components, whose least sizes add up.  Exact searches take a graph
-of more than ``EXACT_VERTICES`` vertices by the components of its kernel; one that still has more
-goes to the heuristic, and ``status`` and ``bound`` say so.  ``exact_vertices`` sets another limit;
-with None the search is exact whatever it takes, which the registered queries ask for.
+``solve_by_component``, by components, whose least sizes add up.  An exact algorithm is
+never exchanged for another: ``bst`` and ``ic`` take a graph by the components of its
+kernel, whatever their size, and with ``seconds`` a search that is not done by then ends
+with status TIMEOUT, no solution, and the lower bound that it had reached.  Heuristics
+stop at that time with the best solution so far; without it they stop by generations.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,55 +20,71 @@ from coppice.operators.edges import KEYS, both_ways, canonical, in_out_degrees,
 from coppice.operators.structure import connected, graph_rows, numbered, peel, per_graph, strong_components
 from coppice.plans.fixpoint import cut
 
-EXACT_VERTICES = 60
 EXACT = ("bst", "ic", "brute")
-SOLUTION = "graph_id long, fvs_size long, solution array<long>, valid boolean, minimal boolean, bound long, status string"
-
-
-def _solve(directed: bool, algo: str, options: dict, exact_vertices: int | None):
-    small = EXACT_VERTICES if exact_vertices is None else exact_vertices
-
-    def exactly(graph: G.Graph) -> tuple[int, int, bool]:
-        """Solution, lower bound, and whether the solution is a least one."""
-        if graph.n <= small:
-            x = G.SOLVERS[algo](graph)
-            return x, x.bit_count(), True
-        pieces, x = G.kernel_pieces(graph, small)
-        bound, exact = x.bit_count(), True
-        for h, part in pieces:
-            if exact_vertices is None or part.bit_count() <= small:
-                found = G.SOLVERS[algo](h, alive=part)
-                bound += found.bit_count()
-            else:
-                found, exact = G.solve_memetic(h, alive=part, **options), False
-                bound += G.packing_bound(h, part)
+SOLUTION = (
+    "graph_id long, n long, m long, fvs_size long, solution array<long>, valid boolean, minimal boolean, bound long, status string, "
+    "kernel_n long, kernel_s double, search_s double"
+)
+
+
+def _exactly(graph: G.Graph, algo: str, clock: G.Clock) -> tuple[int | None, int, int, float]:
+    """Solution (None if time is up), lower bound, vertices searched, seconds of the reduction."""
+    start = time.monotonic()
+    # over all subsets, the first solution is of the graph itself, so it is not reduced
+    pieces, x = ([(graph, G.core(graph, graph.all))], 0) if algo == "brute" else G.kernel_pieces(graph)
+    kernel_s, bound, whole = time.monotonic() - start, x.bit_count(), True
+    for h, part in pieces:
+        try:
+            found = G.SOLVERS[algo](h, alive=part, clock=clock)
+            bound += found.bit_count()
             x |= found
-        return (x if exact else G.minimal(graph, x)), bound, exact
+        except G.OutOfTime as late:
+            whole = False
+            bound += max(late.bound, G.lower_bound(h, part))
+    return (x if whole else None), bound, sum(part.bit_count() for _, part in pieces), kernel_s
+
 
+def _solve(directed: bool, algo: str, options: dict, seconds: float | None):
     def work(g: int, edges: list[tuple[int, int]]) -> list[tuple]:
-        graph, ids = numbered(edges, directed)
+        start = time.monotonic()
+        (graph, ids), clock = numbered(edges, directed), G.Clock(seconds)
         if algo in EXACT:
-            x, bound, exact = exactly(graph)
+            x, bound, kernel_n, kernel_s = _exactly(graph, algo, clock)
+            status = "TIMEOUT" if x is None else "EXACT"
         else:
-            x, bound, exact = G.SOLVERS[algo](graph, **({} if algo == "greedy" else options)), G.packing_bound(graph, graph.all), False
+            kernel_n, kernel_s, status = graph.n, 0.0, "HEURISTIC"
+            if algo in G.KERNEL_FIRST:
+                kernel_n = G.kernelize(graph)[1].bit_count()
+                kernel_s = time.monotonic() - start
+            x = G.SOLVERS[algo](graph, **({} if algo == "greedy" else options | {"clock": clock}))
+            bound = G.packing_bound(graph, graph.all)
+        search_s = time.monotonic() - start - kernel_s
+        if x is None:
+            return [(g, graph.n, len(edges), None, None, None, None, bound, status, kernel_n, kernel_s, search_s)]
         valid = G.acyclic(graph, graph.all & ~x)
         minimal = valid and G.minimal(graph, x) == x
-        return [(g, x.bit_count(), [ids[v] for v in G.bits(x)], valid, minimal, bound, "EXACT" if exact else "HEURISTIC")]
+        return [(g, graph.n, len(edges), x.bit_count(), [ids[v] for v in G.bits(x)], valid, minimal, bound, status, kernel_n, kernel_s, search_s)]
 
     return work
 
 
-def solve(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, exact_vertices: int | None = EXACT_VERTICES, **options) -> DataFrame:
-    """``SOLUTION`` rows, one per graph (of ``ids``, if given: graphs without edges have size 0)."""
+def solve(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, seconds: float | None = None, **options) -> DataFrame:
+    """``SOLUTION`` rows, one per graph (of ``ids``, if given: graphs without edges have size 0).
+
+    ``status`` is EXACT, HEURISTIC or TIMEOUT; with TIMEOUT size, solution and flags are
+    null and ``bound`` is a lower bound.  ``seconds`` holds for each graph.  ``n`` counts
+    vertices with an edge, ``kernel_n`` those that the search is left with.
+    """
     rows = graph_rows(canonical(edges, directed, loops=True), ids)
-    return per_graph(rows, _solve(directed, algo, options, exact_vertices), SOLUTION)
+    return per_graph(rows, _solve(directed, algo, options, seconds), SOLUTION)
 
 
 def solve_by_component(
-    edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, how: str = "auto", exact_vertices: int | None = EXACT_VERTICES, **options
+    edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, how: str = "auto", seconds: float | None = None, **options
 ) -> DataFrame:
     """``(graph_id, fvs_size, pieces, bound, status)``: sums of the pieces' sizes and bounds; each strong or plain component
-    is a task's row.  ``status`` is EXACT where all pieces are."""
+    is a task's row.  ``seconds`` holds for each piece; ``status`` is EXACT where all pieces are, and TIMEOUT, with
+    a null size, where one is."""
     e = cut(canonical(edges, directed, loops=True), "edges")
     e = cut(peel(e, directed, sinks=directed, how=how), "peeled")
     labels = cut(strong_components(e, how).withColumnRenamed("scc", "component") if directed else connected(e), "labels")
@@ -75,29 +94,34 @@ def solve_by_component(
         b = labels.select("graph_id", F.col("v").alias("dst"), F.col("component").alias("other"))
         inner = inner.join(b, ["graph_id", "dst"]).where("piece = other")
     rows = inner.groupBy("graph_id", "piece").agg(F.collect_list(F.struct("src", "dst")).alias("edges")).select(F.struct("graph_id", "piece").alias("k"), "edges")
-    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options, exact_vertices), SOLUTION.replace("graph_id long", "graph_id string"))
+    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options, seconds), SOLUTION.replace("graph_id long", "graph_id string"))
     parts = found.select(F.get_json_object("graph_id", "$.graph_id").cast("long").alias("graph_id"), "fvs_size", "bound", "status")
-    # of the two words HEURISTIC is the larger one
+    # of the three words TIMEOUT is the largest one, then HEURISTIC
     sizes = parts.groupBy("graph_id").agg(F.sum("fvs_size").alias("fvs_size"), F.count(F.lit(1)).alias("pieces"), F.sum("bound").alias("bound"), F.max("status").alias("status"))
     if ids is None:
         ids = edges.select("graph_id").distinct()
     zero = F.lit(0).cast("long")
-    counts = (F.coalesce(name, zero).alias(name) for name in ("fvs_size", "pieces", "bound"))
-    return ids.select("graph_id").distinct().join(sizes, "graph_id", "left").select("graph_id", *counts, F.coalesce("status", F.lit("EXACT")).alias("status"))
+    counts = (F.coalesce(name, zero).alias(name) for name in ("pieces", "bound"))
+    j = ids.select("graph_id").distinct().join(sizes, "graph_id", "left").withColumn("status", F.coalesce("status", F.lit("EXACT")))
+    return j.select("graph_id", F.when(F.col("status") != "TIMEOUT", F.coalesce("fvs_size", zero)).alias("fvs_size"), *counts, "status")
 
 
 def greedy(edges: DataFrame, directed: bool, by: str = "degree", max_iter: int = 100_000) -> DataFrame:
     """``(graph_id, v)``: take the largest residual degree (``out``: out-degree), ties to the larger id, until acyclic.
 
     Every turn takes one vertex from each graph that still has a cycle: a table of many
-    graphs needs as many turns as its largest solution has vertices.
+    graphs needs as many turns as its largest solution has vertices.  More than
+    ``max_iter`` are an error.  Tables of small graphs are better served by
+    ``solve(algo="greedy")``, which takes no turns over tables.
     """
     e = cut(canonical(edges, directed, loops=True), "edges")
     taken = []
-    for _ in range(max_iter):
+    while True:
         cyclic = cut(peel(e, directed).select("graph_id").distinct(), "cyclic")
         if cyclic.isEmpty():
             break
+        if len(taken) >= max_iter:
+            raise RuntimeError(f"greedy: cycles left after {max_iter} turns")
         e = cut(e.join(cyclic, "graph_id", "left_semi"), "edges")
         if directed:
             d = in_out_degrees(e).withColumn("d", F.col("out_degree") if by == "out" else F.col("in_degree") + F.col("out_degree"))
