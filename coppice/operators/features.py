@@ -1,7 +1,9 @@
 """Vertex features in three generations, as one column per channel.
 
 Denominators are guarded as ``max(n - 1, 1)``; ``of`` lists all vertices, so isolated
-ones get zero rows; ``n`` is the number of vertices of a graph.
+ones get zero rows; ``n`` is the number of vertices of a graph.  What the second and third
+generation are made of has two ways with equal results: graphs of up to ``SMALL_VERTICES``
+vertices are read once each, in workers; larger ones go through joins and aggregates.
 """
 
 from __future__ import annotations
@@ -11,11 +13,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.functions import adjacency as L
+from coppice.functions import graphs as G
 from coppice.operators.edges import canonical, degrees, in_out_degrees
-from coppice.operators.structure import clustering, connected, core_numbers, four_cliques, four_cycles, return_probabilities, strong_components, triangles
+from coppice.operators.structure import (
+    clustering,
+    connected,
+    core_numbers,
+    dense_walks,
+    four_cliques,
+    four_cycles,
+    graph_rows,
+    is_small,
+    per_graph,
+    return_probabilities,
+    strong_components,
+    triangles,
+)
 from coppice.plans.fixpoint import cut
 
 EPS = 1e-8
+#: Vertices of a graph whose features one worker makes in one pass.
+SMALL_VERTICES = 300
 
 
 def _with_n(of: DataFrame) -> DataFrame:
@@ -70,22 +89,115 @@ def directed_v1(edges: DataFrame, of: DataFrame) -> DataFrame:
     )
 
 
-def _motifs(edges: DataFrame) -> list[DataFrame]:
-    return [triangles(edges), four_cycles(edges), four_cliques(edges), core_numbers(edges)]
+_RAW = ("n", "in_degree", "out_degree", "degree", "triangles", "cycles", "cliques", "core", "component_size")
+
+
+def _motif_counts(g: G.Graph) -> tuple[list[int], list[int], list[int]]:
+    """Triangles, cycles of four without a chord, and complete fours at each vertex of an undirected graph."""
+    near = [x & ~(1 << v) for v, x in enumerate(g.out)]
+    three, cycles, four = [0] * g.n, [0] * g.n, [0] * g.n
+    for v in range(g.n):
+        above = -1 << v + 1
+        for w in G.bits(near[v]):
+            three[v] += (near[v] & near[w]).bit_count()
+        three[v] //= 2
+        for w in G.bits(~near[v] & above & g.all):
+            common = near[v] & near[w]
+            n = sum((common & ~near[p] & ~(1 << p)).bit_count() for p in G.bits(common)) // 2
+            cycles[v] += n
+            cycles[w] += n
+        for w in G.bits(near[v] & above):
+            common = near[v] & near[w] & (-1 << w + 1)
+            for x in G.bits(common):
+                last = common & near[x] & (-1 << x + 1)
+                for y in (v, w, x):
+                    four[y] += last.bit_count()
+                for y in G.bits(last):
+                    four[y] += 1
+    return three, cycles, four
+
+
+def _raw_in_workers(edges: DataFrame, of: DataFrame, directed: bool, steps: tuple[int, ...], motifs: bool) -> DataFrame:
+    # a vertex without edges travels as an edge that leads nowhere
+    rows = graph_rows(edges.select("graph_id", "src", "dst").unionByName(of.select("graph_id", F.col("v").alias("src"), F.lit(None).cast("long").alias("dst"))))
+
+    def work(g: int, pairs: list[tuple[int, int | None]]) -> list[tuple]:
+        ids = sorted({a for a, b in pairs if b is None})
+        at = {v: i for i, v in enumerate(ids)}
+        es = [(at[a], at[b]) for a, b in pairs if b is not None and a != b and a in at and b in at]
+        both = G.Graph(len(ids), es, False)
+        arcs = G.Graph(len(ids), es, directed)
+        # every vertex has a loop, so that the lists hold them all under the same numbers
+        plain = [(v, v) for v in range(len(ids))]
+        flat = L.Lists(es + plain, False)
+        lists = L.Lists(es + plain, True) if directed else flat
+        label = L.strong_components(lists) if directed else L.plain_components(flat)
+        size = [0] * len(ids)
+        for c in label:
+            size[c] += 1
+        core = L.core_numbers(flat)
+        three, cycles, four = _motif_counts(both) if motifs else ([x // 2 for x in _closed(both)], [0] * len(ids), [0] * len(ids))
+        walk = dense_walks(lists, steps)
+        return [
+            (
+                g, v, len(ids), arcs.into[i].bit_count(), arcs.out[i].bit_count(), both.out[i].bit_count(),
+                three[i], cycles[i], four[i], core[i], size[label[i]], [walk[k][i] for k in steps],
+            )
+            for i, v in enumerate(ids)
+        ]
+
+    return per_graph(rows, work, "graph_id long, v long, " + ", ".join(f"{c} long" for c in _RAW) + ", walks array<double>")
+
+
+def _closed(g: G.Graph) -> list[int]:
+    return [sum((g.out[v] & g.out[w]).bit_count() for w in G.bits(g.out[v])) for v in range(g.n)]
+
+
+def _raw(edges: DataFrame, of: DataFrame, directed: bool, steps: tuple[int, ...], motifs: bool, how: str) -> DataFrame:
+    """``graph_id, v``, the counts of ``_RAW`` and ``rwse_k`` for each vertex of ``of``; loops are left out."""
+    edges, of = _once(edges, of, directed)
+    largest = of.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    if how == "worker" or (how == "auto" and largest <= SMALL_VERTICES and is_small(edges)):
+        raw = _raw_in_workers(edges, of, directed, steps, motifs)
+        return raw.select("graph_id", "v", *_RAW, *(F.col("walks")[i].alias(f"rwse_{k}") for i, k in enumerate(steps)))
+    flat = canonical(edges)
+    d = degrees(flat)
+    if directed:
+        d = in_out_degrees(edges).join(d, ["graph_id", "v"], "left")
+        c = strong_components(edges).withColumnRenamed("scc", "component")
+    else:
+        d = d.withColumns({"in_degree": F.col("degree"), "out_degree": F.col("degree")})
+        c = connected(edges)
+    size = F.count(F.lit(1)).over(Window.partitionBy("graph_id", "component"))
+    c = c.withColumn("component_size", size).select("graph_id", "v", "component_size")
+    parts = [d, c, triangles(flat), core_numbers(flat), _walks(edges, of, directed, steps)] + ([four_cycles(flat), four_cliques(flat)] if motifs else [])
+    j = _joined(_with_n(of), parts)
+    for name in _RAW:
+        if name not in j.columns:
+            j = j.withColumn(name, F.lit(0))
+    return j.withColumn("component_size", F.greatest("component_size", F.lit(1))).select("graph_id", "v", *_RAW, *(f"rwse_{k}" for k in steps))
 
 
-def v2(edges: DataFrame, of: DataFrame, directed: bool) -> DataFrame:
+def _ratio(c: str) -> Column:
+    return F.col(c) / _rest("n")
+
+
+def v2(edges: DataFrame, of: DataFrame, directed: bool, how: str = "auto") -> DataFrame:
     """11 channels: v1, return probabilities of steps 2 to 5, three motif counts and the core number.
 
     Directed degrees leave loops out; motifs and cores are those of the undirected projection.
     """
-    edges, of = _once(edges, of, directed)
-    first = directed_v1(edges, of) if directed else undirected_v1(edges, of)
-    base = _joined(_with_n(of), [first, _walks(edges, of, directed, (2, 3, 4, 5)), *_motifs(edges)])
-    return base.select(
+    raw = _raw(edges, of, directed, (2, 3, 4, 5), True, how)
+    if directed:
+        first = [_ratio("in_degree").alias("in_ratio"), _ratio("out_degree").alias("out_ratio"), (F.least("in_degree", "out_degree") / _rest("n")).alias("least_ratio")]
+    else:
+        pairs = F.col("degree") * (F.col("degree") - 1)
+        closed = F.when(F.col("degree") >= 2, 2.0 * F.col("triangles") / pairs).otherwise(0.0)
+        first = [_ratio("degree").alias("degree_ratio"), closed.alias("clustering"), _log_norm("degree").alias("degree_log")]
+    return raw.select(
         "graph_id",
         "v",
-        *(c for c in first.columns if c not in ("graph_id", "v")),
+        *first,
         *(f"rwse_{k}" for k in (2, 3, 4, 5)),
         _log_norm("triangles").alias("triangles_log"),
         _log_norm("cycles").alias("cycles_log"),
@@ -97,29 +209,17 @@ def v2(edges: DataFrame, of: DataFrame, directed: bool) -> DataFrame:
 V3_STEPS = (2, 3, 4, 6, 8, 12, 16)
 
 
-def v3(edges: DataFrame, of: DataFrame, directed: bool) -> DataFrame:
+def v3(edges: DataFrame, of: DataFrame, directed: bool, how: str = "auto") -> DataFrame:
     """16 channels: three degree ratios, in-out balance, seven return probabilities, component size and
     whether it holds a cycle by more than one vertex, cycle score, triangles and core number, each by its maximum."""
-    edges, of = _once(edges, of, directed)
-    if directed:
-        e = canonical(edges, True)
-        d = in_out_degrees(e)
-        c = strong_components(e).withColumnRenamed("scc", "component")
-    else:
-        e = canonical(edges)
-        d = degrees(e).select("graph_id", "v", F.col("degree").alias("in_degree"), F.col("degree").alias("out_degree"))
-        c = connected(e)
-    size = F.count(F.lit(1)).over(Window.partitionBy("graph_id", "component"))
-    c = c.withColumn("component_size", size).select("graph_id", "v", "component_size")
-    j = _joined(_with_n(of), [d, c, _walks(edges, of, directed, V3_STEPS), triangles(edges), core_numbers(edges)])
-    j = j.withColumn("component_size", F.greatest("component_size", F.lit(1)))
+    j = _raw(edges, of, directed, V3_STEPS, False, how)
     j = j.withColumn("score", F.col("in_degree") * F.col("out_degree") / (F.col("n") * F.col("component_size")))
     ratio = F.col("in_degree") / (F.col("in_degree") + F.col("out_degree") + EPS) if directed else F.lit(0.5)
     return j.select(
         "graph_id",
         "v",
-        (F.col("in_degree") / _rest("n")).alias("in_ratio"),
-        (F.col("out_degree") / _rest("n")).alias("out_ratio"),
+        _ratio("in_degree").alias("in_ratio"),
+        _ratio("out_degree").alias("out_ratio"),
         (F.least("in_degree", "out_degree") / _rest("n")).alias("least_ratio"),
         ratio.alias("balance"),
         *(f"rwse_{k}" for k in V3_STEPS),

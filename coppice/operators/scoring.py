@@ -101,7 +101,7 @@ def class_weights(labels: DataFrame, label: str = "y") -> DataFrame:
     return labels.groupBy(label).agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select(label, (F.col("n") / (2 * F.col("c"))).alias("weight"))
 
 
-def focal_loss(logit: Column, y: Column, fp_gamma: float = 2.0, fn_gamma: float = 0.5, eps: float = 1e-7) -> Column:
+def focal_loss(logit: Column, y: Column, fp_gamma: float = 2.0, fn_gamma: float = 0.5, eps: float = 1e-8) -> Column:
     """``-(1 - p_t)^gamma log p_t`` with one exponent for each class."""
     p = sigmoid(logit)
     p_t = F.least(F.greatest(F.when(y == 1, p).otherwise(1 - p), F.lit(eps)), F.lit(1 - eps))

@@ -14,15 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.functions import adjacency as L
 from coppice.functions import graphs as G
 from coppice.operators.components import component_labels
 from coppice.operators.edges import KEYS, both_ways, canonical, in_out_degrees, induced, vertices, without_vertices
-from coppice.plans.fixpoint import cut, drop_cut, fixpoint
+from coppice.plans.fixpoint import cut, cut_of, drop_cut, fixpoint
 
 #: A graph with more edges than this is not handed to one worker.
 WORKER_EDGES = 200_000
-#: For components alone, which bit sets are slow at, the bound is lower.
-WORKER_VERTEX_SETS = 5_000
+#: Vertices of a graph whose walks a worker takes as a dense matrix.
+DENSE_VERTICES = 1_000
+#: Start vertices of a large graph whose walks are followed at once.
+WALK_STARTS = 2_000
 
 
 def graph_rows(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -70,13 +73,13 @@ def is_small(edges: DataFrame, most: int = WORKER_EDGES) -> bool:
 
 
 def _component_rows(g: int, edges: list[tuple[int, int]]) -> list[tuple]:
-    graph, ids = numbered(edges, False)
-    return [(g, ids[v], ids[next(G.bits(part))]) for part in G.components(graph, graph.all) for v in G.bits(part)]
+    graph = L.Lists(edges, True)
+    return [(g, graph.ids[v], graph.ids[c]) for v, c in enumerate(L.plain_components(graph))]
 
 
 def connected(edges: DataFrame, of: DataFrame | None = None, keys=KEYS, how: str = "auto") -> DataFrame:
     """``(keys, v, component)``: smallest vertex reachable; vertices of ``of`` without edges are their own."""
-    if tuple(keys) == KEYS and (how == "worker" or (how == "auto" and is_small(edges, WORKER_VERTEX_SETS))):
+    if tuple(keys) == KEYS and (how == "worker" or (how == "auto" and is_small(edges))):
         labels = per_graph(graph_rows(edges.select(*KEYS, "src", "dst").distinct()), _component_rows, "graph_id long, v long, component long")
     else:
         labels = component_labels(edges, keys=tuple(keys))
@@ -95,8 +98,8 @@ def largest_component(edges: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def _scc_rows(g: int, edges: list[tuple[int, int]]) -> list[tuple]:
-    graph, ids = numbered(edges, True)
-    return [(g, ids[v], ids[next(G.bits(part))]) for part in G.components(graph, graph.all) for v in G.bits(part)]
+    graph = L.Lists(edges, True)
+    return [(g, graph.ids[v], graph.ids[c]) for v, c in enumerate(L.strong_components(graph))]
 
 
 def strong_components(edges: DataFrame, how: str = "auto") -> DataFrame:
@@ -159,16 +162,10 @@ def peel(edges: DataFrame, directed: bool, sinks: bool = False, how: str = "auto
     if how == "worker" or (how == "auto" and is_small(e)):
 
         def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
-            graph, ids = numbered(es, directed)
-            left, before = graph.all, -1
-            while left != before:
-                before = left
-                left = G.core(graph, left)
-                if directed and sinks:
-                    graph.out, graph.into = graph.into, graph.out
-                    left = G.core(graph, left)
-                    graph.out, graph.into = graph.into, graph.out
-            inside = {ids[v] for v in G.bits(left)}
+            both = es if directed else es + [(b, a) for a, b in es]
+            graph = L.Lists(both, directed)
+            left = L.peeled(graph, sinks)
+            inside = {graph.ids[v] for v in range(graph.n) if left[v]}
             return [(g, a, b) for a, b in es if a in inside and b in inside]
 
         return per_graph(graph_rows(e), work, "graph_id long, src long, dst long")
@@ -199,8 +196,12 @@ def find_cycle(edges: DataFrame, directed: bool, shortest: bool = False) -> Data
     """``(graph_id, cycle, length)`` for each graph that has one."""
 
     def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
-        graph, ids = numbered(es, directed)
-        found = (G.shortest_cycle if shortest else G.any_cycle)(graph, graph.all)
+        if shortest:
+            graph, ids = numbered(es, directed)
+            found = G.shortest_cycle(graph, graph.all)
+        else:
+            lists = L.Lists(es if directed else es + [(b, a) for a, b in es], directed)
+            found, ids = L.any_cycle(lists), lists.ids
         return [(g, [ids[v] for v in found], len(found))] if found else []
 
     return per_graph(graph_rows(canonical(edges, directed, loops=True)), work, "graph_id long, cycle array<long>, length long")
@@ -247,22 +248,27 @@ def random_topological_order(edges: DataFrame, of: DataFrame, seed: int = 42) ->
     return levels.select("graph_id", "v", (F.row_number().over(w) - 1).cast("long").alias("place"))
 
 
-def bfs_sample(edges: DataFrame, size: int, seed: int = 42, max_depth: int = 1000) -> DataFrame:
-    """``(graph_id, v)``: up to ``size`` vertices by distance from a random one, at random within a layer, padded at random."""
+def bfs_sample(edges: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """``(graph_id, v)``: up to ``size`` vertices by distance from a random one, at random within a layer, padded at random.
+
+    A layer is a turn; turns end when every graph has its vertices or no more can be reached.
+    """
     both = cut(both_ways(canonical(edges)), "both")
     vs = cut(vertices(both).withColumn("u", random_unit("graph_id", "v", seed=seed)), "vs")
-    seen = vs.groupBy("graph_id").agg(F.min(F.struct("u", "v")).alias("x")).select("graph_id", F.col("x.v").alias("v"), F.lit(0).alias("depth"))
-    seen = cut(seen, "seen")
-    for depth in range(1, max_depth):
+    start = vs.groupBy("graph_id").agg(F.min(F.struct("u", "v")).alias("x")).select("graph_id", F.col("x.v").alias("v"), F.lit(0).cast("long").alias("depth"))
+    seen, depth = cut(start, "seen"), 0
+    while True:
+        depth += 1
         short = seen.groupBy("graph_id").count().where(F.col("count") < size)
         front = seen.where(F.col("depth") == depth - 1).join(short, "graph_id", "left_semi")
         near = both.join(front.select("graph_id", F.col("v").alias("src")), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("v")).distinct()
-        fresh = cut(near.join(seen, ["graph_id", "v"], "left_anti").withColumn("depth", F.lit(depth)), "fresh")
+        fresh = cut(near.join(seen, ["graph_id", "v"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "fresh")
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh), "seen")
-    far = vs.join(seen, ["graph_id", "v"], "left").withColumn("depth", F.coalesce("depth", F.lit(max_depth)))
-    place = F.row_number().over(Window.partitionBy("graph_id").orderBy("depth", "u", "v"))
+        seen, old = cut(seen.unionByName(fresh), "seen"), seen
+        drop_cut(old)
+    far = vs.join(seen, ["graph_id", "v"], "left")
+    place = F.row_number().over(Window.partitionBy("graph_id").orderBy(F.col("depth").asc_nulls_last(), "u", "v"))
     return far.withColumn("place", place).where(F.col("place") <= size).select("graph_id", "v")
 
 
@@ -275,14 +281,8 @@ def core_numbers(edges: DataFrame, how: str = "auto") -> DataFrame:
     if how == "worker" or (how == "auto" and is_small(e)):
 
         def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
-            graph, ids = numbered(es, False)
-            left, k, out = graph.all, 0, []
-            while left:
-                v = min(G.bits(left), key=lambda v: (graph.out[v] & left).bit_count())
-                k = max(k, (graph.out[v] & left).bit_count())
-                out.append((g, ids[v], k))
-                left &= ~(1 << v)
-            return out
+            graph = L.Lists(es + [(b, a) for a, b in es], False)
+            return [(g, graph.ids[v], k) for v, k in enumerate(L.core_numbers(graph))]
 
         return per_graph(graph_rows(e), work, "graph_id long, v long, core long")
     # a vertex's core number is the h-index of its neighbours' (Lu et al., 2016): few turns, no peeling order
@@ -313,13 +313,16 @@ def _by_degree(undirected: DataFrame) -> DataFrame:
     return j.select("graph_id", F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b"))
 
 
+def _three(e: DataFrame) -> DataFrame:
+    """Every triangle of edges ``(graph_id, a, b)`` as ``a, b, c`` in the order of the degrees, once."""
+    wedge = e.join(e.select("graph_id", "a", F.col("b").alias("c")), ["graph_id", "a"])
+    return wedge.join(e.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_id", "b", "c"]).select("graph_id", "a", "b", "c")
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """``(graph_id, v, triangles)`` for vertices that lie on one."""
-    e = _by_degree(canonical(edges))
-    wedge = e.select("graph_id", "a", F.col("b").alias("x")).join(e.select("graph_id", "a", F.col("b").alias("y")), ["graph_id", "a"])
-    closing = e.select("graph_id", F.col("a").alias("x"), F.col("b").alias("y"))
-    found = wedge.join(closing, ["graph_id", "x", "y"])
-    return found.select("graph_id", F.explode(F.array("a", "x", "y")).alias("v")).groupBy("graph_id", "v").agg(F.count(F.lit(1)).alias("triangles"))
+    found = _three(_by_degree(canonical(edges)))
+    return found.select("graph_id", F.explode(F.array("a", "b", "c")).alias("v")).groupBy("graph_id", "v").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -331,30 +334,55 @@ def clustering(edges: DataFrame) -> DataFrame:
     return t.select("graph_id", "v", value.alias("clustering"))
 
 
-def four_cliques(edges: DataFrame) -> DataFrame:
-    """``(graph_id, v, cliques)``: complete subgraphs of four vertices at each vertex."""
-    e = canonical(edges).select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y"))
+def _four(e: DataFrame, three: DataFrame) -> DataFrame:
+    """Complete subgraphs of four as ``a, b, c, d`` in the order of the degrees, once."""
+    t = three.join(e.select("graph_id", "a", F.col("b").alias("d")), ["graph_id", "a"])
+    t = t.join(e.select("graph_id", F.col("a").alias("b"), F.col("b").alias("d")), ["graph_id", "b", "d"])
+    return t.join(e.select("graph_id", F.col("a").alias("c"), F.col("b").alias("d")), ["graph_id", "c", "d"])
 
-    def named(a: str, b: str) -> DataFrame:
-        return e.select("graph_id", F.col("x").alias(a), F.col("y").alias(b))
 
-    t = named("a", "b").join(named("a", "c"), ["graph_id", "a"]).where("b < c").join(named("b", "c"), ["graph_id", "b", "c"])
-    k = t.join(named("a", "d"), ["graph_id", "a"]).where("c < d").join(named("b", "d"), ["graph_id", "b", "d"]).join(named("c", "d"), ["graph_id", "c", "d"])
-    return k.select("graph_id", F.explode(F.array("a", "b", "c", "d")).alias("v")).groupBy("graph_id", "v").agg(F.count(F.lit(1)).alias("cliques"))
+def _at_vertices(found: DataFrame, n) -> DataFrame:
+    """Sum of ``n`` at each vertex of the rows' arrays ``at``."""
+    return found.select("graph_id", F.explode("at").alias("v"), n.alias("n")).groupBy("graph_id", "v").agg(F.sum("n").alias("n"))
+
+
+def four_cliques(edges: DataFrame) -> DataFrame:
+    """``(graph_id, v, cliques)``: complete subgraphs of four vertices at each vertex."""
+    e = cut(_by_degree(canonical(edges)), "ordered")
+    k = _four(e, _three(e)).select("graph_id", F.explode(F.array("a", "b", "c", "d")).alias("v"))
+    return k.groupBy("graph_id", "v").agg(F.count(F.lit(1)).alias("cliques"))
 
 
 def four_cycles(edges: DataFrame) -> DataFrame:
-    """``(graph_id, v, cycles)``: cycles of four vertices without a chord at each vertex."""
-    e = canonical(edges)
-    b = both_ways(e)
-    wedge = b.select("graph_id", F.col("src").alias("m"), F.col("dst").alias("x")).join(b.select("graph_id", F.col("src").alias("m"), F.col("dst").alias("y")), ["graph_id", "m"]).where("x < y")
-    # opposite corners without an edge, with all their common neighbours
-    wedge = wedge.join(e.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y")), ["graph_id", "x", "y"], "left_anti")
-    pair = wedge.select("graph_id", "x", "y", F.col("m").alias("p")).join(wedge.select("graph_id", "x", "y", F.col("m").alias("q")), ["graph_id", "x", "y"]).where("p < q")
-    pair = pair.join(e.select("graph_id", F.col("src").alias("p"), F.col("dst").alias("q")), ["graph_id", "p", "q"], "left_anti")
-    # each cycle is met from both of its opposite pairs
-    found = pair.where("x < p").select("graph_id", F.explode(F.array("x", "y", "p", "q")).alias("v"))
-    return found.groupBy("graph_id", "v").agg(F.count(F.lit(1)).alias("cycles"))
+    """``(graph_id, v, cycles)``: cycles of four vertices without a chord at each vertex.
+
+    Cycles are counted, not listed: all of them from the paths below their end of highest
+    degree; those with one chord from the triangles on each edge; with ``q`` cycles,
+    ``d`` pairs of triangles on one edge and ``k`` complete fours at a vertex, ``q - d + 3 k``
+    are without a chord.
+    """
+    undirected = canonical(edges)
+    e = cut(_by_degree(undirected), "ordered")
+    d = both_ways(undirected).groupBy("graph_id", F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("d"))
+    rank = cut(both_ways(undirected).join(d.withColumnRenamed("v", "src"), ["graph_id", "src"]), "ranked")
+    # paths top - middle - other in which the top has the highest degree: a hub is the top of few and the middle of none
+    up = e.select("graph_id", F.col("a").alias("m"), F.col("b").alias("top"))
+    up = up.join(d.select("graph_id", F.col("v").alias("top"), F.col("d").alias("td")), ["graph_id", "top"])
+    other = rank.select("graph_id", F.col("dst").alias("m"), F.col("src").alias("x"), F.col("d").alias("xd"))
+    paths = cut(up.join(other, ["graph_id", "m"]).where(F.struct("xd", "x") < F.struct("td", "top")).select("graph_id", "top", "m", "x"), "paths")
+    ends = cut(paths.groupBy("graph_id", "top", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ends")
+    at_ends = _at_vertices(ends.withColumn("at", F.array("top", "x")), (F.col("c") * (F.col("c") - 1) / 2).cast("long"))
+    at_middles = paths.join(ends, ["graph_id", "top", "x"]).groupBy("graph_id", F.col("m").alias("v")).agg(F.sum(F.col("c") - 1).alias("n"))
+    three = cut(_three(e), "three")
+    sides = F.array(*(F.struct(F.col(x).alias("p"), F.col(y).alias("q"), F.col(z).alias("w")) for x, y, z in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))))
+    sides = cut(three.select("graph_id", F.inline(sides)), "sides")
+    on = cut(sides.groupBy("graph_id", "p", "q").agg(F.count(F.lit(1)).alias("t")).where("t > 1"), "on")
+    chords = _at_vertices(on.withColumn("at", F.array("p", "q")), (F.col("t") * (F.col("t") - 1) / 2).cast("long"))
+    wings = sides.join(on, ["graph_id", "p", "q"]).groupBy("graph_id", F.col("w").alias("v")).agg(F.sum(F.col("t") - 1).alias("n"))
+    fours = _at_vertices(_four(e, three).withColumn("at", F.array("a", "b", "c", "d")), F.lit(3).cast("long"))
+    minus = chords.unionByName(wings).select("graph_id", "v", (-F.col("n")).alias("n"))
+    every = at_ends.unionByName(at_middles).unionByName(fours).unionByName(minus)
+    return every.groupBy("graph_id", "v").agg(F.sum("n").alias("cycles")).where("cycles > 0")
 
 
 # ---------------------------------------------------------------- walks
@@ -367,35 +395,73 @@ def transition(edges: DataFrame, directed: bool) -> DataFrame:
     return e.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), (F.lit(1.0) / n).alias("p"))
 
 
-def _times(a: DataFrame, b: DataFrame) -> DataFrame:
-    right = b.select("graph_id", F.col("i").alias("k"), F.col("j").alias("l"), F.col("p").alias("q"))
-    j = a.withColumnRenamed("j", "k").join(right, ["graph_id", "k"])
-    return j.groupBy("graph_id", "i", F.col("l").alias("j")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-
-
-def _diagonal(a: DataFrame, b: DataFrame, step: int) -> DataFrame:
-    """Diagonal of a product; the product itself is not made."""
-    right = b.select("graph_id", F.col("i").alias("j"), F.col("j").alias("i"), F.col("p").alias("q"))
-    j = a.join(right, ["graph_id", "i", "j"])
-    return j.groupBy("graph_id", F.col("i").alias("v")).agg(F.sum(F.col("p") * F.col("q")).alias("p")).withColumn("step", F.lit(step).cast("long"))
+def _stepped(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """One more step of the walks in ``rows (graph_id, i, j, p)``."""
+    j = rows.join(steps.select("graph_id", F.col("i").alias("j"), F.col("j").alias("k"), F.col("p").alias("q")), ["graph_id", "j"])
+    return j.groupBy("graph_id", "i", F.col("k").alias("j")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+
+
+def _walks_from(starts: DataFrame, steps: DataFrame, back: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """``(graph_id, v, step, p)`` for some start vertices: rows of one half of the way out, columns of the other half back."""
+    one = starts.select("graph_id", F.col("v").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("p"))
+    most = max(lengths)
+    out, home = {0: one}, {0: one}
+    for k in range(1, most - most // 2 + 1):
+        out[k] = cut(_stepped(out[k - 1], steps), "out")
+        if k <= most // 2:
+            home[k] = cut(_stepped(home[k - 1], back), "home")
+    found = None
+    for k in lengths:
+        there = home[k // 2].select("graph_id", "i", "j", F.col("p").alias("q"))
+        d = out[k - k // 2].join(there, ["graph_id", "i", "j"]).groupBy("graph_id", F.col("i").alias("v")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+        d = d.withColumn("step", F.lit(k).cast("long"))
+        found = d if found is None else found.unionByName(d)
+    return found
+
+
+def dense_walks(graph: L.Lists, lengths: tuple[int, ...]) -> dict[int, list[float]]:
+    """Return probabilities of each vertex of a small graph, by length, from powers of its dense matrix."""
+    import numpy as np
+
+    p = np.zeros((graph.n, graph.n))
+    for v, near in enumerate(graph.out):
+        if near:
+            p[v, near] = 1.0 / len(near)
+    power, at, out = p, 1, {}
+    for k in range(1, max(lengths) + 1):
+        while at < k:
+            power, at = power @ p, at + 1
+        if k in lengths:
+            out[k] = power.diagonal().tolist()
+    return out
 
 
-def return_probabilities(edges: DataFrame, of: DataFrame, directed: bool, steps: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+def return_probabilities(edges: DataFrame, of: DataFrame, directed: bool, steps: tuple[int, ...] = (2, 3, 4, 5), how: str = "auto") -> DataFrame:
     """``(graph_id, v, step, p)``: chance that a random walk from v is back after ``step`` steps; 0 where it cannot be.
 
-    Powers are made by halving, each once, and the last product of every step is summed
-    along its diagonal only.
+    Small graphs are dense matrices in workers.  On larger ones ``WALK_STARTS`` vertices
+    are followed at a time, halfway out and halfway back, so what is held grows with the
+    vertices and never with their square.
     """
-    power = {1: cut(transition(edges, directed), "walk")}
+    e = canonical(edges, directed) if directed else both_ways(canonical(edges))
+    every = of.select("graph_id", "v").distinct().withColumn("step", F.explode(F.array(*(F.lit(k).cast("long") for k in steps))))
+    if how == "worker" or (how == "auto" and is_small(e, DENSE_VERTICES)):
 
-    def of_step(k: int) -> DataFrame:
-        if k not in power:
-            power[k] = cut(_times(of_step(k // 2), of_step(k - k // 2)), "walk")
-        return power[k]
+        def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
+            graph = L.Lists(es, True)
+            found = dense_walks(graph, steps)
+            return [(g, graph.ids[v], k, p) for k, ps in found.items() for v, p in enumerate(ps)]
 
-    out = None
-    for k in steps:
-        d = _diagonal(of_step(k // 2), of_step(k - k // 2), k)
-        out = d if out is None else out.unionByName(d)
-    every = of.select("graph_id", "v").distinct().withColumn("step", F.explode(F.array(*(F.lit(k).cast("long") for k in steps))))
+        out = per_graph(graph_rows(e), work, "graph_id long, v long, step long, p double")
+    else:
+        step = cut(transition(edges, directed), "walk")
+        back = cut(step.select("graph_id", F.col("j").alias("i"), F.col("i").alias("j"), "p"), "back")
+        starts = step.select("graph_id", F.col("i").alias("v")).distinct()
+        blocks = max(1, -(-starts.count() // WALK_STARTS))
+        starts = cut(starts.withColumn("block", F.pmod(F.xxhash64("graph_id", "v"), F.lit(blocks))), "starts")
+        out = None
+        for block in range(blocks):
+            mine = starts.where(F.col("block") == block)
+            part = cut_of(lambda mine=mine: _walks_from(mine, step, back, tuple(steps)), "block")
+            out = part if out is None else out.unionByName(part)
     return every.join(out, ["graph_id", "v", "step"], "left").select("graph_id", "v", "step", F.coalesce("p", F.lit(0.0)).alias("p"))

@@ -38,7 +38,10 @@ def event_graph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(graph_id, v)`` for every graph and event type."""
-    return event_graph_ids(spark, sf_dir).crossJoin(F.broadcast(event_types(spark, sf_dir).select("v")))
+    # one row with an array of the few event types
+    types = event_types(spark, sf_dir).agg(F.collect_list("v").alias("vs"))
+    every = event_graph_ids(spark, sf_dir).withColumn("one", F.lit(1)).join(F.broadcast(types.withColumn("one", F.lit(1))), "one")
+    return every.select("graph_id", F.explode("vs").alias("v"))
 
 
 def nation_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -57,6 +60,42 @@ def nation_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return w.withColumn("r", place).where(F.col("r") <= k).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "w")
 
 
+#: Brands that are vertices: the first ones by name.
+BRANDS = 16
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(p_brand, v)``: the first ``BRANDS`` part brands, numbered by name."""
+    named = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return named.select("p_brand", (F.row_number().over(Window.orderBy("p_brand")) - 1).cast("long").alias("v")).where(F.col("v") < BRANDS)
+
+
+def brand_graph_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each order priority, numbered by its first character."""
+    return table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).cast("long").alias("graph_id")).distinct()
+
+
+def brand_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(graph_id, v)`` for every graph and brand."""
+    vs = brands(spark, sf_dir).agg(F.collect_list("v").alias("vs"))  # one row
+    every = brand_graph_ids(spark, sf_dir).withColumn("one", F.lit(1)).join(F.broadcast(vs.withColumn("one", F.lit(1))), "one")
+    return every.select("graph_id", F.explode("vs").alias("v"))
+
+
+def brand_graphs(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Each brand to the ``k`` brands that follow it most often on the lines of an order, ties by number; one graph for each priority."""
+    named = F.broadcast(brands(spark, sf_dir))  # at most BRANDS rows
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).cast("long").alias("graph_id"))
+    following = F.lead("p_brand").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = line.join(parts, "l_partkey").select("l_orderkey", F.col("p_brand").alias("a"), following.alias("b")).where("a <> b")
+    pairs = pairs.join(named.select(F.col("p_brand").alias("a"), F.col("v").alias("src")), "a").join(named.select(F.col("p_brand").alias("b"), F.col("v").alias("dst")), "b")
+    w = pairs.join(orders, "l_orderkey").groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    place = F.row_number().over(Window.partitionBy("graph_id", "src").orderBy(F.col("w").desc(), "dst"))
+    return w.withColumn("r", place).where(F.col("r") <= k).select("graph_id", "src", "dst", "w")
+
+
 #: Added to supplier keys, so that both sides of a bipartite graph have ids of their own.
 SUPPLIER_OFFSET = 1_000_000_000
 

@@ -153,23 +153,152 @@ def _cliques(g, size, copies):
     return [(g, size * i + a, size * i + b) for i in range(copies) for a in range(size) for b in range(a)]
 
 
-def test_exact_searches_of_graphs_over_the_limit(spark):
-    """Only a component of the kernel that is over the limit goes to the heuristic, and the result says so."""
+def test_exact_searches_of_large_graphs_stay_exact(spark):
+    """Whatever its size a graph is reduced, split and solved by the algorithm that was asked for."""
     wheel = [(3, 0, i) for i in range(1, 71)] + [(3, i, i % 70 + 1) for i in range(1, 71)]
     graphs = [(1, i, (i + 1) % 70) for i in range(70)] + _cliques(2, 4, 20) + wheel
     e = spark.createDataFrame(graphs, "graph_id long, src long, dst long")
-    exact = [(1, 1, 1, "EXACT"), (2, 40, 40, "EXACT"), (3, 2, 2, "EXACT")]
     columns = ["graph_id", "fvs_size", "bound", "status"]
     for search in (solvers.solve, solvers.solve_by_component):
-        assert rows(search(e, False, "bst", exact_vertices=None).select(columns)) == exact
-        got = rows(search(e, False, "bst").select(columns))
-        assert got[:2] == exact[:2]
-        assert got[2][3] == "HEURISTIC" and got[2][2] <= 2 <= got[2][1]
+        for algo in ("bst", "ic"):
+            assert rows(search(e, False, algo).select(columns)) == [(1, 1, 1, "EXACT"), (2, 40, 40, "EXACT"), (3, 2, 2, "EXACT")]
     both = spark.createDataFrame([(g, a, b) for g, x, y in graphs for a, b in ((x, y), (y, x))], "graph_id long, src long, dst long")
     found = solvers.solve(both.where("graph_id = 2"), True, "ic")
     assert found.select("fvs_size", "valid", "minimal", "status").first() == (60, True, True, "EXACT")
 
 
+@pytest.mark.parametrize("algo", ["bst", "ic", "brute"])
+def test_time_that_is_up_is_told(spark, algo):
+    """No solution is passed off as a least one; what reduction alone solves needs no time."""
+    e = spark.createDataFrame(_cliques(1, 7, 1) + [(2, 0, 1), (2, 1, 2)], "graph_id long, src long, dst long")
+    for search in (solvers.solve, solvers.solve_by_component):
+        late, done = search(e, False, algo, seconds=-1.0).orderBy("graph_id").select("fvs_size", "bound", "status").collect()
+        assert late["fvs_size"] is None and late["status"] == "TIMEOUT" and 0 <= late["bound"] <= 5
+        assert tuple(done) == (0, 0, "EXACT")
+    heuristic = solvers.solve(e, False, "kma", seconds=-1.0).where("graph_id = 1").first()
+    assert heuristic["valid"] and heuristic["status"] == "HEURISTIC"
+
+
+def test_runs_tell_sizes_and_times(spark):
+    e = spark.createDataFrame(_cliques(1, 5, 2) + [(1, 9, 10)], "graph_id long, src long, dst long")
+    r = runner.run(e, e, ["bst", "kma"], False).collect()
+    assert [(x["algo"], x["n"], x["m"], x["fvs_size"], x["status"]) for x in r] == [("bst", 11, 21, 6, "EXACT"), ("kma", 11, 21, 6, "HEURISTIC")]
+    assert all(x["runtime_ms"] >= 0 and x["kernel_n"] <= 10 and x["kernel_s"] >= 0 and x["search_s"] >= 0 and x["executed_at"] for x in r)
+
+
+def test_suite_appends_what_is_missing(spark, tmp_path):
+    e = spark.createDataFrame([(g, a, b) for g in (1, 2) for a, b in ((0, 1), (1, 2), (2, 0))], "graph_id long, src long, dst long")
+    graphs = spark.createDataFrame([(1, "directed", "exact", "ego", "a_000000.txt"), (2, "undirected", "heuristic", "ba", "a_000000.txt")], "graph_id long, family string, track string, category string, file string")
+    path = str(tmp_path / "suite")
+    assert runner.suite(graphs.where("graph_id = 1"), e, ["bst"], path) == 1
+    assert runner.suite(graphs, e, ["bst", "greedy"], path) == 3
+    assert runner.suite(graphs, e, ["bst", "greedy"], path) == 0
+    # other options are other results
+    assert runner.suite(graphs, e, ["bst"], path, seconds=60.0) == 2
+    stored = spark.read.parquet(path)
+    assert stored.columns == runner.SUITE and stored.where("fvs_size = 1 and valid").count() == 6
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_walks_agree(mixed, directed, monkeypatch):
+    of = E.vertices(mixed)
+
+    def walks(how):
+        found = S.return_probabilities(mixed, of, directed, (2, 3, 5, 8), how).collect()
+        return {(r["graph_id"], r["v"], r["step"]): r["p"] for r in found}
+
+    small = walks("worker")
+    assert small == pytest.approx(walks("frames"))
+    monkeypatch.setattr(S, "WALK_STARTS", 5)
+    assert small == pytest.approx(walks("frames"))
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("make", ["v2", "v3"])
+def test_features_agree(spark, mixed, make, directed):
+    from coppice.operators import features
+
+    of = E.vertices(mixed).unionByName(spark.createDataFrame([(0, 77), (8, 1)], "graph_id long, v long"))
+    one, two = (sorted(map(tuple, getattr(features, make)(mixed, of, directed, how).collect())) for how in ("worker", "frames"))
+    assert len(one) == len(two) == of.distinct().count()
+    for a, b in zip(one, two):
+        assert a == pytest.approx(b)
+
+
+def test_hubs_do_not_square(spark):
+    """A hub of 100,000 neighbours with few triangles: its pairs of neighbours are never listed."""
+    n = 100_000
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("graph_id"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    ring = spark.createDataFrame([(0, i, i % 6 + 1) for i in range(1, 7)], "graph_id long, src long, dst long")
+    e = star.unionByName(ring)
+    assert dict(rows(S.triangles(e).select("v", "triangles"))) == {0: 6} | {i: 2 for i in range(1, 7)}
+    assert rows(S.four_cliques(e)) == []
+    # around the hub every cycle of four has a chord, save those over a ring vertex that is skipped: none
+    assert rows(S.four_cycles(e)) == []
+    assert dict(rows(S.core_numbers(e).where("v <= 7").select("v", "core"))) == {i: 3 for i in range(7)} | {7: 1}
+
+
+def test_large_graphs_in_a_worker_take_time_by_their_edges():
+    import time
+
+    from coppice.functions import adjacency as L
+
+    r, start = random.Random(1), time.monotonic()
+    edges = [(r.randrange(100_000), r.randrange(100_000)) for _ in range(200_000)]
+    g = L.Lists(edges, True)
+    assert len(L.core_numbers(L.Lists(edges, False))) == g.n
+    assert len(set(L.strong_components(g))) > 1 and any(L.peeled(g, True))
+    assert L.any_cycle(g)
+    assert time.monotonic() - start < 20
+
+
+def test_loops_over_tables_end_with_an_error(spark, mixed):
+    with pytest.raises(RuntimeError, match="kernel"):
+        kernels.kernel(mixed, True, "frames", max_iter=1)
+    with pytest.raises(RuntimeError, match="greedy"):
+        solvers.greedy(mixed, True, max_iter=1)
+
+
+def test_a_sample_takes_as_many_layers_as_it_needs(spark):
+    path = spark.createDataFrame([(1, i, i + 1) for i in range(14)] + [(2, 0, 1), (2, 5, 6)], "graph_id long, src long, dst long")
+    got = rows(S.bfs_sample(path, 15).groupBy("graph_id").count())
+    assert got == [(1, 15), (2, 4)]
+
+
+def test_cut_tables_go_with_their_scope(spark):
+    import os
+
+    from coppice.plans import fixpoint
+
+    def there(df):
+        return [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file:").replace("///", "/"))]
+
+    with fixpoint.scope():
+        inner = fixpoint.cut(spark.range(5))
+        assert inner.count() == 5 and there(inner)
+    assert not there(inner)
+    seen = []
+    outer = fixpoint.cut_of(lambda: seen.append(fixpoint.cut(spark.range(7))) or seen[0].where("id > 2"), "outer")
+    assert outer.count() == 4 and there(outer) and not there(seen[0])
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from coppice.plans import fixpoint
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master, fails in (("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("yarn", True), ("local[4]", False)):
+        made = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+        session = SimpleNamespace(sparkContext=sc, conf=conf)
+        if fails:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                fixpoint.shared_dir(session)
+        else:
+            assert fixpoint.shared_dir(session) == made[0]
+
+
 def test_levels_over_the_limit_are_an_error(spark):
     path = spark.createDataFrame([(1, i, i + 1) for i in range(4)], "graph_id long, src long, dst long")
     of = spark.createDataFrame([(1, i) for i in range(5)], "graph_id long, v long")
