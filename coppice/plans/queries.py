@@ -395,7 +395,7 @@ def _preserved(edges: DataFrame, ids: DataFrame, directed: bool) -> DataFrame:
     e = cut(edges.select("graph_id", "src", "dst"), "edges")
     k, forced = kernels.kernel(e, directed)
     n = forced.groupBy("graph_id").agg(F.count(F.lit(1)).alias("forced"))
-    after = solvers.solve(k, directed, "bst", ids, exact_vertices=None).select("graph_id", "fvs_size")
+    after = solvers.solve(k, directed, "bst", ids).select("graph_id", "fvs_size")
     return after.join(n, "graph_id", "left").select("graph_id", (F.col("fvs_size") + F.coalesce("forced", F.lit(0))).alias("fvs_size"))
 
 
@@ -424,7 +424,7 @@ def _solver_queries() -> None:
 
             def run(spark, sf, directed=directed, algo=algo):
                 e = _directed(spark, sf) if directed else _undirected(spark, sf)
-                return solvers.solve(e, directed, algo, D.event_graph_ids(spark, sf), exact_vertices=None).select("graph_id", "fvs_size")
+                return solvers.solve(e, directed, algo, D.event_graph_ids(spark, sf)).select("graph_id", "fvs_size")
 
             run.__name__ = f"{name}_min_size" + ("" if algo == "brute" else f"_{algo}")
             query(optimum + " SELECT graph_id, fvs_size FROM opt")(run)
@@ -435,7 +435,7 @@ def _solver_queries() -> None:
                 e = cut((_directed(spark, sf) if directed else _undirected(spark, sf)).select("graph_id", "src", "dst"), "edges")
                 ids = D.event_graph_ids(spark, sf)
                 found = solvers.solve(e, directed, algo, ids)
-                best = solvers.solve(e, directed, "bst", ids, exact_vertices=None).select("graph_id", F.col("fvs_size").alias("least"))
+                best = solvers.solve(e, directed, "bst", ids).select("graph_id", F.col("fvs_size").alias("least"))
                 j = found.join(best, "graph_id")
                 minimal = F.col("minimal") if algo != "greedy" else F.lit(True)
                 return j.select("graph_id", "valid", minimal.alias("minimal"), (F.col("fvs_size") >= F.col("least")).alias("size_ge_optimum"))
@@ -449,7 +449,7 @@ _solver_queries()
 
 @query(DIR + Q.DIRECTED_OPTIMUM + " SELECT graph_id, fvs_size FROM opt")
 def dfvs_by_scc_sum(spark, sf):
-    return solvers.solve_by_component(_directed(spark, sf), True, "bst", D.event_graph_ids(spark, sf), exact_vertices=None).select("graph_id", "fvs_size")
+    return solvers.solve_by_component(_directed(spark, sf), True, "bst", D.event_graph_ids(spark, sf)).select("graph_id", "fvs_size")
 
 
 #: Of the least solutions, the one whose bit mask is smallest; its vertices.
@@ -460,7 +460,7 @@ def dfvs_by_scc_sum(spark, sf):
          SELECT good.graph_id, min(f - mask) AS mask FROM good JOIN opt ON good.graph_id = opt.graph_id AND good.size = opt.fvs_size, full_mask GROUP BY good.graph_id"""
 )
 def dfvs_canonical_mask(spark, sf):
-    s = solvers.solve(_directed(spark, sf), True, "brute", D.event_graph_ids(spark, sf), exact_vertices=None)
+    s = solvers.solve(_directed(spark, sf), True, "brute", D.event_graph_ids(spark, sf))
     mask = F.aggregate("solution", F.lit(0).cast("long"), lambda a, v: a + F.pow(F.lit(2.0), v).cast("long"))
     return s.select("graph_id", mask.alias("mask"))
 
@@ -509,7 +509,7 @@ def nation_dfvs_by_k(spark, sf):
     for k in (1, 2, 3):
         e = D.nation_top(spark, sf, k).withColumn("graph_id", F.lit(k).cast("long"))
         out = e if out is None else out.unionByName(e)
-    return solvers.solve(out, True, "bst", exact_vertices=None).select(F.col("graph_id").alias("k"), "fvs_size", "valid", "minimal")
+    return solvers.solve(out, True, "bst").select(F.col("graph_id").alias("k"), "fvs_size", "valid", "minimal")
 
 
 @query()
@@ -998,7 +998,7 @@ def candidate_pick(spark, sf):
     PROB
     + """, l AS (SELECT *, ln(greatest(least(prob, 0.999999), 0.000001) / (1 - greatest(least(prob, 0.999999), 0.000001))) AS z FROM pr),
     t AS (SELECT y, CASE WHEN y = 1 THEN 1 / (1 + exp(-z)) ELSE 1 - 1 / (1 + exp(-z)) END AS p FROM l)
-    SELECT y, round(avg(-pow(1 - least(greatest(p, 1e-7), 1 - 1e-7), CASE WHEN y = 1 THEN 0.5 ELSE 2.0 END) * ln(least(greatest(p, 1e-7), 1 - 1e-7))), 6) AS loss FROM t GROUP BY y"""
+    SELECT y, round(avg(-pow(1 - least(greatest(p, 1e-8), 1 - 1e-8), CASE WHEN y = 1 THEN 0.5 ELSE 2.0 END) * ln(least(greatest(p, 1e-8), 1 - 1e-8))), 6) AS loss FROM t GROUP BY y"""
 )
 def focal_loss(spark, sf):
     p = F.greatest(F.least("prob", F.lit(0.999999)), F.lit(0.000001))
@@ -1089,3 +1089,6 @@ def grown_trees(spark, sf):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least feedback vertex set of every user's graph."""
     return QUERIES["dfvs_min_size"](spark, sf_dir)
+
+
+from coppice.plans import wider  # noqa: E402,F401  (registers its queries here)

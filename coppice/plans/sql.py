@@ -111,3 +111,171 @@ TIMED = (
     tm AS (SELECT instance, solver, n, coalesce(fvs_size, -1) AS k, least(runtime_s, 4.0) AS runtime_s,
                   NOT (runtime_s > 4.0 OR coalesce(fvs_size, -1) = -1) AS success FROM res WHERE coalesce(fvs_size, -1) <> 0)"""
 )
+
+
+def brand_graph(k: int) -> str:
+    """CTEs ``ty``, ``g``, ``gv`` and ``e`` as in ``event_graph``, for the graphs of 16 brands."""
+    return f"""
+    ty AS (SELECT p_brand AS event_type, v FROM (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS v FROM (SELECT DISTINCT p_brand FROM part)) WHERE v < 16),
+    seq AS (SELECT l_orderkey, p_brand AS a, lead(p_brand) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+    g AS (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS graph_id FROM orders),
+    gv AS (SELECT graph_id, v FROM g CROSS JOIN ty),
+    ew AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS graph_id, x.v AS src, y.v AS dst, count(*) AS w
+           FROM seq JOIN orders ON l_orderkey = o_orderkey JOIN ty x ON a = x.event_type JOIN ty y ON b = y.event_type WHERE a <> b GROUP BY ALL),
+    e AS (SELECT graph_id, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY w DESC, dst) AS place FROM ew) WHERE place <= {k})"""
+
+
+#: ``nb``: for each graph the neighbours of its vertices as numbers, in order of the vertices.
+_BITS = """
+    nb AS (SELECT graph_id, list(coalesce(ins, 0) ORDER BY v) AS ins, list(coalesce(outs, 0) ORDER BY v) AS outs FROM (
+        SELECT gv.graph_id, gv.v, bit_or(CASE WHEN x.dst = gv.v THEN CAST(1 AS BIGINT) << CAST(x.src AS INT) ELSE 0 END) AS ins,
+               bit_or(CASE WHEN x.src = gv.v THEN CAST(1 AS BIGINT) << CAST(x.dst AS INT) ELSE 0 END) AS outs
+        FROM gv LEFT JOIN {source} x ON gv.graph_id = x.graph_id AND gv.v IN (x.src, x.dst) GROUP BY ALL) GROUP BY graph_id)"""
+
+
+def _kept(condition: str) -> str:
+    """The bits ``i`` of ``alive`` for which the condition holds."""
+    return f"CAST(list_sum(list_transform(range(0, 16), lambda i: CASE WHEN (alive >> CAST(i AS INT)) & 1 = 1 AND {condition} THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS BIGINT)"
+
+
+def _peel(start: str, keys: str, condition: str, source: str) -> str:
+    """``pl``: every state of peeling from ``start``; the last one of each key is its smallest."""
+    return (
+        _BITS.format(source=source)
+        + f""",
+    pl AS (SELECT {keys}, alive FROM ({start})
+           UNION SELECT {keys}, {_kept(condition)} FROM pl JOIN nb USING (graph_id) WHERE alive > 0)"""
+    )
+
+
+def peel_by_bits(directed: bool, both: bool = False) -> str:
+    """``left_over``: the vertices that peeling leaves, as ``alive``."""
+    some = "ins[i + 1] & alive <> 0" + (" AND outs[i + 1] & alive <> 0" if both else "")
+    condition = some if directed else "bit_count(outs[i + 1] & alive) >= 2"
+    return _peel("SELECT graph_id, CAST(65535 AS BIGINT) AS alive FROM g", "graph_id", condition, "e" if directed else "b") + ", left_over AS (SELECT graph_id, min(alive) AS alive FROM pl GROUP BY graph_id)"
+
+
+def optimum_by_bits(directed: bool) -> str:
+    """``opt``: the fewest vertices without which peeling leaves nothing."""
+    condition = "ins[i + 1] & alive <> 0" if directed else "bit_count(outs[i + 1] & alive) >= 2"
+    start = "SELECT graph_id, removed, 65535 - removed AS alive FROM g CROSS JOIN (SELECT unnest(range(0, 65536)) AS removed)"
+    peel = _peel(start, "graph_id, removed", condition, "e" if directed else "b")
+    return peel + ", opt AS (SELECT graph_id, CAST(min(bit_count(removed)) AS BIGINT) AS fvs_size FROM pl WHERE alive = 0 GROUP BY graph_id)"
+
+
+#: ``core`` as in ``CORES``, by peeling for every number in turn.
+CORES_BY_BITS = (
+    _peel("SELECT graph_id, k, CAST(65535 AS BIGINT) AS alive FROM g CROSS JOIN (SELECT unnest(range(1, 16)) AS k)", "graph_id, k", "bit_count(outs[i + 1] & alive) >= k", "b")
+    + """,
+    held AS (SELECT graph_id, k, min(alive) AS alive FROM pl GROUP BY ALL),
+    core AS (SELECT gv.graph_id, gv.v, CAST(coalesce(max(k), 0) AS BIGINT) AS core FROM gv LEFT JOIN held ON gv.graph_id = held.graph_id AND (alive >> CAST(gv.v AS INT)) & 1 = 1 GROUP BY ALL)"""
+)
+
+
+def labels_by_turns(pairs: str) -> str:
+    """Sizes of the components of a graph of pairs ``(p, s)``: the smallest vertex that is reached spreads until nothing changes."""
+    return f"""x AS ({pairs}), bb AS (SELECT p AS src, s AS dst FROM x UNION ALL SELECT s, p FROM x),
+       vs AS (SELECT DISTINCT src AS v FROM bb),
+       w AS (SELECT v, v AS c FROM vs UNION SELECT dst, min(c) FROM w JOIN bb ON w.v = bb.src GROUP BY dst),
+       l AS (SELECT v, min(c) AS component FROM w GROUP BY v)
+       SELECT component, count(*) AS n FROM l GROUP BY component"""
+
+
+def cores_by_turns(pairs: str, turns: int) -> str:
+    """Core numbers of a graph of pairs ``(c, s)``: a vertex's value is the largest h of which h neighbours have as much."""
+    steps = [f"x AS MATERIALIZED ({pairs})", "bb AS MATERIALIZED (SELECT c AS v, s AS w FROM x UNION ALL SELECT s, c FROM x)", "t0 AS MATERIALIZED (SELECT v, count(*) AS core FROM bb GROUP BY v)"]
+    for i in range(turns):
+        steps.append(
+            f"""t{i + 1} AS MATERIALIZED (SELECT v, max(least(near, place)) AS core FROM (
+                SELECT bb.v, t.core AS near, row_number() OVER (PARTITION BY bb.v ORDER BY t.core DESC) AS place FROM bb JOIN t{i} t ON bb.w = t.v) GROUP BY v)"""
+        )
+    return "WITH " + ", ".join(steps) + f" SELECT v, CAST(core AS BIGINT) AS core FROM t{turns}"
+
+
+# ---------------------------------------------------------------- nets, written out
+
+
+def _line(w: dict, name: str, inputs: list[str]) -> list[str]:
+    """A linear layer: one expression per output."""
+    bias = w.get(f"{name}.bias")
+    out = []
+    for i, row in enumerate(w[f"{name}.weight"]):
+        terms = [f"{float(x)!r}::DOUBLE * {c}" for x, c in zip(row, inputs)]
+        out.append("(" + " + ".join(terms + ([] if bias is None else [f"{float(bias[i])!r}::DOUBLE"])) + ")")
+    return out
+
+
+def _norm(w: dict, name: str, values: list[str]) -> list[str]:
+    return [f"({x} * {float(a)!r}::DOUBLE + {float(b)!r}::DOUBLE)" for x, a, b in zip(values, w[f"{name}.scale"], w[f"{name}.shift"])]
+
+
+def _relu(values: list[str]) -> list[str]:
+    return [f"greatest(0.0::DOUBLE, {x})" for x in values]
+
+
+def _as(values: list[str], name: str) -> str:
+    return ", ".join(f"{x} AS {name}{i}" for i, x in enumerate(values))
+
+
+def _columns(name: str, n: int, of: str = "") -> list[str]:
+    return [f"{of}{name}{i}" for i in range(n)]
+
+
+def means_net(w: dict, width: int) -> str:
+    """``net``: probabilities by three layers of means over predecessors and successors; ``f`` holds the channels ``h0``.."""
+    parts, before, n = [], "f", width
+    for k in range(3):
+        average = ", ".join(f"avg(h{i}) AS a{i}" for i in range(n))
+        parts.append(f"mi{k} AS (SELECT e.graph_id, e.dst AS v, {average} FROM e JOIN {before} h ON e.graph_id = h.graph_id AND e.src = h.v GROUP BY ALL)")
+        parts.append(f"mo{k} AS (SELECT e.graph_id, e.src AS v, {average} FROM e JOIN {before} h ON e.graph_id = h.graph_id AND e.dst = h.v GROUP BY ALL)")
+        near = [[f"coalesce({t}.a{i}, 0.0::DOUBLE)" for i in range(n)] for t in ("mi", "mo")]
+        lines = [_line(w, f"conv{k}.in", near[0]), _line(w, f"conv{k}.out", near[1]), _line(w, f"conv{k}.self", _columns("h", n, "h."))]
+        sums = [f"({a} + {b} + {c} + {float(bias)!r}::DOUBLE)" for a, b, c, bias in zip(*lines, w[f"conv{k}.bias"])]
+        values = _relu(_norm(w, f"norm{k}", sums))
+        parts.append(
+            f"""nl{k} AS (SELECT h.graph_id, h.v, {_as(values, 'h')} FROM {before} h LEFT JOIN mi{k} mi ON h.graph_id = mi.graph_id AND h.v = mi.v
+            LEFT JOIN mo{k} mo ON h.graph_id = mo.graph_id AND h.v = mo.v)"""
+        )
+        before, n = f"nl{k}", len(values)
+    hidden = _relu(_line(w, "head0", _columns("h", n)))
+    parts.append(f"hd AS (SELECT graph_id, v, {_as(hidden, 'h')} FROM {before})")
+    no, yes = _line(w, "head1", _columns("h", len(hidden)))
+    parts.append(f"net AS (SELECT graph_id, v, 1 / (1 + exp({no} - {yes})) AS prob FROM hd)")
+    return ", ".join(parts)
+
+
+def attention_net(w: dict, width: int) -> str:
+    """``net``: probabilities by one residual attention block over neighbours and a mean of the graph; ``f`` as above, ``b`` both directions."""
+    heads, c = w["layer0.both.attention.score"].shape
+    first = _relu(_norm(w, "input_norm", _line(w, "input", _columns("h", width))))
+    parts = [f"nh AS (SELECT graph_id, v, {_as(first, 'h')} FROM f)"]
+    own = _columns("h", len(first))
+    left, right = _line(w, "layer0.both.attention.left", own), _line(w, "layer0.both.attention.right", own)
+    parts.append(f"lr AS (SELECT graph_id, v, {_as(left, 'l')}, {_as(right, 'r')} FROM nh)")
+    parts.append("ab AS (SELECT graph_id, src, dst FROM b UNION ALL SELECT graph_id, v, v FROM nh)")
+    scores = []
+    for k in range(heads):
+        terms = []
+        for i in range(c):
+            x = f"(s.l{k * c + i} + t.r{k * c + i})"
+            terms.append(f"{float(w['layer0.both.attention.score'][k][i])!r}::DOUBLE * (CASE WHEN {x} > 0 THEN {x} ELSE 0.2::DOUBLE * {x} END)")
+        scores.append("(" + " + ".join(terms) + ")")
+    lefts = ", ".join(f"s.l{i}" for i in range(heads * c))
+    parts.append(
+        f"sc AS (SELECT ab.graph_id, ab.dst AS v, {_as(scores, 's')}, {lefts} FROM ab JOIN lr s ON ab.graph_id = s.graph_id AND ab.src = s.v JOIN lr t ON ab.graph_id = t.graph_id AND ab.dst = t.v)"
+    )
+    shares = ", ".join(f"exp(s{k} - max(s{k}) OVER (PARTITION BY graph_id, v)) AS e{k}" for k in range(heads))
+    parts.append(f"sh AS (SELECT *, {shares} FROM sc)")
+    means = ["(" + " + ".join(f"sum(e{k} * l{k * c + i}) / sum(e{k})" for k in range(heads)) + f") / {heads} + {float(w['layer0.both.attention.bias'][i])!r}::DOUBLE" for i in range(c)]
+    parts.append(f"at_ AS (SELECT graph_id, v, {_as(means, 'a')} FROM sh GROUP BY graph_id, v)")
+    values = [f"{x} + nh.h{i}" for i, x in enumerate(_relu(_norm(w, "layer0.both.norm", _columns("a", c))))]
+    parts.append(f"nb_ AS (SELECT nh.graph_id, nh.v, {_as(values, 'h')} FROM nh JOIN at_ ON nh.graph_id = at_.graph_id AND nh.v = at_.v)")
+    parts.append(f"me_ AS (SELECT graph_id, {', '.join(f'avg(h{i}) AS m{i}' for i in range(c))} FROM nb_ GROUP BY graph_id)")
+    whole = _relu(_line(w, "readout", _columns("m", c)))
+    parts.append(f"ro AS (SELECT graph_id, {_as(whole, 'g')} FROM me_)")
+    last = _relu(_line(w, "head0", _columns("h", c) + _columns("g", len(whole))))
+    parts.append(f"h0_ AS (SELECT nb_.graph_id, v, {_as(last, 'y')} FROM nb_ JOIN ro ON nb_.graph_id = ro.graph_id)")
+    more = _relu(_line(w, "head1", _columns("y", len(last))))
+    parts.append(f"h1_ AS (SELECT graph_id, v, {_as(more, 'z')} FROM h0_)")
+    parts.append(f"net AS (SELECT graph_id, v, 1 / (1 + exp(-{_line(w, 'head2', _columns('z', len(more)))[0]})) AS prob FROM h1_)")
+    return ", ".join(parts)
