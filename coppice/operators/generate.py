@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coppice.operators.structure import per_graph
+from coppice.operators.edges import canonical, dense_labels, induced, relabel, vertices
+from coppice.operators.structure import bfs_sample, largest_component, per_graph, random_unit
+from coppice.plans.fixpoint import cut
 
 # fixed values: shares of the families
 UNDIRECTED_SHARES = {"ba": 0.2, "ws": 0.2, "er": 0.2, "grid": 0.2, "tree": 0.2}
@@ -55,6 +59,22 @@ def random_pairs(spark: SparkSession, n: int, per_mille: int, directed: bool = T
     return kept.select(F.lit(graph_id).cast("long").alias("graph_id"), "src", "dst")
 
 
+def erdos_renyi(spark: SparkSession, n: int, p: float, directed: bool = True, seed: int = 42, graph_id: int = 0) -> DataFrame:
+    """Each pair with chance ``p``, on its own: pairs are drawn, not tried one by one, so the work grows with the edges.
+
+    So many draws from all pairs, with replacement, leave each pair out with chance ``1 - p``.
+    """
+    pairs = n * (n - 1) if directed else n * (n - 1) // 2
+    draws = round(-pairs * math.log1p(-p))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12)
+    at = spark.range(draws).select((F.conv(digits, 16, 10).cast("long") % F.lit(n * (n - 1))).alias("at"))
+    src, other = F.floor(F.col("at") / (n - 1)), F.col("at") % (n - 1)
+    e = at.select(src.alias("src"), (other + (other >= src).cast("long")).alias("dst"))
+    if not directed:
+        e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return e.distinct().select(F.lit(graph_id).cast("long").alias("graph_id"), "src", "dst")
+
+
 def dag(spark: SparkSession, n: int, per_mille: int, graph_id: int = 0) -> DataFrame:
     """Random pairs from smaller to larger numbers only."""
     return random_pairs(spark, n, per_mille, directed=False, graph_id=graph_id)
@@ -108,3 +128,129 @@ def grown(spark: SparkSession, family: str, sizes: list[int], seed: int = 42) ->
         return [(g, a, b) for a, b in _growing(family, spec[0][0], random.Random(seed * 1_000_003 + g))]
 
     return per_graph(table, work, "graph_id long, src long, dst long")
+
+
+# fixed values: sizes from and to, by family, track and category; further numbers are rows, neighbours or chances
+RANGES = {
+    ("undirected", "exact", "real_world"): ("molecule", (10, 35)),
+    ("undirected", "heuristic", "real_world"): ("ba", (100, 5000), (2, 6)),
+    ("undirected", "exact", "scale_free"): ("ba", (15, 35), (2, 3)),
+    ("undirected", "heuristic", "scale_free"): ("ba", (100, 2000), (2, 5)),
+    ("undirected", "exact", "small_world"): ("ws", (15, 35), (4, 0.1)),
+    ("undirected", "heuristic", "small_world"): ("ws", (100, 1000), (6, 0.2)),
+    ("undirected", "exact", "random_er"): ("er", (10, 30), (0.1, 0.4)),
+    ("undirected", "heuristic", "random_er"): ("er", (50, 1000), (0.05, 0.2)),
+    ("undirected", "exact", "grids_trees"): ("grid_or_tree", (10, 35), (3, 6), (3, 5)),
+    ("undirected", "heuristic", "grids_trees"): ("grid_or_tree", (100, 5000), (10, 50), (10, 50)),
+    ("directed", "exact", "real_world_ego"): ("ego", (10, 35), (25,)),
+    ("directed", "heuristic", "real_world_ego"): ("ego", (100, 5000), (12,)),
+    ("directed", "exact", "scale_free"): ("scale_free", (15, 35)),
+    ("directed", "heuristic", "scale_free"): ("scale_free", (100, 2000)),
+    ("directed", "exact", "random_er"): ("er", (10, 30), (0.1, 0.4)),
+    ("directed", "heuristic", "random_er"): ("er", (50, 1000), (0.05, 0.2)),
+    ("directed", "exact", "directed_grids"): ("square", (3, 6), (3, 6)),
+    ("directed", "heuristic", "directed_grids"): ("grid", (10, 50), (10, 50)),
+    ("directed", "exact", "dags"): ("dag", (10, 35)),
+    ("directed", "heuristic", "dags"): ("dag", (100, 5000)),
+}
+
+
+def _lattice(rows: int, columns: int) -> list[tuple[int, int]]:
+    v = range(rows * columns)
+    return [(i, i + 1) for i in v if (i + 1) % columns] + [(i, i + columns) for i in v if i + columns < rows * columns]
+
+
+def _attached(n: int, m: int, r: random.Random) -> set[tuple[int, int]]:
+    """Every new vertex is joined to ``m`` others, chosen by their degrees."""
+    edges, ends = set(), list(range(m))
+    for v in range(m, n):
+        chosen: set[int] = set()
+        while len(chosen) < m:
+            chosen.add(r.choice(ends))
+        edges |= {(u, v) for u in chosen}
+        ends += [*chosen, *[v] * m]
+    return edges
+
+
+def _rewired(n: int, k: int, p: float, r: random.Random) -> set[tuple[int, int]]:
+    """A ring in which each is joined to the next ``k / 2``, some ends put elsewhere."""
+    edges: set[tuple[int, int]] = set()
+    for d in range(1, k // 2 + 1):
+        for v in range(n):
+            w = (v + d) % n
+            if r.random() < p:
+                w = next((x for x in (r.randrange(n) for _ in range(4 * n)) if x != v and (min(v, x), max(v, x)) not in edges), w)
+            edges.add((min(v, w), max(v, w)))
+    return edges
+
+
+def build(family: str, track: str, category: str, index: int, seed: int) -> tuple[str, int, list[tuple[int, int]]]:
+    """Kind, vertices and edges of a bucket's graph; it depends on the arguments alone."""
+    r, directed = random.Random(f"{seed}:{family}:{track}:{category}:{index}"), family == "directed"
+    kind, (low, high), *more = RANGES[family, track, category]
+    n = r.randint(low, high)
+    if kind == "grid_or_tree":
+        kind = "tree" if index % 2 else "grid"
+        if kind == "grid":
+            more = [more[1]]
+            low, high = RANGES[family, track, category][2]
+            n = r.randint(low, high)
+    if kind in ("grid", "square"):
+        columns = n if kind == "square" else r.randint(*more[0])
+        n, pairs = n * columns, _lattice(n, columns)
+        if directed:
+            turned = [(b, a) if r.random() < 0.5 else (a, b) for a, b in pairs]
+            pairs = turned + [(b, a) for a, b in turned if r.random() < 0.08]
+        return "grid", n, sorted(set(pairs))
+    if kind == "ba":
+        return kind, n, sorted(_attached(n, r.randint(*more[0]), r))
+    if kind == "ws":
+        return kind, n, sorted(_rewired(n, *more[0], r))
+    if kind == "er":
+        p = r.uniform(*more[0])
+        pairs = ((a, b) for a in range(n) for b in (range(n) if directed else range(a + 1, n)) if a != b)
+        return kind, n, [x for x in pairs if r.random() < p]
+    if kind == "dag":
+        # each vertex points to one before it
+        return kind, n, [(v, r.randrange(v)) for v in range(1, n)]
+    if kind == "ego":
+        both = {x for v in range(1, n) for u in [r.randrange(v)] for x in ((u, v), (v, u))}
+        return kind, n, sorted(both | {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(max(1, n // more[0][0]))) if a != b})
+    return kind, n, _growing(kind, n, r)
+
+
+def fill_bucket(spark: SparkSession, family: str, track: str, category: str, target: int, there: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """``family, track, category, idx, file, n, src, dst``: the graphs 0..target-1 of a bucket that ``there (idx)`` lacks.
+
+    A graph depends on the seed, its bucket and its index alone, so a bucket filled in
+    parts is the bucket filled at once.  Every graph has a row, with null ends if it has no edge.
+    """
+    todo = spark.range(target).withColumnRenamed("id", "idx")
+    if there is not None:
+        todo = todo.join(there.select(F.col("idx").cast("long").alias("idx")), "idx", "left_anti")
+    schema = "idx long, kind string, n long, src long, dst long"
+
+    def run(batches):
+        for pdf in batches:
+            for i in pdf["idx"]:
+                kind, n, edges = build(family, track, category, int(i), seed)
+                pairs = edges or [(None, None)]
+                yield pd.DataFrame({"idx": i, "kind": kind, "n": n, "src": pd.array([a for a, _ in pairs], "Int64"), "dst": pd.array([b for _, b in pairs], "Int64")})
+
+    made = todo.mapInPandas(run, schema)
+    named = F.format_string("%s_%06d.txt", "kind", "idx").alias("file")
+    return made.select(F.lit(family).alias("family"), F.lit(track).alias("track"), F.lit(category).alias("category"), "idx", named, "n", "src", "dst")
+
+
+def sliced(edges: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """A part of each graph that is no larger than ``size``: its largest component, sampled by distance, renumbered from 0."""
+    e = cut(canonical(edges, directed=True), "edges")
+    whole = cut(induced(e, largest_component(e)), "largest")
+    part = cut(induced(whole, bfs_sample(whole, size, seed)), "part")
+    return relabel(part, dense_labels(vertices(part)))
+
+
+def capped(edges: DataFrame, of: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The edges among ``most`` vertices of each graph, picked by hash; smaller graphs stay as they are."""
+    place = F.row_number().over(Window.partitionBy("graph_id").orderBy(random_unit("graph_id", "v", seed=seed), "v"))
+    return induced(edges, of.select("graph_id", "v").distinct().withColumn("place", place).where(F.col("place") <= most).select("graph_id", "v"))

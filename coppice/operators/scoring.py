@@ -198,6 +198,28 @@ def valid_samples(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("f").isNotNull() & ~odd & F.col("y").isin(0, 1))
 
 
+def sample_problems(samples: DataFrame, edges: DataFrame, channels: int) -> DataFrame:
+    """``(graph_id, problem)`` for graphs whose samples ``(graph_id, v, f, y)`` cannot be trained on, one row for each problem.
+
+    ``shape``: a feature list that is missing or not ``channels`` long; ``finite``: a
+    feature that is null or not finite; ``label``: a label that is not 0 or 1; ``repeat``:
+    a vertex with two rows; ``ids``: an edge that ends outside the graph's rows.
+    """
+    f = F.col("f")
+    odd = F.exists(f, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    row = {
+        "shape": f.isNull() | (F.size(f) != channels),
+        "finite": F.coalesce(odd, F.lit(False)),
+        "label": ~F.coalesce(F.col("y").isin(0, 1), F.lit(False)),
+    }
+    flags = samples.groupBy("graph_id").agg(*(F.bool_or(c).alias(n) for n, c in row.items()), (F.count(F.lit(1)) > F.count_distinct("v")).alias("repeat"))
+    named = F.filter(F.array(*(F.when(F.col(n), F.lit(n)) for n in (*row, "repeat"))), lambda x: x.isNotNull())
+    found = flags.select("graph_id", F.explode(named).alias("problem"))
+    ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("v")).distinct()
+    ends = ends.join(samples.select("graph_id").distinct(), "graph_id", "left_semi").join(samples.select("graph_id", "v"), ["graph_id", "v"], "left_anti")
+    return found.unionByName(ends.select("graph_id", F.lit("ids").alias("problem")).distinct())
+
+
 def train_logistic(samples: DataFrame, channels: list[str], label: str = "y", max_iter: int = 50):
     """A logistic model over the channels, with class weights; returns the fitted ``pyspark.ml`` model."""
     from pyspark.ml.classification import LogisticRegression

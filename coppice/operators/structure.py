@@ -192,6 +192,20 @@ def is_solution(edges: DataFrame, removed: DataFrame, ids: DataFrame, directed:
     return left.select("graph_id", (~F.col("has_cycle")).alias("valid"))
 
 
+def verify_answers(edges: DataFrame, answers: DataFrame, of: DataFrame, directed: bool, how: str = "auto") -> DataFrame:
+    """``(graph_id, unique, in_range, valid)`` for answers ``(graph_id, v)`` to the graphs with the vertices ``of``.
+
+    An answer must name no vertex twice and none that the graph does not have, and
+    without it no cycle may be left; ``valid`` is all three.
+    """
+    ids = of.select("graph_id").distinct()
+    known = answers.join(of.select("graph_id", "v").distinct().withColumn("known", F.lit(True)), ["graph_id", "v"], "left")
+    told = known.groupBy("graph_id").agg((F.count(F.lit(1)) == F.count_distinct("v")).alias("unique"), F.bool_and(F.coalesce("known", F.lit(False))).alias("in_range"))
+    acyclic = is_solution(edges, answers.select("graph_id", "v").distinct(), ids, directed, how).withColumnRenamed("valid", "acyclic")
+    j = acyclic.join(told, "graph_id", "left").select("graph_id", *(F.coalesce(c, F.lit(True)).alias(c) for c in ("unique", "in_range")), "acyclic")
+    return j.select("graph_id", "unique", "in_range", (F.col("unique") & F.col("in_range") & F.col("acyclic")).alias("valid"))
+
+
 def find_cycle(edges: DataFrame, directed: bool, shortest: bool = False) -> DataFrame:
     """``(graph_id, cycle, length)`` for each graph that has one."""
 

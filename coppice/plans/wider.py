@@ -6,9 +6,11 @@ peeling takes bits off it.  Where an operator has two ways, both are registered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from coppice.operators import features, kernels, nets, solvers
+from coppice.operators import features, generate, kernels, nets, solvers
 from coppice.operators import structure as S
 from coppice.operators.edges import canonical
 from coppice.plans import queries as B
@@ -208,6 +210,67 @@ def brand_training_labels(spark, sf):
     return rows.groupBy("graph_id").agg(F.sum("y").cast("long").alias("labelled"), F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- generators and checks
+
+
+def _drawn(n: int, p: float, directed: bool) -> str:
+    pairs = n * (n - 1) if directed else n * (n - 1) // 2
+    draws = round(-pairs * math.log1p(-p))
+    ends = "src, dst" if directed else "least(src, dst) AS src, greatest(src, dst) AS dst"
+    return f"""WITH d AS (SELECT CAST('0x' || substr(md5('42:' || i), 1, 12) AS BIGINT) % {n * (n - 1)} AS k FROM range(0, {draws}) t(i)),
+        x AS (SELECT k // {n - 1} AS src, k % {n - 1} + CASE WHEN k % {n - 1} >= k // {n - 1} THEN 1 ELSE 0 END AS dst FROM d)
+        SELECT DISTINCT CAST(0 AS BIGINT) AS graph_id, {ends} FROM x"""
+
+
+@query(_drawn(300, 0.05, True))
+def erdos_renyi_directed(spark, sf):
+    return generate.erdos_renyi(spark, 300, 0.05)
+
+
+@query(_drawn(300, 0.05, False))
+def erdos_renyi_undirected(spark, sf):
+    return generate.erdos_renyi(spark, 300, 0.05, directed=False)
+
+
+#: Even graphs answer with vertex 3 twice, graph 1 with a vertex that it has not, graph 3 and 5 with none.
+@query(
+    FULL
+    + Q.REACH
+    + """ SELECT g.graph_id, graph_id % 2 = 1 AS unique, graph_id <> 1 AS in_range, false AS valid FROM g"""
+)
+def brand_verified_answers(spark, sf):
+    ids = D.brand_graph_ids(spark, sf)
+    twice = ids.where("graph_id % 2 = 0").select("graph_id", F.explode(F.array(F.lit(3).cast("long"), F.lit(3).cast("long"))).alias("v"))
+    outside = ids.where("graph_id = 1").select("graph_id", F.lit(99).cast("long").alias("v"))
+    return S.verify_answers(_dense(spark, sf), twice.unionByName(outside), D.brand_vertices(spark, sf), True)
+
+
+#: Levels of whole graphs: vertices on a cycle, and those that one reaches, do not appear.
+LEVELS = (
+    THIN
+    + Q.REACH
+    + """, cyc AS (SELECT DISTINCT graph_id, src AS v FROM r WHERE src = dst),
+    behind AS (SELECT graph_id, v FROM cyc UNION SELECT r.graph_id, r.dst FROM r JOIN cyc ON r.graph_id = cyc.graph_id AND r.src = cyc.v),
+    front AS (SELECT gv.graph_id, gv.v FROM gv ANTI JOIN behind ON gv.graph_id = behind.graph_id AND gv.v = behind.v),
+    p AS (SELECT graph_id, v, CAST(0 AS BIGINT) AS n FROM front
+          UNION SELECT p.graph_id, e.dst, n + 1 FROM p JOIN e ON p.graph_id = e.graph_id AND p.v = e.src JOIN front f ON f.graph_id = e.graph_id AND f.v = e.dst),
+    lv AS (SELECT graph_id, v, max(n) AS level FROM p GROUP BY ALL)"""
+)
+
+
+@query(LEVELS + " SELECT graph_id, v, level FROM lv")
+def brand_topological_levels(spark, sf):
+    return S.topological_levels(_sparse(spark, sf), D.brand_vertices(spark, sf))
+
+
+@query(
+    LEVELS
+    + """ SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY level, CAST('0x' || substr(md5('42:' || graph_id || ':' || v), 1, 12) AS BIGINT), v) - 1 AS place FROM lv"""
+)
+def brand_topological_order(spark, sf):
+    return S.random_topological_order(_sparse(spark, sf), D.brand_vertices(spark, sf))
+
+
 # ---------------------------------------------------------------- large graphs
 
 

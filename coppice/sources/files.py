@@ -1,7 +1,7 @@
 """Reading and writing graph files, result files and solver logs.
 
-Edge lists are read line by line, so a large file is split among tasks; only formats in
-which a line's number counts (METIS, logs) are read whole, one file per row.
+Graphs are read line by line, so a large file is split among tasks; where a line's number
+counts (METIS), lines are put in order by their place in the file.  Logs are read whole.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.operators import analytics as A
+from coppice.plans.fixpoint import cut
 
 # fixed values: extensions of graph files; files without one count too
 GRAPH_GLOB = "{*.txt,*.gr,*.edges,*.edgelist,*.el,*.graph,*.gz,[!.]*}"
@@ -69,18 +70,45 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return head.join(ids, "path", "left").select("path", F.greatest("n", "ids").alias("n"), F.coalesce("m", "edges").alias("m"), "directed")
 
 
-def read_metis(spark: SparkSession, path: str) -> DataFrame:
-    """``path, src, dst`` from adjacency files: line i after the header lists vertex i's successors, from 1.
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, at``: lines with what puts those of one file in order, however the file is split among tasks."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return text.select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line"), at.alias("at"))
+
+
+def _adjacency(lines: DataFrame) -> DataFrame:
+    """``path, src, dst``: line i after the header lists vertex i's successors, from 1.
 
     Comment lines do not count, blank lines do: they are vertices without successors.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    kept = F.filter(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"), lambda x: ~F.trim(x).rlike(r"^[%#]"))
-    rows = text.select("path", F.posexplode(kept).alias("v", "line")).where("v > 0")
-    near = rows.select("path", (F.col("v") - 1).cast("long").alias("src"), F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).alias("dst"))
+    kept = lines.where(~F.col("line").rlike(r"^[%#]"))
+    rows = kept.withColumn("v", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).where("v > 0")
+    near = rows.select("path", (F.col("v") - 1).cast("long").alias("src"), F.explode(F.filter(F.split("line", r"\s+"), lambda x: x != "")).alias("dst"))
     return near.select("path", "src", (F.col("dst").cast("long") - 1).alias("dst"))
 
 
+def read_metis(spark: SparkSession, path: str) -> DataFrame:
+    """``path, src, dst`` from adjacency files; see ``_adjacency``."""
+    return _adjacency(_numbered(spark, path))
+
+
+def read_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """``path, src, dst`` from files of any of the formats, told by the first line that is no comment.
+
+    Three numbers, two of them positive and the last 0 or 1, head an adjacency file; all
+    else, and all that says ``# format: edge_list``, is an edge list.
+    """
+    lines = _numbered(spark, path)
+    data = lines.where((F.col("line") != "") & ~F.col("line").rlike(r"^([#%]|c(\s|$))"))
+    first = data.groupBy("path").agg(F.min(F.struct("at", "line"))["line"].alias("first"))
+    said = lines.where(F.col("line").rlike(r"^#\s*format\s*:\s*edge_list")).select("path").distinct()
+    adjacency = first.where(F.col("first").rlike(r"^[1-9]\d*\s+[1-9]\d*\s+[01]$")).select("path").join(said, "path", "left_anti")
+    adjacency = cut(adjacency, "adjacency")
+    one = _adjacency(lines.join(adjacency, "path", "left_semi"))
+    return one.unionByName(_parsed(lines.drop("at").join(adjacency, "path", "left_anti")))
+
+
 def _members(data: bytes) -> Iterator[tuple[str, IO[bytes]]]:
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as z:

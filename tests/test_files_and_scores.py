@@ -150,3 +150,75 @@ def test_stream_closes_windows(spark, tmp_path):
     stream = degrees.windowed_counts(degrees.event_stream(spark, str(tmp_path / "in"), events.schema))
     degrees.append_results(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_type", "n", "value")) == [("a", 2, 3.0)]
+
+
+def test_formats_are_told_by_the_first_line(spark, tmp_path):
+    from coppice.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "metis.txt").write_text("% comment\n4 3 0\n2 3\n\n4\n1\n")
+    (tmp_path / "a" / "pace.gr").write_text("c comment\np dfvs 3 2\n1 2\n2 3\n")
+    (tmp_path / "plain.txt").write_text("# c\n0 1\n1 2 7\n")
+    (tmp_path / "weights.txt").write_text("# format: edge_list\n5 7 1\n7 0 1\n")
+    got = sorted((r["path"].rsplit("/", 1)[1], r["src"], r["dst"]) for r in files.read_graphs(spark, str(tmp_path)).collect())
+    want = [("metis.txt", 0, 1), ("metis.txt", 0, 2), ("metis.txt", 2, 3), ("metis.txt", 3, 0), ("pace.gr", 0, 1), ("pace.gr", 1, 2)]
+    assert got == want + [("plain.txt", 0, 1), ("plain.txt", 1, 2), ("weights.txt", 5, 7), ("weights.txt", 7, 0)]
+
+
+def test_adjacency_files_split_among_tasks_stay_in_order(spark, tmp_path):
+    from coppice.sources import files
+
+    n = 4000
+    (tmp_path / "m.graph").write_text(f"{n} {n} 0\n" + "".join(f"{(i + 1) % n + 1}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = files.read_metis(spark, str(tmp_path))
+        assert sorted((r["src"], r["dst"]) for r in df.collect()) == sorted((i, (i + 1) % n) for i in range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_buckets_filled_in_parts_are_the_same(spark):
+    from coppice.operators import generate
+
+    for family, track, category in generate.RANGES:
+        if track == "exact":
+            whole = generate.fill_bucket(spark, family, track, category, 4).collect()
+            there = spark.createDataFrame([(0,), (2,)], "idx long")
+            part = generate.fill_bucket(spark, family, track, category, 4, there).collect()
+            assert sorted(map(tuple, part), key=repr) == sorted((tuple(r) for r in whole if r["idx"] in (1, 3)), key=repr)
+            low, high = generate.RANGES[family, track, category][1]
+            assert {r["idx"] for r in whole} == {0, 1, 2, 3} and all(r["src"] != r["dst"] and 0 <= r["src"] < r["n"] for r in whole if r["src"] is not None)
+    kind, n, edges = generate.build("directed", "heuristic", "dags", 0, 1)
+    assert 100 <= n <= 5000 and len(edges) == n - 1
+    kind, n, edges = generate.build("undirected", "exact", "grids_trees", 1, 1)
+    assert kind == "tree" and len(edges) == n - 1
+
+
+def test_random_graphs_have_the_chance(spark):
+    from coppice.operators import generate
+
+    for directed, pairs in ((True, 400 * 399), (False, 400 * 399 // 2)):
+        n = generate.erdos_renyi(spark, 400, 0.1, directed, seed=3).count()
+        assert abs(n - 0.1 * pairs) < 5 * (0.09 * pairs) ** 0.5
+
+
+def test_slices_and_caps(spark):
+    from coppice.operators import edges as E
+    from coppice.operators import generate
+
+    e = spark.createDataFrame([(0, i, i + 1) for i in range(30)] + [(0, 100, 101)], "graph_id long, src long, dst long")
+    part = generate.sliced(e, 10)
+    assert part.count() == 9 and E.vertices(part).agg({"v": "max"}).first()[0] == 9
+    assert E.vertices(generate.capped(e, E.vertices(e), 5)).count() <= 5
+    assert generate.capped(e, E.vertices(e), 50).count() == e.count()
+
+
+def test_problems_of_samples_are_told(spark):
+    from coppice.operators import scoring
+
+    rows = [(1, 0, [1.0, 2.0], 0), (1, 1, [0.0, 1.0], 1), (2, 0, [1.0], 0), (3, 0, [float("nan"), 1.0], 1), (4, 0, [1.0, 1.0], 2), (5, 0, [1.0, 1.0], 1), (5, 0, [1.0, 1.0], 1), (6, 0, None, None)]
+    samples = spark.createDataFrame(rows, "graph_id long, v long, f array<double>, y int")
+    e = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (4, 0, 7), (9, 1, 2)], "graph_id long, src long, dst long")
+    got = sorted(tuple(r) for r in scoring.sample_problems(samples, e, 2).collect())
+    assert got == [(2, "shape"), (3, "finite"), (4, "ids"), (4, "label"), (5, "repeat"), (6, "label"), (6, "shape")]
