@@ -55,6 +55,19 @@ def test_sizes_add_up_over_components(mixed):
     assert rows(solvers.solve_by_component(mixed, True, "bst", ids).select("graph_id", "fvs_size")) == whole
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_agree(spark, seed):
+    r = random.Random(seed)
+    data = [(g, r.randrange(60), r.randrange(60)) for g in range(4) for _ in range((10, 25, 40, 80)[g])]
+    data += [(5, i, i + 1) for i in range(20)] + [(6, 3, 3), (7, None, 1)]
+    e = spark.createDataFrame(data, "graph_id long, src long, dst long")
+    whole = e.where("src is not null")
+    assert rows(S.connected(e.where("graph_id < 7"), how="worker")) == rows(S.connected(e.where("graph_id < 7"), how="frames"))
+    from coppice.operators.components import component_labels
+
+    assert rows(component_labels(e, keys=("graph_id",))) == rows(component_labels(whole, keys=("graph_id",)))
+
+
 def test_greedy_is_a_solution(mixed):
     ids = mixed.select("graph_id").distinct()
     for directed in (True, False):
