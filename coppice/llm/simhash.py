@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.common import checked_broadcast, cut, cut_of, keep_rows, small_batches
-from coppice.operators.components import component_labels
+from coppice.operators.structure import connected
 
 MAX_BITS = 3
 #: Fixed value: generator polynomial of the (23, 12, 7) Golay code.
@@ -292,7 +292,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` with ``root``, the smallest fingerprint of the component: unlike ``component_id`` never null or shared."""
     rows = cut(fingerprint_table(docs), "simhash")
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    labels = cut_of(lambda: component_labels(fingerprint_links(fps)), "labels").withColumnRenamed("v", "fp")
+    links = cut_of(lambda: fingerprint_links(fps).distinct(), "links").withColumn("graph_id", F.lit(0).cast("long"))
+    # few links are joined up in one worker, more of them by contraction over tables
+    labels = cut_of(lambda: connected(links), "labels").select(F.col("v").alias("fp"), "component")
     # a fingerprint of one row without a link is a component of its own and needs no partner
     classes = fps.join(labels, "fp", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "fp"))
     classes = cut(classes, "classes")
