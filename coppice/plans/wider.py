@@ -15,9 +15,10 @@ from coppice.operators import structure as S
 from coppice.operators.edges import canonical
 from coppice.plans import queries as B
 from coppice.plans import sql as Q
-from coppice.plans.fixpoint import cut
+from coppice.plans.fixpoint import cut, temporary_path
 from coppice.plans.queries import query
 from coppice.sources import derived as D
+from coppice.streaming import degrees
 
 #: Brands that follow a brand in the sparse graphs, which fall apart, and in the dense ones.
 SPARSE, DENSE = 1, 3
@@ -326,3 +327,19 @@ def large_kernel_size(spark, sf):
     k = cut(k, "kernel")
     n = k.select("src").distinct().count()
     return k.agg(F.count(F.lit(1)).alias("edges")).select("edges", F.lit(n).cast("long").alias("vertices"), F.lit(forced.count()).cast("long").alias("forced"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query(
+    """WITH x AS (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2)
+       SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n, value FROM x WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
+def streamed_windows(spark, sf):
+    """Events as a stream, counted by day; a day is there once the watermark has passed its end."""
+    out, log = temporary_path(spark, "stream"), temporary_path(spark, "log")
+    stream = degrees.event_stream(spark, f"{sf}/events*.parquet", D.table(spark, sf, "events").schema)
+    degrees.append_results(degrees.windowed_counts(stream), out, log).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
