@@ -35,6 +35,8 @@ MEASURES = 4096
 BUCKETS, LEVELS = 128, 6
 #: A bucket of no more documents is put in order.
 SORTED = 20_000
+#: Sources that one task numbers, about.
+STRETCH = 50_000
 
 _ROW = ("id", "xx", "k", "m", "size", "u")
 
@@ -50,25 +52,43 @@ def random_unit(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def _running(df: DataFrame, order: list[Column], names: tuple[str, ...], parts: int) -> DataFrame:
+    """``df`` with ``{name}_before`` for each name: its sum over the rows that come earlier in ``order``.
+
+    Rows are dealt into stretches of the order, summed within each, and led on by the
+    stretches' totals, a row for each.
+    """
+    d = cut(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "stretches")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("part").agg(*(F.sum(n).alias(n) for n in names))
+    totals = totals.select("part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_first") for n in names))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = ((F.coalesce(F.sum(n).over(within), F.lit(0)) + F.col(f"{n}_first")).alias(f"{n}_before") for n in names)
+    return d.join(F.broadcast(totals), "part").select(*df.columns, *before)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
     """One row per source: ``source, source_size, target``.
 
-    The windows have no partition: their rows are the sources, counted once.
+    Sources are numbered by name and filled up by cap over weight in stretches of about
+    ``STRETCH`` rows, so that there may be as many of them as there are hosts.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    s = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    n, total = s.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    parts, total = max(1, -(-n // STRETCH)), share * total
+    s = _running(s.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], ("one",), parts)
+    turn = F.pmod(F.col("one_before"), F.lit(len(weights)))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
-    s = s.withColumn("w", weight).withColumn("cap", (cap * F.col("source_size")).cast("double"))
-    full = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.lit(share) * F.sum("source_size").over(everything)
-    before = F.coalesce(F.sum("cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(full.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("place", F.row_number().over(full)).withColumn("level", (total - before) / rest)
-    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("place", "level"))
-    level = F.min(fits).over(everything)["level"]
-    return s.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(level, F.lit(0.0))).alias("target"))
+    s = s.select("source", "source_size", weight.alias("w"), (cap * F.col("source_size")).cast("double").alias("cap"))
+    s = cut(s.withColumn("ratio", F.col("cap") / F.col("w")), "weights")
+    all_w = s.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    filled = _running(s, [F.col("ratio"), F.col("source").asc_nulls_last()], ("cap", "w"), parts)
+    level = (F.lit(total) - F.col("cap_before")) / (F.lit(all_w) - F.col("w_before"))
+    filled = filled.withColumn("level", level)
+    # the first source, in this order, that the level does not fill
+    first = filled.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level"))["level"]).first()[0]
+    # if there is none, all are at their caps
+    return s.select("source", "source_size", (F.col("cap") if first is None else F.least("cap", F.col("w") * F.lit(first))).alias("target"))
 
 
 def _source_key(source: Column) -> Column:

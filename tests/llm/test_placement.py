@@ -208,6 +208,18 @@ def test_buckets_are_cut_again_while_they_are_large(spark, docs, monkeypatch):
     assert sorted(map(repr, mixing.mix(docs).collect())) == whole
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Numbered and filled in several stretches, targets are those of the contract's words."""
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    sizes = {f"host{i * 7919 % 60:02d}.example": (i * i * 31) % 997 for i in range(59)} | {None: 50, "\u65e5\u672c": 40, "": 3}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    for share in (0.1, 0.9, 1.5, 1.99, 2.5):
+        got = {r.source: r.target for r in mixing.source_targets(df, (5, 2, 1), share, 2).collect()}
+        order = sorted(sizes, key=lambda x: (x is None, x))
+        want = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, share * sum(sizes.values())) if share < 2 else {s: 2 * n for s, n in sizes.items()}
+        assert got == pytest.approx(want)
+
+
 def test_mixed_rows_are_the_mix(distinct_docs):
     want = {r.doc_id: r.copies for r in mixing.mix(distinct_docs).collect() if r.copies}
     assert {r["doc_id"]: r["count"] for r in mixing.mixed(distinct_docs).groupBy("doc_id").count().collect()} == want
