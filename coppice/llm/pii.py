@@ -32,6 +32,8 @@ OUTSIDE, LABELS = 0, 1 + len(KINDS)
 #: Labelled rows that training reads at most.
 LABELLED_ROWS = 5_000
 TURNS, STEP, RIDGE = 200, 0.5, 1e-3
+#: Sums of weights that a worker remembers.
+REMEMBERED = 1 << 16
 
 # fixed values: the base patterns; runs are matched possessively, from their first character
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -91,11 +93,22 @@ _MARKS = re.compile(rb"[()\[\]{}<>./_:-]{1,3}")
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
+def _spelled(data: bytes) -> Iterator[re.Match]:
+    """Matches of ``_SPELLED`` that do not overlap; ``at`` is looked for first, which is quick."""
+    low, end = data.lower(), 0
+    at = low.find(b"at")
+    while at >= 0:
+        if at >= end and not low[at - 1 : at].isalnum() and not low[at + 2 : at + 3].isalnum() and at and (m := _SPELLED.match(data, at)):
+            yield m
+            end = m.end()
+        at = low.find(b"at", at + 2)
+
+
 def shape_of(text: str) -> bytes:
     """A letter class for each byte of the UTF-8 text; ``at`` and ``dot`` of spelled addresses become two marks of their own."""
     data = text.encode("utf-8", "replace")
     out = data.translate(_SHAPE)
-    for m in _SPELLED.finditer(data):
+    for m in _spelled(data):
         part = _AT.sub(b"\x01\x01", data[m.start() : m.end()], 1)
         part = _DOT.sub(b"\x02\x02\x02", part).translate(_SHAPE)
         out = out[: m.start()] + part + out[m.end() :]
@@ -106,26 +119,32 @@ def words_of(shape: bytes) -> tuple[list[re.Match], list[bytes], list[tuple[int,
     """Words, their shapes, and the runs of words that the field labels, as half-open ranges."""
     found = list(_WORD.finditer(shape))
     shapes = [m[0] for m in found]
-    open_ = [b"d" in s or b"@" in s or b"\x01" in s or b"\x02" in s for s in shapes]
-    for i, s in enumerate(shapes):
-        if b"\x01" in s or b"\x02" in s:
-            # the names before and after a mark, and those between the marks
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(shapes):
-                    open_[j] = True
-        elif not open_[i] and 0 < i < len(shapes) - 1 and (b"d" in shapes[i - 1] or b"@" in shapes[i - 1] or b"@" in shapes[i + 1]) and _MARKS.fullmatch(s):
-            open_[i] = True
-    for i, s in enumerate(shapes):
-        if b"@" in s and len(s) <= 3:  # a lone @ has its names beside it
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(shapes):
-                    open_[j] = True
-    for i in range(1, len(shapes) - 1):
+    last = len(shapes) - 1
+    digits = {i for i, s in enumerate(shapes) if b"d" in s or b"@" in s}
+    open_ = set(digits)
+    if b"\x01" in shape or b"\x02" in shape:
+        # the names before and after a mark, and those between the marks
+        for i, s in enumerate(shapes):
+            if b"\x01" in s or b"\x02" in s:
+                open_ |= {i, max(i - 1, 0), min(i + 1, last)}
+    for i in digits:
+        # a lone mark between two digits; it may stand at an @ as well
+        for j in (i + 1, i - 1):
+            if 0 < j < last and j not in open_ and _MARKS.fullmatch(shapes[j]) and (b"d" in shapes[j - 1] or b"@" in shapes[j - 1] or b"@" in shapes[j + 1]):
+                open_.add(j)
+        if b"@" in shapes[i] and len(shapes[i]) <= 3:  # a lone @ has its names beside it
+            open_ |= {max(i - 1, 0), min(i + 1, last)}
+    for i in sorted(open_):
         # a name between a lone mark and a last part: ``mail . org``
-        if not open_[i] and open_[i - 1] and shapes[i - 1] in _LONE and i > 1 and open_[i - 2]:
-            open_[i] = True
-    edges = [i for i in range(len(shapes) + 1) if (open_[i] if i < len(shapes) else False) != (open_[i - 1] if i else False)]
-    return found, shapes, list(zip(edges[::2], edges[1::2]))
+        if shapes[i] in _LONE and i - 1 in open_ and i + 1 < last:
+            open_.add(i + 1)
+    runs: list[list[int]] = []
+    for i in sorted(open_):
+        if runs and runs[-1][1] == i:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1])
+    return found, shapes, [tuple(x) for x in runs]
 
 
 _LONE = frozenset((b".", b"(.)", b"[.]", b"{.}"))
@@ -253,13 +272,23 @@ class Field:
     weights: dict[bytes, np.ndarray]
     moves: np.ndarray
 
-    def emission(self, shapes: list[bytes], i: int) -> np.ndarray:
-        total = np.zeros(LABELS)
-        for f in features(shapes, i):
-            if (w := self.weights.get(f)) is not None:
-                total += w
+    def __post_init__(self):
+        self.known: dict[tuple[bytes, ...], np.ndarray] = {}
+
+    def _weight(self, names: tuple[bytes, ...]) -> np.ndarray:
+        """Sum of the features' weights; shapes come again and again, so sums are remembered."""
+        total = self.known.get(names)
+        if total is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            total = self.known[names] = sum((w for f in names if (w := self.weights.get(f)) is not None), np.zeros(LABELS))
         return total
 
+    def emission(self, shapes: list[bytes], i: int) -> np.ndarray:
+        left = shapes[i - 1] if i else b""
+        right = shapes[i + 1] if i + 1 < len(shapes) else b""
+        return self._weight(own_features(shapes[i])) + self._weight(near_features(left, b"<")) + self._weight(near_features(right, b">"))
+
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
