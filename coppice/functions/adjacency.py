@@ -153,3 +153,20 @@ def any_cycle(g: Lists) -> list[int]:
         before, v = v, next(w for w in g.into[v] if left[w] and (g.directed or w != before))
     found = order[seen[v] :]
     return found[::-1] if g.directed else found
+
+
+def levels(g: Lists) -> list[int | None]:
+    """The round in which each vertex of a directed graph has no predecessor left; None behind a cycle."""
+    level: list[int | None] = [None] * g.n
+    before = [len(x) + (v in g.loops) for v, x in enumerate(g.into)]
+    ready, at = [v for v in range(g.n) if not before[v]], 0
+    while ready:
+        following = []
+        for v in ready:
+            level[v] = at
+            for w in g.out[v]:
+                before[w] -= 1
+                if not before[w]:
+                    following.append(w)
+        ready, at = following, at + 1
+    return level

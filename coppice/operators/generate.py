@@ -254,3 +254,38 @@ def capped(edges: DataFrame, of: DataFrame, most: int, seed: int = 42) -> DataFr
     """The edges among ``most`` vertices of each graph, picked by hash; smaller graphs stay as they are."""
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy(random_unit("graph_id", "v", seed=seed), "v"))
     return induced(edges, of.select("graph_id", "v").distinct().withColumn("place", place).where(F.col("place") <= most).select("graph_id", "v"))
+
+
+def fill_all(spark: SparkSession, path: str, totals: dict[str, int], exact_ratio: float = 0.5, seed: int = 42) -> int:
+    """Fill every bucket of both families under ``path``, leaving out what is there; the number of new graphs.
+
+    A family's total is split into tracks, and each track's share over its categories by
+    the families' weights.  Each bucket is a partition and one commit.
+    """
+    from coppice.operators.runner import append, stored
+
+    shares = {"undirected": UNDIRECTED_SHARES, "directed": DIRECTED_SHARES}
+    made = 0
+    for family, total in totals.items():
+        for track, n in zip(("exact", "heuristic"), track_split(total, exact_ratio)):
+            categories = sorted(c for f, t, c in RANGES if (f, t) == (family, track))
+            # the weights are listed in the order of the categories' names below
+            weights = dict(zip(CATEGORIES[family], shares[family].values()))
+            table = spark.createDataFrame([(c, weights[c]) for c in categories], "name string, weight double")
+            for category, count in sorted(tuple(r) for r in allocate(table, n).collect()):
+                where = f"{path}/family={family}/track={track}/category={category}"
+                bucket = fill_bucket(spark, family, track, category, count, None, seed)
+                there = stored(spark, where, bucket.select("idx", "file", "n", "src", "dst")).select("idx").distinct()
+                new = cut(fill_bucket(spark, family, track, category, count, there, seed).select("idx", "file", "n", "src", "dst"), "bucket")
+                graphs = new.select("idx").distinct().count()
+                if graphs:
+                    append(new, where)
+                made += graphs
+    return made
+
+
+# fixed values: a family's categories, in the order of its shares
+CATEGORIES = {
+    "undirected": ("scale_free", "small_world", "random_er", "grids_trees", "real_world"),
+    "directed": ("real_world_ego", "scale_free", "random_er", "directed_grids", "dags"),
+}

@@ -101,6 +101,19 @@ def kernel(edges: DataFrame, directed: bool, how: str = "auto", max_iter: int =
     raise RuntimeError(f"kernel: no fixpoint after {max_iter} turns")
 
 
+def within_budget(kernel_edges: DataFrame, forced: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``(graph_id, left, feasible)`` for ``budgets (graph_id, k)``: what a bounded search may still take out.
+
+    Not feasible is a graph whose rules force more than ``k`` vertices, or exactly ``k``
+    while its kernel still has an edge.
+    """
+    n = forced.groupBy("graph_id").agg(F.count_distinct("v").alias("forced"))
+    some = kernel_edges.select("graph_id").distinct().withColumn("open", F.lit(True))
+    j = budgets.join(n, "graph_id", "left").join(some, "graph_id", "left")
+    left = F.col("k") - F.coalesce("forced", F.lit(0))
+    return j.select("graph_id", left.alias("left"), ((left > 0) | ((left == 0) & F.col("open").isNull())).alias("feasible"))
+
+
 def rekernel(edges: DataFrame, committed: DataFrame, directed: bool, how: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Take ``committed`` out and reduce what is left; forced vertices keep their ids and include ``committed``."""
     e, forced = kernel(without_vertices(canonical(edges, directed, loops=True), committed), directed, how)

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from coppice.functions import graphs as G
 from coppice.operators.edges import KEYS, both_ways, canonical, in_out_degrees, without_vertices
-from coppice.operators.structure import connected, graph_rows, numbered, peel, per_graph, strong_components
+from coppice.operators.kernels import confluent_kernel
+from coppice.operators.structure import connected, graph_rows, is_small, is_solution, numbered, peel, per_graph, strong_components
 from coppice.plans.fixpoint import cut
 
 EXACT = ("bst", "ic", "brute")
+#: Edges of a graph that a worker takes vertices from one by one.
+GREEDY_EDGES = 5_000
 SOLUTION = (
     "graph_id long, n long, m long, fvs_size long, solution array<long>, valid boolean, minimal boolean, bound long, status string, "
     "kernel_n long, kernel_s double, search_s double"
@@ -68,15 +71,75 @@ def _solve(directed: bool, algo: str, options: dict, seconds: float | None):
     return work
 
 
-def solve(edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, seconds: float | None = None, **options) -> DataFrame:
+def solve(
+    edges: DataFrame, directed: bool, algo: str = "bst", ids: DataFrame | None = None, seconds: float | None = None, how: str = "auto", **options
+) -> DataFrame:
     """``SOLUTION`` rows, one per graph (of ``ids``, if given: graphs without edges have size 0).
 
     ``status`` is EXACT, HEURISTIC or TIMEOUT; with TIMEOUT size, solution and flags are
-    null and ``bound`` is a lower bound.  ``seconds`` holds for each graph.  ``n`` counts
-    vertices with an edge, ``kernel_n`` those that the search is left with.
+    null and ``bound`` is a lower bound.  ``n`` counts vertices with an edge, ``kernel_n``
+    those that the search is left with.  ``seconds`` holds for each graph.
+
+    A table of graphs that fit a worker is searched graph by graph.  Where one does not, or
+    with ``how="frames"``, all are reduced by joins and searched by the components of their
+    kernels, ``seconds`` holds for each component, and ``minimal`` is null: it is not tried.
     """
-    rows = graph_rows(canonical(edges, directed, loops=True), ids)
-    return per_graph(rows, _solve(directed, algo, options, seconds), SOLUTION)
+    e = canonical(edges, directed, loops=True)
+    if how == "worker" or (how == "auto" and is_small(e)):
+        return per_graph(graph_rows(e, ids), _solve(directed, algo, options, seconds), SOLUTION)
+    e = cut(e, "edges")
+    ids = cut((e if ids is None else ids).select("graph_id").distinct(), "ids")
+    return _solve_by_kernel(e, directed, algo, ids, seconds, options)
+
+
+def _solve_by_kernel(e: DataFrame, directed: bool, algo: str, ids: DataFrame, seconds: float | None, options: dict) -> DataFrame:
+    start = time.monotonic()
+    k, forced = confluent_kernel(e, directed, "frames")
+    k, forced = cut(k, "kernel"), cut(forced, "forced")
+    kernel_s = time.monotonic() - start
+    parts = cut(_searched(k, directed, algo, seconds, options, "frames"), "parts")
+    found = parts.where("status <> 'TIMEOUT'").select("graph_id", F.explode("solution").alias("v")).unionByName(forced.select("graph_id", "v"))
+    late = parts.where("status = 'TIMEOUT'").select("graph_id").distinct()
+    chosen = cut(found.join(late, "graph_id", "left_anti"), "chosen")
+    lists = chosen.groupBy("graph_id").agg(F.array_sort(F.collect_list("v")).alias("solution"))
+    fixed = forced.groupBy("graph_id").agg(F.count(F.lit(1)).alias("forced"))
+    sums = parts.groupBy("graph_id").agg(F.max("status").alias("status"), F.sum("bound").alias("bound"), F.sum("n").alias("kernel_n"), F.max("search_s").alias("search_s"))
+    ends = e.select("graph_id", F.explode(F.array("src", "dst")).alias("v")).groupBy("graph_id").agg(F.count_distinct("v").alias("n"))
+    whole = ids.join(ends, "graph_id", "left").join(e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")), "graph_id", "left")
+    for more in (is_solution(e, chosen, ids, directed, "frames"), lists, fixed, sums):
+        whole = whole.join(more, "graph_id", "left")
+    zero = F.lit(0).cast("long")
+    status = F.coalesce("status", F.lit("EXACT" if algo in EXACT else "HEURISTIC"))
+    done, none = status != "TIMEOUT", F.array().cast("array<long>")
+    columns = {
+        "n": F.coalesce("n", zero),
+        "m": F.coalesce("m", zero),
+        "fvs_size": F.when(done, F.coalesce(F.size("solution").cast("long"), zero)),
+        "solution": F.when(done, F.coalesce("solution", none)),
+        "valid": F.when(done, F.col("valid")),
+        "minimal": F.lit(None).cast("boolean"),
+        "bound": F.coalesce("bound", zero) + F.coalesce("forced", zero),
+        "status": status,
+        "kernel_n": F.coalesce("kernel_n", zero),
+        "kernel_s": F.lit(kernel_s),
+        "search_s": F.coalesce("search_s", F.lit(0.0)),
+    }
+    # F.size of a null array is -1 or null, by a setting: the list is made whole first
+    whole = whole.withColumn("solution", F.coalesce("solution", none))
+    return whole.select("graph_id", *(c.alias(n) for n, c in columns.items()))
+
+
+def _searched(kernel: DataFrame, directed: bool, algo: str, seconds: float | None, options: dict, how: str) -> DataFrame:
+    """``SOLUTION`` rows of the strong or plain components of a table, ``graph_id`` repeated for each."""
+    labels = strong_components(kernel, how).withColumnRenamed("scc", "component") if directed else connected(kernel, how=how)
+    labels = cut(labels, "labels")
+    inner = kernel.join(labels.select("graph_id", F.col("v").alias("src"), F.col("component").alias("piece")), ["graph_id", "src"])
+    if directed:
+        b = labels.select("graph_id", F.col("v").alias("dst"), F.col("component").alias("other"))
+        inner = inner.join(b, ["graph_id", "dst"]).where("piece = other")
+    rows = inner.groupBy("graph_id", "piece").agg(F.collect_list(F.struct("src", "dst")).alias("edges")).select(F.struct("graph_id", "piece").alias("k"), "edges")
+    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options, seconds), SOLUTION.replace("graph_id long", "graph_id string"))
+    return found.withColumn("graph_id", F.get_json_object("graph_id", "$.graph_id").cast("long"))
 
 
 def solve_by_component(
@@ -87,15 +150,7 @@ def solve_by_component(
     a null size, where one is."""
     e = cut(canonical(edges, directed, loops=True), "edges")
     e = cut(peel(e, directed, sinks=directed, how=how), "peeled")
-    labels = cut(strong_components(e, how).withColumnRenamed("scc", "component") if directed else connected(e), "labels")
-    a = labels.select("graph_id", F.col("v").alias("src"), F.col("component").alias("piece"))
-    inner = e.join(a, ["graph_id", "src"])
-    if directed:
-        b = labels.select("graph_id", F.col("v").alias("dst"), F.col("component").alias("other"))
-        inner = inner.join(b, ["graph_id", "dst"]).where("piece = other")
-    rows = inner.groupBy("graph_id", "piece").agg(F.collect_list(F.struct("src", "dst")).alias("edges")).select(F.struct("graph_id", "piece").alias("k"), "edges")
-    found = per_graph(rows.select(F.to_json("k").alias("graph_id"), "edges"), _solve(directed, algo, options, seconds), SOLUTION.replace("graph_id long", "graph_id string"))
-    parts = found.select(F.get_json_object("graph_id", "$.graph_id").cast("long").alias("graph_id"), "fvs_size", "bound", "status")
+    parts = _searched(e, directed, algo, seconds, options, how).select("graph_id", "fvs_size", "bound", "status")
     # of the three words TIMEOUT is the largest one, then HEURISTIC
     sizes = parts.groupBy("graph_id").agg(F.sum("fvs_size").alias("fvs_size"), F.count(F.lit(1)).alias("pieces"), F.sum("bound").alias("bound"), F.max("status").alias("status"))
     if ids is None:
@@ -106,15 +161,21 @@ def solve_by_component(
     return j.select("graph_id", F.when(F.col("status") != "TIMEOUT", F.coalesce("fvs_size", zero)).alias("fvs_size"), *counts, "status")
 
 
-def greedy(edges: DataFrame, directed: bool, by: str = "degree", max_iter: int = 100_000) -> DataFrame:
+def greedy(edges: DataFrame, directed: bool, by: str = "degree", max_iter: int = 100_000, how: str = "auto") -> DataFrame:
     """``(graph_id, v)``: take the largest residual degree (``out``: out-degree), ties to the larger id, until acyclic.
 
     Every turn takes one vertex from each graph that still has a cycle: a table of many
     graphs needs as many turns as its largest solution has vertices.  More than
-    ``max_iter`` are an error.  Tables of small graphs are better served by
-    ``solve(algo="greedy")``, which takes no turns over tables.
+    ``max_iter`` are an error.  Graphs of up to ``GREEDY_EDGES`` edges take theirs in workers.
     """
     e = cut(canonical(edges, directed, loops=True), "edges")
+    if how == "worker" or (how == "auto" and is_small(e, GREEDY_EDGES)):
+
+        def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
+            graph, ids = numbered(es, directed)
+            return [(g, ids[v]) for v in G.bits(G.solve_greedy(graph, by=by))]
+
+        return per_graph(graph_rows(e), work, "graph_id long, v long")
     taken = []
     while True:
         cyclic = cut(peel(e, directed).select("graph_id").distinct(), "cyclic")

@@ -225,11 +225,23 @@ def girth(edges: DataFrame, directed: bool) -> DataFrame:
     return find_cycle(edges, directed, shortest=True).select("graph_id", F.col("length").alias("girth"))
 
 
-def topological_levels(edges: DataFrame, of: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def topological_levels(edges: DataFrame, of: DataFrame, max_iter: int = 10_000, how: str = "auto") -> DataFrame:
     """``(graph_id, v, level)``: the round in which a vertex has no predecessor left; those behind a cycle do not appear.
 
-    More than ``max_iter`` levels are an error.
+    Graphs that fit a worker are walked there, whatever their levels; over tables, more
+    than ``max_iter`` of them are an error.
     """
+    if how == "worker" or (how == "auto" and is_small(edges)):
+
+        def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
+            graph = L.Lists(es, True)
+            return [(g, graph.ids[v], k) for v, k in enumerate(L.levels(graph)) if k is not None]
+
+        found = per_graph(graph_rows(canonical(edges, directed=True, loops=True)), work, "graph_id long, v long, level long")
+        # vertices without an edge are free from the start
+        alone = of.select("graph_id", "v").distinct().join(vertices(edges), ["graph_id", "v"], "left_anti")
+        named = found.join(of.select("graph_id", "v").distinct(), ["graph_id", "v"], "left_semi")
+        return named.unionByName(alone.withColumn("level", F.lit(0).cast("long")))
     left, level, done = cut(of.select("graph_id", "v").distinct(), "level"), 0, []
     e = cut(canonical(edges, directed=True, loops=True), "edges")
     while True:
@@ -255,9 +267,9 @@ def random_unit(*columns, seed: int):
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def random_topological_order(edges: DataFrame, of: DataFrame, seed: int = 42) -> DataFrame:
+def random_topological_order(edges: DataFrame, of: DataFrame, seed: int = 42, how: str = "auto") -> DataFrame:
     """``(graph_id, v, place)``: by level, at random within a level."""
-    levels = topological_levels(edges, of)
+    levels = topological_levels(edges, of, how=how)
     w = Window.partitionBy("graph_id").orderBy("level", random_unit("graph_id", "v", seed=seed), "v")
     return levels.select("graph_id", "v", (F.row_number().over(w) - 1).cast("long").alias("place"))
 

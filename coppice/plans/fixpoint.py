@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -135,3 +136,30 @@ def fixpoint(
             return state
         before = after
     raise RuntimeError(f"{name}: no fixpoint after {max_iter} turns")
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Spark jobs that this thread starts inside are cancelled when the time is up, which raises ``TimeoutError``.
+
+    Tasks are interrupted too, so that a job that hangs in one lets go of its cores.
+    """
+    sc, group, late = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not done after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)

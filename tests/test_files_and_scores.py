@@ -222,3 +222,17 @@ def test_problems_of_samples_are_told(spark):
     e = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (4, 0, 7), (9, 1, 2)], "graph_id long, src long, dst long")
     got = sorted(tuple(r) for r in scoring.sample_problems(samples, e, 2).collect())
     assert got == [(2, "shape"), (3, "finite"), (4, "ids"), (4, "label"), (5, "repeat"), (6, "label"), (6, "shape")]
+
+
+def test_all_buckets_are_filled_once(spark, tmp_path):
+    from coppice.operators import generate
+
+    path = str(tmp_path / "graphs")
+    assert generate.fill_all(spark, path, {"undirected": 5}, exact_ratio=1.0) == 5
+    assert generate.fill_all(spark, path, {"undirected": 5}, exact_ratio=1.0) == 0
+    assert generate.fill_all(spark, path, {"undirected": 10}, exact_ratio=1.0) == 5
+    t = spark.read.parquet(path)
+    assert t.select("family", "track", "category", "idx").distinct().count() == 10
+    assert {r[0] for r in t.select("category").distinct().collect()} == set(generate.CATEGORIES["undirected"])
+    for family, names in generate.CATEGORIES.items():
+        assert set(names) == {c for f, _, c in generate.RANGES if f == family}

@@ -192,6 +192,61 @@ def test_time_that_is_up_is_told(spark, algo):
     assert heuristic["valid"] and heuristic["status"] == "HEURISTIC"
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_large_graphs_are_solved_by_their_kernels(spark, mixed, directed):
+    """Reduced by joins and searched by component, the sizes are those of whole graphs in workers."""
+    ids = mixed.select("graph_id").unionByName(spark.createDataFrame([(77,)], "graph_id long")).distinct()
+    columns = ["graph_id", "n", "m", "fvs_size", "valid", "bound", "status"]
+    one = rows(solvers.solve(mixed, directed, "bst", ids, how="worker").select(columns))
+    two = solvers.solve(mixed, directed, "bst", ids, how="frames")
+    assert two.columns == [x.split()[0] for x in solvers.SOLUTION.split(", ")] and rows(two.select(columns)) == one
+    hard = mixed.unionByName(spark.createDataFrame([(8, x, y) for _, a, b in _cliques(8, 7, 1) for x, y in ((a, b), (b, a))], mixed.schema))
+    late = solvers.solve(hard, directed, "bst", hard, seconds=-1.0, how="frames").collect()
+    assert {r["status"] for r in late} >= {"TIMEOUT"}
+    assert all((r["fvs_size"] is None) == (r["status"] == "TIMEOUT") == (r["solution"] is None) for r in late)
+    best = {r[0]: r[3] for r in one} | {8: 6 if directed else 5}
+    assert all(r["bound"] <= best[r["graph_id"]] for r in late)
+    assert all(r["valid"] for r in solvers.solve(mixed, directed, "kma", ids, how="frames").collect())
+
+
+def test_greedy_and_levels_agree(mixed, spark):
+    for directed in (True, False):
+        for by in ("degree", "out") if directed else ("degree",):
+            assert rows(solvers.greedy(mixed, directed, by, how="worker")) == rows(solvers.greedy(mixed, directed, by, how="frames"))
+    of = E.vertices(mixed).unionByName(spark.createDataFrame([(0, 50), (9, 1)], "graph_id long, v long"))
+    some = mixed.where("src < dst or (src = 5 and dst = 2)")
+    assert rows(S.topological_levels(some, of, how="worker")) == rows(S.topological_levels(some, of, how="frames"))
+
+
+def test_budgets_of_kernels(spark):
+    e = spark.createDataFrame([(1, 0, 0), (1, 1, 1)] + _cliques(2, 4, 1) + [(3, 0, 1)], "graph_id long, src long, dst long")
+    k, forced = kernels.kernel(e, False)
+    budgets = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "graph_id long, k long")
+    assert rows(kernels.within_budget(k, forced, budgets)) == [(1, -1, False), (2, 0, False), (3, 0, True)]
+    more = spark.createDataFrame([(1, 2), (2, 2)], "graph_id long, k long")
+    assert rows(kernels.within_budget(k, forced, more)) == [(1, 0, True), (2, 2, True)]
+
+
+def test_jobs_end_at_their_time_limit(spark):
+    import time
+
+    from coppice.plans.fixpoint import time_limit
+
+    def slow(batches):
+        for pdf in batches:
+            time.sleep(30)
+            yield pdf
+
+    start = time.monotonic()
+    with pytest.raises(TimeoutError), time_limit(spark, 1.5):
+        spark.range(4).mapInPandas(slow, "id long").count()
+    assert time.monotonic() - start < 20
+    with time_limit(spark, 60):
+        assert spark.range(9).count() == 9
+    with pytest.raises(ZeroDivisionError), time_limit(spark, 60):
+        1 / 0
+
+
 def test_runs_tell_sizes_and_times(spark):
     e = spark.createDataFrame(_cliques(1, 5, 2) + [(1, 9, 10)], "graph_id long, src long, dst long")
     r = runner.run(e, e, ["bst", "kma"], False).collect()
@@ -269,7 +324,7 @@ def test_loops_over_tables_end_with_an_error(spark, mixed):
     with pytest.raises(RuntimeError, match="kernel"):
         kernels.kernel(mixed, True, "frames", max_iter=1)
     with pytest.raises(RuntimeError, match="greedy"):
-        solvers.greedy(mixed, True, max_iter=1)
+        solvers.greedy(mixed, True, max_iter=1, how="frames")
 
 
 def test_a_sample_takes_as_many_layers_as_it_needs(spark):
@@ -315,6 +370,6 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 def test_levels_over_the_limit_are_an_error(spark):
     path = spark.createDataFrame([(1, i, i + 1) for i in range(4)], "graph_id long, src long, dst long")
     of = spark.createDataFrame([(1, i) for i in range(5)], "graph_id long, v long")
-    assert rows(S.topological_levels(path, of, max_iter=5)) == [(1, i, i) for i in range(5)]
+    assert rows(S.topological_levels(path, of, max_iter=5, how="frames")) == [(1, i, i) for i in range(5)]
     with pytest.raises(RuntimeError, match="4 levels"):
-        S.topological_levels(path, of, max_iter=4)
+        S.topological_levels(path, of, max_iter=4, how="frames")
