@@ -162,8 +162,7 @@ def peel(edges: DataFrame, directed: bool, sinks: bool = False, how: str = "auto
     if how == "worker" or (how == "auto" and is_small(e)):
 
         def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
-            both = es if directed else es + [(b, a) for a, b in es]
-            graph = L.Lists(both, directed)
+            graph = L.Lists(es, directed)
             left = L.peeled(graph, sinks)
             inside = {graph.ids[v] for v in range(graph.n) if left[v]}
             return [(g, a, b) for a, b in es if a in inside and b in inside]
@@ -206,19 +205,70 @@ def verify_answers(edges: DataFrame, answers: DataFrame, of: DataFrame, directed
     return j.select("graph_id", "unique", "in_range", (F.col("unique") & F.col("in_range") & F.col("acyclic")).alias("valid"))
 
 
-def find_cycle(edges: DataFrame, directed: bool, shortest: bool = False) -> DataFrame:
-    """``(graph_id, cycle, length)`` for each graph that has one."""
+def _walked_cycle(e: DataFrame, directed: bool) -> DataFrame:
+    """``(graph_id, cycle, length)`` by pointer doubling, for graphs of any size without loops.
+
+    In what peeling leaves every vertex can be walked on from: against the edges, or, if
+    undirected, along them without turning back.  One step is a pointer from arc to arc.
+    Doubled often enough, pointers only lead to arcs that the walk comes back to; from the
+    smallest of these the walk is taken in doubling strides until it closes, and cut where
+    a vertex comes again soonest.
+    """
+    left = cut(peel(e, directed, how="frames"), "left")
+    if directed:
+        # an arc is named by its end, since of each vertex only one predecessor is taken
+        step = left.groupBy("graph_id", F.col("dst").alias("v")).agg(F.min("src").alias("w"))
+        arc = step.select("graph_id", F.struct(F.col("v").alias("x"), F.lit(0).cast("long").alias("y")).alias("a"), F.struct(F.col("w").alias("x"), F.lit(0).cast("long").alias("y")).alias("b"))
+    else:
+        both = both_ways(left).select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y"))
+        two = Window.partitionBy("graph_id", "x").orderBy("y")
+        first = both.withColumn("place", F.row_number().over(two)).where("place <= 2").groupBy("graph_id", F.col("x").alias("y")).agg(F.min("y").alias("one"), F.max("y").alias("other"))
+        onward = both.join(first, ["graph_id", "y"]).withColumn("z", F.when(F.col("one") == F.col("x"), F.col("other")).otherwise(F.col("one")))
+        arc = onward.select("graph_id", F.struct("x", "y").alias("a"), F.struct(F.col("y").alias("x"), F.col("z").alias("y")).alias("b"))
+    jump = [cut(arc, "step")]
+    most = jump[0].groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    while 1 << len(jump) - 1 < most:
+        far = jump[-1].select("graph_id", F.col("a").alias("b"), F.col("b").alias("c"))
+        jump.append(cut(jump[-1].join(far, ["graph_id", "b"]).select("graph_id", "a", F.col("c").alias("b")), "jump"))
+    walk = jump[-1].groupBy("graph_id").agg(F.min("b").alias("a")).withColumn("d", F.lit(0).cast("long"))
+    for k, stride in enumerate(jump):
+        more = walk.join(stride, ["graph_id", "a"]).select("graph_id", F.col("b").alias("a"), (F.col("d") + (1 << k)).alias("d"))
+        walk = cut(walk.unionByName(more).groupBy("graph_id", "a").agg(F.min("d").alias("d")), "walk")
+    # once round, and the first arc again at its end
+    n = walk.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    again = walk.where("d = 0").join(n, "graph_id").select("graph_id", "a", F.col("n").alias("d"))
+    seen = walk.unionByName(again).select("graph_id", F.col("a.x").alias("v"), "d")
+    since = F.lag("d").over(Window.partitionBy("graph_id", "v").orderBy("d"))
+    gap = seen.withColumn("start", since).where("start is not null").groupBy("graph_id").agg(F.min(F.struct((F.col("d") - F.col("start")).alias("length"), "start")).alias("g"))
+    inside = seen.join(gap, "graph_id").where("d >= g.start and d < g.start + g.length")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("d") if directed else F.col("d")).alias("d"), "v")))
+    found = inside.groupBy("graph_id").agg(order.alias("c"))
+    return found.select("graph_id", F.transform("c", lambda x: x["v"]).alias("cycle"), F.size("c").cast("long").alias("length"))
+
+
+def find_cycle(edges: DataFrame, directed: bool, shortest: bool = False, how: str = "auto") -> DataFrame:
+    """``(graph_id, cycle, length)`` for each graph that has one.
+
+    A shortest one is looked for in workers, from every vertex in turn.  Some cycle of a
+    graph that does not fit a worker is found over tables, in turns by the logarithm of its size.
+    """
+    e = canonical(edges, directed, loops=True)
+    if not shortest and not (how == "worker" or (how == "auto" and is_small(e))):
+        e = cut(e, "edges")
+        loop = e.where("src = dst").groupBy("graph_id").agg(F.min("src").alias("v")).select("graph_id", F.array("v").alias("cycle"), F.lit(1).cast("long").alias("length"))
+        plain = cut(e.join(loop, "graph_id", "left_anti"), "plain")
+        return loop.unionByName(_walked_cycle(plain, directed))
 
     def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
         if shortest:
             graph, ids = numbered(es, directed)
             found = G.shortest_cycle(graph, graph.all)
         else:
-            lists = L.Lists(es if directed else es + [(b, a) for a, b in es], directed)
+            lists = L.Lists(es, directed)
             found, ids = L.any_cycle(lists), lists.ids
         return [(g, [ids[v] for v in found], len(found))] if found else []
 
-    return per_graph(graph_rows(canonical(edges, directed, loops=True)), work, "graph_id long, cycle array<long>, length long")
+    return per_graph(graph_rows(e), work, "graph_id long, cycle array<long>, length long")
 
 
 def girth(edges: DataFrame, directed: bool) -> DataFrame:
@@ -307,7 +357,7 @@ def core_numbers(edges: DataFrame, how: str = "auto") -> DataFrame:
     if how == "worker" or (how == "auto" and is_small(e)):
 
         def work(g: int, es: list[tuple[int, int]]) -> list[tuple]:
-            graph = L.Lists(es + [(b, a) for a, b in es], False)
+            graph = L.Lists(es, False)
             return [(g, graph.ids[v], k) for v, k in enumerate(L.core_numbers(graph))]
 
         return per_graph(graph_rows(e), work, "graph_id long, v long, core long")

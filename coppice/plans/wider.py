@@ -85,6 +85,18 @@ def brand_vertices_on_cycles(spark, sf):
     return S.nontrivial_scc(_dense(spark, sf)).withColumn("least", F.col("v"))
 
 
+@query(FULL + Q.REACH + " SELECT DISTINCT graph_id, true AS closed, true AS simple FROM r WHERE src = dst")
+def brand_cycle_frames(spark, sf):
+    """A cycle of each cyclic graph, found over tables: every step of it is an edge, and no vertex comes twice."""
+    e = cut(_dense(spark, sf), "edges")
+    c = cut(S.find_cycle(e, directed=True, how="frames"), "cycles")
+    following = F.element_at("cycle", (F.pmod(F.col("i") + 1, "length") + 1).cast("int")).alias("dst")
+    step = c.select("graph_id", "length", "cycle", F.posexplode("cycle").alias("i", "src")).select("graph_id", "length", "src", following)
+    held = step.join(e, ["graph_id", "src", "dst"]).groupBy("graph_id").agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("src").alias("vertices"))
+    j = c.join(held, "graph_id", "left")
+    return j.select("graph_id", F.coalesce(F.col("steps") == F.col("length"), F.lit(False)).alias("closed"), F.coalesce(F.col("vertices") == F.col("length"), F.lit(False)).alias("simple"))
+
+
 @query(FULL + B._girth("e", 16))
 def brand_girth_directed(spark, sf):
     return S.girth(_dense(spark, sf), directed=True)

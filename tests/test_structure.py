@@ -209,6 +209,24 @@ def test_large_graphs_are_solved_by_their_kernels(spark, mixed, directed):
     assert all(r["valid"] for r in solvers.solve(mixed, directed, "kma", ids, how="frames").collect())
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_cycles_found_over_tables_are_cycles(spark, mixed, directed):
+    ring = [(20, i, (i + 1) % 37) for i in range(37)] + [(20, 5, 50), (20, 50, 51)]
+    # two rings joined by a path, which a walk goes along both ways
+    ring += [(21, a, b) for a, b in ((0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4))] + [(22, 0, 1), (22, 1, 2)]
+    e = mixed.unionByName(spark.createDataFrame(ring, mixed.schema))
+    for some in (e, e.where("src <> dst")):
+        known = {(r["graph_id"], r["src"], r["dst"]) for r in some.collect()}
+        known |= set() if directed else {(g, b, a) for g, a, b in known}
+        one, two = ({r["graph_id"]: r["cycle"] for r in S.find_cycle(some, directed, how=how).collect()} for how in ("worker", "frames"))
+        assert set(one) == set(two) and 20 in two and 22 not in two
+        for found in (one, two):
+            for g, c in found.items():
+                assert len(set(c)) == len(c) and (directed or len(c) != 2)
+                assert all((g, a, b) in known for a, b in zip(c, c[1:] + c[:1]))
+        assert len(two[20]) == 37
+
+
 def test_greedy_and_levels_agree(mixed, spark):
     for directed in (True, False):
         for by in ("degree", "out") if directed else ("degree",):
