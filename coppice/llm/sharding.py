@@ -5,9 +5,9 @@ dimensions are the logarithm of its size, the ranks of its first language and so
 among all values, and its first doc_id, and whose weight is its bytes.  A node is split
 at the weighted median of the dimension in which its points spread widest, until every
 leaf holds the target bytes.  The medians of all nodes of a level are found at once, on
-all their points, by histograms of the dimension's leading bits that narrow down until
-the bucket left is too light to matter; the text's hash follows the dimension's own
-bits, so heavy ties split like any other value.
+all their points, by histograms over the stretch of keys in which each median lies; a
+bucket's own ends are the next stretch, until it is too light to matter.  The text's hash
+follows the dimension's own bits, so heavy ties split like any other value.
 
 Nodes, histograms and splits are tables: they grow with the number of leaves, are worked
 on by executors, and nothing of them comes to the driver.
@@ -23,8 +23,8 @@ from coppice.llm.common import checked_broadcast, column_or_null, cut, cut_of
 DIMENSIONS = ("size_log", "lang_at", "source_at", "doc_at")
 #: Leading bits of a dimension and of the hash that breaks its ties.
 DIMENSION_BITS, TIE_BITS = 28, 24
-#: Bits that one histogram resolves, and the share of a node's bytes below which a bucket is not split further.
-STEP_BITS, FINE = 13, 0.0005
+#: Buckets of a node's histogram, and the share of a node's bytes below which a bucket is not split further.
+BUCKETS, FINE = 256, 0.0005
 #: Rows that one task numbers at most, about.
 NUMBERED_ROWS = 50_000
 #: Levels of splits that are applied before the points are written anew.
@@ -85,48 +85,48 @@ def _key_of(dimension: Column) -> Column:
 
 
 def _widest(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, dim, total, wanted`` of each node that is to be split: its widest dimension, its bytes, and those that go to the left."""
+    """``node, dim, total, wanted, lo, hi`` of each node that is to be split: its widest dimension, its bytes, those
+    that go to the left, and the ends of its keys."""
     unit = 1.0 / (1 << (DIMENSION_BITS + TIE_BITS))
-    moments = [F.sum(F.col("w") * F.pow(F.col(d) * unit, n)).alias(f"m{n}_{d}") for d in DIMENSIONS for n in (1, 2)]
-    stats = points.join(checked_broadcast(nodes), "node").groupBy("node", "leaves").agg(F.sum("w").alias("total"), *moments)
+    sums = [F.sum(F.col("w") * F.pow(F.col(d) * unit, n)).alias(f"m{n}_{d}") for d in DIMENSIONS for n in (1, 2)]
+    sums += [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
+    stats = points.join(checked_broadcast(nodes), "node").groupBy("node", "leaves").agg(F.sum("w").alias("total"), *sums)
     spread = F.array(*(F.col(f"m2_{d}") / F.col("total") - F.pow(F.col(f"m1_{d}") / F.col("total"), 2) for d in DIMENSIONS))
+    stats = stats.withColumn("dim", (F.array_position(spread, F.array_max(spread)) - 1).cast("int"))
     wanted = F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")
-    return stats.select("node", (F.array_position(spread, F.array_max(spread)) - 1).cast("int").alias("dim"), "total", wanted.alias("wanted"))
+    ends = (F.array(*(F.col(f"{n}_{d}") for d in DIMENSIONS))[F.col("dim")].alias(n) for n in ("lo", "hi"))
+    return stats.select("node", "dim", "total", wanted.alias("wanted"), *ends)
 
 
-def _narrowed(points: DataFrame, search: DataFrame, open_bits: int) -> DataFrame:
-    """The bucket in which each node's median lies: ``lo`` moves up to it, ``below`` is the weight in front of it, ``inside`` its own."""
-    step = max(open_bits - STEP_BITS, 0)
-    key = _key_of(F.col("dim"))
-    near = points.join(checked_broadcast(search), "node").where((key >= F.col("lo")) & (key < F.col("lo") + F.lit(1 << open_bits)))
-    same = ("node", "dim", "total", "wanted", "lo", "below")
-    sums = near.groupBy(*same, F.shiftright(key - F.col("lo"), step).alias("bucket")).agg(F.sum("w").alias("w"))
-    # at most 2 ^ STEP_BITS rows for a node
+def _narrowed(points: DataFrame, search: DataFrame) -> DataFrame:
+    """The bucket in which each node's median lies: ``lo`` and ``hi`` become its own ends, ``below`` is the weight in front of it, ``inside`` its own."""
+    near = points.join(checked_broadcast(search), "node").withColumn("key", _key_of(F.col("dim"))).where("key between lo and hi")
+    same = ("node", "dim", "total", "wanted", "below")
+    bucket = F.expr(f"((key - lo) * {BUCKETS}) div (hi - lo + 1)").alias("bucket")
+    sums = near.groupBy(*same, bucket).agg(F.sum("w").alias("w"), F.min("key").alias("first"), F.max("key").alias("last"))
+    # a node has no more rows than buckets
     upto = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     sums = sums.withColumn("upto", upto)
-    this = F.struct("bucket", (F.col("upto") - F.col("w")).alias("below"), F.col("w").alias("inside"))
+    this = F.struct("bucket", (F.col("upto") - F.col("w")).alias("below"), F.col("w").alias("inside"), "first", "last")
     # sums of doubles may end a hair below the whole: then it is the last bucket
     found = sums.groupBy(*same).agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("wanted"), this)), F.max(this)).alias("b"))
-    return found.select("node", "dim", "total", "wanted", (F.col("lo") + F.shiftleft(F.col("b.bucket"), step)).alias("lo"), F.col("b.below").alias("below"), F.col("b.inside").alias("inside"))
+    return found.select("node", "dim", "total", "wanted", F.col("b.first").alias("lo"), F.col("b.last").alias("hi"), F.col("b.below").alias("below"), F.col("b.inside").alias("inside"))
 
 
 def _medians(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, dim, split)``: keys below ``split`` go to the left."""
-    search = cut(_widest(points, nodes).withColumns({"lo": F.lit(0).cast("long"), "below": F.lit(0.0)}), "search")
-    open_bits, done = DIMENSION_BITS + TIE_BITS, None
-    while open_bits:
-        found = cut(_narrowed(points, search, open_bits), "narrowed")
-        open_bits = max(open_bits - STEP_BITS, 0)
-        fine = F.col("inside") <= FINE * F.col("total") if open_bits else F.lit(True)
+    search = cut(_widest(points, nodes).withColumn("below", F.lit(0.0)), "search")
+    done = None
+    while True:
+        found = cut(_narrowed(points, search), "narrowed")
+        fine = (F.col("inside") <= FINE * F.col("total")) | (F.col("lo") == F.col("hi"))
         # the bucket goes to the side that leaves the halves nearer to their shares
         left = F.col("below") + F.col("inside") - F.col("wanted") < F.col("wanted") - F.col("below")
-        split = F.col("lo") + F.when(left, F.lit(1 << open_bits)).otherwise(0)
-        settled = found.where(fine).select("node", "dim", split.alias("split"))
+        settled = found.where(fine).select("node", "dim", F.when(left, F.col("hi") + 1).otherwise(F.col("lo")).alias("split"))
         done = settled if done is None else done.union(settled)
         search = found.where(~fine).drop("inside")
         if search.isEmpty():
-            break
-    return done
+            return done
 
 
 def _shards_of(points: DataFrame, leaves: int) -> DataFrame:
