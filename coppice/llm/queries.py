@@ -99,6 +99,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        k AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS t FROM s),
+        o AS (SELECT t, min(doc_id) AS owner FROM k GROUP BY t),
+        r AS (SELECT doc_id, i FROM k JOIN o USING (t) WHERE owner < doc_id),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM r),
+        x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op4_threshold_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
