@@ -44,8 +44,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Tables written inside each open ``scope``.
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[tuple[SparkSession, str]]]:
+    """What was written inside each open ``scope`` of this thread."""
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -61,8 +67,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def temporary_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted as tables of ``cut`` are."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append((spark, path))
+    if _scopes():
+        _scopes()[-1].append((spark, path))
     else:
         atexit.register(_remove, spark, path)
     return path
@@ -71,26 +77,27 @@ def temporary_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables cut inside are deleted at the end: nothing lazy that reads them may leave."""
-    _SCOPES.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for spark, path in _SCOPES.pop():
+        for spark, path in _scopes().pop():
             _remove(spark, path)
 
 
 def cut_of(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``cut(make(), name)``, after which the tables that making it cut are deleted."""
-    _SCOPES.append([])
+    open_ = _scopes()
+    open_.append([])
     try:
         df = make()
-        inner = _SCOPES.pop()
+        inner = open_.pop()
         try:
             return cut(df, name)
         finally:
-            _SCOPES.append(inner)
+            open_.append(inner)
     finally:
-        for spark, path in _SCOPES.pop():
+        for spark, path in open_.pop():
             _remove(spark, path)
 
 
@@ -150,7 +157,8 @@ def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
         late.set()
         sc.cancelJobGroup(group)
 
-    timer = threading.Timer(seconds, stop)
+    timer, keys = threading.Timer(seconds, stop), ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {key: sc.getLocalProperty(key) for key in keys}
     sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
     timer.start()
     try:
@@ -161,5 +169,5 @@ def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
         raise
     finally:
         timer.cancel()
-        sc.setLocalProperty("spark.jobGroup.id", None)
-        sc.setLocalProperty("spark.job.description", None)
+        for key, value in before.items():
+            sc.setLocalProperty(key, value)

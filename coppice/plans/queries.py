@@ -502,7 +502,8 @@ def greedy_fvs(spark, sf):
     return solvers.greedy(_undirected(spark, sf), directed=False).groupBy("graph_id").agg(F.count(F.lit(1)).alias("taken"))
 
 
-@query()
+#: Sets of up to six nations are tried; a larger least size would have no row.
+@query("WITH RECURSIVE" + Q.nation_optimum((1, 2, 3), 6) + " SELECT graph_id AS k, fvs_size, true AS valid, true AS minimal FROM opt")
 def nation_dfvs_by_k(spark, sf):
     """Least solution of the nations' trade graphs for growing numbers of customers."""
     out = None

@@ -133,18 +133,18 @@ _BITS = """
         FROM gv LEFT JOIN {source} x ON gv.graph_id = x.graph_id AND gv.v IN (x.src, x.dst) GROUP BY ALL) GROUP BY graph_id)"""
 
 
-def _kept(condition: str) -> str:
+def _kept(condition: str, width: int = 16) -> str:
     """The bits ``i`` of ``alive`` for which the condition holds."""
-    return f"CAST(list_sum(list_transform(range(0, 16), lambda i: CASE WHEN (alive >> CAST(i AS INT)) & 1 = 1 AND {condition} THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS BIGINT)"
+    return f"CAST(list_sum(list_transform(range(0, {width}), lambda i: CASE WHEN (alive >> CAST(i AS INT)) & 1 = 1 AND {condition} THEN CAST(1 AS BIGINT) << CAST(i AS INT) ELSE 0 END)) AS BIGINT)"
 
 
-def _peel(start: str, keys: str, condition: str, source: str) -> str:
+def _peel(start: str, keys: str, condition: str, source: str, width: int = 16) -> str:
     """``pl``: every state of peeling from ``start``; the last one of each key is its smallest."""
     return (
         _BITS.format(source=source)
         + f""",
     pl AS (SELECT {keys}, alive FROM ({start})
-           UNION SELECT {keys}, {_kept(condition)} FROM pl JOIN nb USING (graph_id) WHERE alive > 0)"""
+           UNION SELECT {keys}, {_kept(condition, width)} FROM pl JOIN nb USING (graph_id) WHERE alive > 0)"""
     )
 
 
@@ -163,6 +163,25 @@ def optimum_by_bits(directed: bool) -> str:
     return peel + ", opt AS (SELECT graph_id, CAST(min(bit_count(removed)) AS BIGINT) AS fvs_size FROM pl WHERE alive = 0 GROUP BY graph_id)"
 
 
+def nation_optimum(ks: tuple[int, ...], most: int) -> str:
+    """``opt``: least sizes for the trade graphs of 25 nations, over all sets of up to ``most`` of them."""
+    condition = "ins[i + 1] & alive <> 0"
+    full = (1 << 25) - 1
+    start = f"SELECT graph_id, removed, CAST({full} AS BIGINT) - removed AS alive FROM g CROSS JOIN sets"
+    return (
+        f"""
+    x AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+          JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
+    g AS (SELECT CAST(unnest([{", ".join(map(str, ks))}]) AS BIGINT) AS graph_id),
+    gv AS (SELECT graph_id, v FROM g CROSS JOIN (SELECT unnest(range(0, 25)) AS v)),
+    e AS (SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM x) JOIN g ON place <= graph_id),
+    sets AS (SELECT CAST(0 AS BIGINT) AS removed, -1 AS last, 0 AS size
+             UNION ALL SELECT removed | (CAST(1 AS BIGINT) << CAST(v AS INT)), v, size + 1 FROM sets JOIN (SELECT unnest(range(0, 25)) AS v) ON v > last WHERE size < {most}),"""
+        + _peel(start, "graph_id, removed", condition, "e", 25)
+        + ", opt AS (SELECT graph_id, CAST(min(bit_count(removed)) AS BIGINT) AS fvs_size FROM pl WHERE alive = 0 GROUP BY graph_id)"
+    )
+
+
 #: ``core`` as in ``CORES``, by peeling for every number in turn.
 CORES_BY_BITS = (
     _peel("SELECT graph_id, k, CAST(65535 AS BIGINT) AS alive FROM g CROSS JOIN (SELECT unnest(range(1, 16)) AS k)", "graph_id, k", "bit_count(outs[i + 1] & alive) >= k", "b")

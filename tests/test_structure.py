@@ -368,6 +368,27 @@ def test_cut_tables_go_with_their_scope(spark):
     assert outer.count() == 4 and there(outer) and not there(seen[0])
 
 
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
+    from coppice.plans import fixpoint
+
+    made, go, done = [], threading.Event(), threading.Event()
+
+    def other():
+        made.append(fixpoint.cut(spark.range(3)))
+        go.set()
+        done.wait(60)
+
+    with fixpoint.scope():
+        t = threading.Thread(target=other)
+        t.start()
+        assert go.wait(60)
+    assert made[0].count() == 3
+    done.set()
+    t.join()
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     from types import SimpleNamespace
 
