@@ -151,16 +151,21 @@ def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
 
     Tasks are interrupted too, so that a job that hangs in one lets go of its cores.
     """
-    sc, group, late = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    sc, group, late, done = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
-        late.set()
-        sc.cancelJobGroup(group)
-
-    timer, keys = threading.Timer(seconds, stop), ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+        if not done.wait(seconds):
+            late.set()
+            # a job may be on its way, or the next one follow: those are cancelled as they come
+            while not done.is_set():
+                sc.cancelJobGroup(group)
+                done.wait(0.5)
+
+    keys = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
     before = {key: sc.getLocalProperty(key) for key in keys}
     sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
-    timer.start()
+    watch = threading.Thread(target=stop, daemon=True)
+    watch.start()
     try:
         yield
     except Exception as e:
@@ -168,6 +173,7 @@ def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
             raise TimeoutError(f"not done after {seconds} s") from e
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         for key, value in before.items():
             sc.setLocalProperty(key, value)
