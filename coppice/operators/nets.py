@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators import features, scoring, solvers
 from coppice.operators.edges import canonical, without_vertices
-from coppice.operators.structure import is_solution
+from coppice.operators.structure import is_solution, random_unit
 from coppice.plans.fixpoint import cut
 
 KINDS = ("directed", "undirected", "directed_attention", "undirected_attention")
@@ -285,3 +285,143 @@ def store_samples(samples: DataFrame, path: str) -> int:
     if n:
         append(new, path)
     return n
+
+
+# ---------------------------------------------------------------- training
+
+
+def _flat(w: Weights) -> np.ndarray:
+    return np.concatenate([w[name].ravel() for name in sorted(w)])
+
+
+def _shaped(x: np.ndarray, like: Weights) -> Weights:
+    out, at = {}, 0
+    for name in sorted(like):
+        out[name] = x[at : at + like[name].size].reshape(like[name].shape)
+        at += like[name].size
+    return out
+
+
+def _spread_back(g: np.ndarray, sender: np.ndarray, receiver: np.ndarray) -> np.ndarray:
+    """What ``neighbour_mean`` hands back to the senders."""
+    count, out = np.zeros(len(g)), np.zeros_like(g)
+    np.add.at(count, receiver, 1)
+    np.add.at(out, sender, (g / np.maximum(count, 1)[:, None])[receiver])
+    return out
+
+
+def gradients(kind: str, x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, weight: np.ndarray, w: Weights) -> tuple[float, Weights]:
+    """Sum of weighted cross entropies over the rows of a graph, and its gradients, for the nets of neighbour means."""
+    if kind not in ("directed", "undirected"):
+        raise ValueError(f"only nets of neighbour means are trained here, not {kind}")
+    directed = kind == "directed"
+    ways = {"in": (src, dst), "out": (dst, src)} if directed else {"near": (np.r_[src, dst], np.r_[dst, src])}
+    h, held = x, []
+    for i in range(3):
+        parts = {name: neighbour_mean(h, *way) for name, way in ways.items()} | {"self": h}
+        z = sum(linear(part, w, f"conv{i}.{name}") for name, part in parts.items()) + w.get(f"conv{i}.bias", 0.0)
+        held.append((parts, z))
+        h = relu(normed(z, w, f"norm{i}"))
+    u = linear(h, w, "head0")
+    logits = linear(relu(u), w, "head1")
+    p = 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]))
+    loss = -(weight * (y * np.log(np.maximum(p, 1e-12)) + (1 - y) * np.log(np.maximum(1 - p, 1e-12)))).sum()
+
+    g: Weights = {}
+
+    def back(name: str, of: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+        g[f"{name}.weight"] = of.T @ inputs
+        if f"{name}.bias" in w:
+            g[f"{name}.bias"] = of.sum(axis=0)
+        return of @ w[f"{name}.weight"]
+
+    one = weight * (p - y)
+    d = back("head1", np.stack([-one, one], axis=1), relu(u))
+    d = back("head0", d * (u > 0), h)
+    for i in reversed(range(3)):
+        parts, z = held[i]
+        d = d * (normed(z, w, f"norm{i}") > 0)
+        g[f"norm{i}.scale"], g[f"norm{i}.shift"] = (d * z).sum(axis=0), d.sum(axis=0)
+        d = d * w[f"norm{i}.scale"]
+        if f"conv{i}.bias" in w:
+            g[f"conv{i}.bias"] = d.sum(axis=0)
+        from_parts = {name: back(f"conv{i}.{name}", d, part) for name, part in parts.items()}
+        d = from_parts["self"] + sum(_spread_back(from_parts[name], *way) for name, way in ways.items())
+    return float(loss), g
+
+
+def train(
+    edges: DataFrame,
+    samples: DataFrame,
+    kind: str,
+    w: Weights,
+    epochs: int = 60,
+    rate: float = 0.01,
+    warmup: int = 5,
+    clip: float = 1.0,
+    check_every: int = 5,
+    patience: int = 20,
+    validate: float = 0.2,
+    seed: int = 42,
+) -> tuple[Weights, list[tuple[int, float, float]]]:
+    """Trained weights, and ``(epoch, training loss, validation loss)`` at every check.
+
+    ``samples`` is ``(graph_id, v, f, y)``.  Graphs are split by hash, ``validate`` of them
+    for validation.  Every epoch is a job: workers add up the gradients of their graphs,
+    and executors the workers' sums, position by position, so what comes to the driver is
+    one set of weights.  Steps are Adam's, clipped, at a rate that rises and falls; the
+    weights of least validation loss are returned, and ``patience`` checks without a lower
+    one end the training.  Classes weigh ``n / (2 * count)``.
+    """
+    directed = kind == "directed"
+    per_class = {r["y"]: r["weight"] for r in scoring.class_weights(samples).collect()}  # a row for each class
+    e = canonical(edges, directed).groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    v = samples.groupBy("graph_id").agg(F.collect_list(F.struct("v", "f", "y")).alias("vertices"))
+    held_out = random_unit("graph_id", seed=seed) < validate
+    graphs = cut(v.join(e, "graph_id", "left").select("vertices", "edges", held_out.alias("held_out")), "graphs")
+    size = _flat(w).size
+
+    def step_of(weights: Weights, split: bool):
+        """One row: loss, rows and, in training, gradients, of the task's graphs."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, n, total = 0.0, 0, np.zeros(size)
+            for b in batches:
+                for vs, es in zip(b.column("vertices").to_pylist(), b.column("edges").to_pylist()):
+                    at = {r["v"]: i for i, r in enumerate(vs)}
+                    pairs = [(at[r["src"]], at[r["dst"]]) for r in es or [] if r["src"] in at and r["dst"] in at]
+                    src, dst = np.array(pairs, np.int64).reshape(-1, 2).T
+                    y = np.array([r["y"] for r in vs], float)
+                    weight = np.array([per_class[r["y"]] for r in vs])
+                    more, g = gradients(kind, np.array([r["f"] for r in vs], float), src, dst, y, weight, weights)
+                    loss, n = loss + more, n + len(vs)
+                    if not split:
+                        total += _flat(g)
+            if n:
+                values = [loss, float(n), *([] if split else total.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([values], pa.list_(pa.float64()))], names=["sums"])
+
+        rows = graphs.where("held_out" if split else "not held_out").select("vertices", "edges").mapInArrow(run, "sums array<double>")
+        added = rows.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+        return np.array([r["x"] for r in added]) if added else np.zeros(2)
+
+    x, m, s = _flat(w), np.zeros(size), np.zeros(size)
+    best, least, still, told = x, float("inf"), 0, []
+    for epoch in range(epochs):
+        sums = step_of(_shaped(x, w), False)
+        if sums[1]:
+            g = sums[2:] / sums[1]
+            g *= min(1.0, clip / max(float(np.linalg.norm(g)), 1e-12))
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            turn = epoch + 1
+            x = x - rate * scoring.learning_rate(epoch, warmup, epochs) * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-8)
+        if (epoch + 1) % check_every == 0 or epoch + 1 == epochs:
+            ours = sums[0] / max(sums[1], 1.0)
+            theirs = step_of(_shaped(x, w), True)
+            # without graphs held out the training loss decides
+            loss = theirs[0] / theirs[1] if theirs[1] else ours
+            told.append((epoch, float(ours), float(loss)))
+            best, least, still = (x, loss, 0) if loss < least else (best, least, still + 1)
+            if still >= patience:
+                break
+    return _shaped(best, w), told

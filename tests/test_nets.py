@@ -106,3 +106,47 @@ def test_training_table_holds_solutions(spark, few, tmp_path):
     assert nets.store_samples(t.where("graph_id < 2"), path) == t.where("graph_id < 2").count()
     assert nets.store_samples(t, path) == t.where("graph_id = 2").count()
     assert nets.store_samples(t, path) == 0
+
+
+@pytest.mark.parametrize("kind", ["directed", "undirected"])
+def test_gradients_as_by_differences(kind):
+    r = np.random.default_rng(4)
+    x, src, dst = r.normal(size=(6, 3)), np.array([0, 1, 2, 3, 0]), np.array([1, 2, 0, 4, 4])
+    y, weight = np.array([0, 1, 0, 1, 1, 0.0]), r.uniform(0.5, 2, 6)
+    w = nets.random_weights(kind, 3, 4, seed=2)
+    loss, g = nets.gradients(kind, x, src, dst, y, weight, w)
+    p = nets.forward(kind, x, src, dst, w)
+    assert loss == pytest.approx(-(weight * np.log(np.where(y == 1, p, 1 - p))).sum())
+    assert set(g) == set(w)
+    for name in w:
+        for at in np.ndindex(w[name].shape):
+            near = []
+            for h in (1e-6, -1e-6):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name][at] += h
+                near.append(nets.gradients(kind, x, src, dst, y, weight, moved)[0])
+            assert g[name][at] == pytest.approx((near[0] - near[1]) / 2e-6, abs=1e-4), (name, at)
+
+
+def test_training_learns_a_rule(spark):
+    """Vertices that two or more others point to are to be told from the rest; what is learned holds for graphs held out."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    data = [(g, a, b) for g in range(80) for a in range(8) for b in range(8) if a != b and r.random() < 0.2]
+    e = spark.createDataFrame(data, "graph_id long, src long, dst long").cache()
+    rows = []
+    for g in range(80):
+        for v in range(8):
+            n = sum(1 for h, _, b in data if h == g and b == v)
+            rows.append((g, v, [1.0, n / 2.0 - 0.75, float(n == 0)], int(n >= 2)))
+    samples = spark.createDataFrame(rows, "graph_id long, v long, f array<double>, y int").cache()
+    start = nets.random_weights("directed", 3, 8, seed=3)
+    w, told = nets.train(e, samples, "directed", start, epochs=60, rate=0.05)
+    assert min(t[2] for t in told) < 0.6 * told[0][2], told
+    f = samples.select("graph_id", "v", "y", *(F.col("f")[i].alias(f"c{i}") for i in range(3)))
+    prob = nets.score(e, f, ["c0", "c1", "c2"], "directed", w).join(f, ["graph_id", "v"])
+    assert prob.where((F.col("prob") > 0.5) == (F.col("y") == 1)).count() > 0.9 * len(rows)
+    again, _ = nets.train(e, samples, "directed", start, epochs=3)
+    same, _ = nets.train(e.repartition(5), samples.repartition(3), "directed", start, epochs=3)
+    assert all(np.allclose(again[k], same[k], atol=1e-6) for k in again)
