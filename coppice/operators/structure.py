@@ -271,8 +271,51 @@ def find_cycle(edges: DataFrame, directed: bool, shortest: bool = False, how: st
     return per_graph(graph_rows(e), work, "graph_id long, cycle array<long>, length long")
 
 
-def girth(edges: DataFrame, directed: bool) -> DataFrame:
-    return find_cycle(edges, directed, shortest=True).select("graph_id", F.col("length").alias("girth"))
+def _girth_from(starts: DataFrame, arcs: DataFrame, best: DataFrame, directed: bool) -> DataFrame:
+    """``best (graph_id, girth)`` improved by layers around some start vertices; a graph's layers end where they cannot improve it."""
+    front = cut(starts.select("graph_id", F.col("v").alias("s"), "v"), "front")
+    seen, depth = front, 0
+    while True:
+        least = depth + 1 if directed else 2 * depth + 1
+        front = front.join(best.where(F.col("girth") <= least).select("graph_id"), "graph_id", "left_anti")
+        near = cut(front.join(arcs.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("w")), ["graph_id", "v"]).select("graph_id", "s", F.col("w").alias("v")), "near")
+        fresh = near.join(seen, ["graph_id", "s", "v"], "left_anti")
+        if directed:
+            found = near.where("v = s").select("graph_id", F.lit(least).cast("long").alias("girth"))
+        else:
+            # an edge within the layer, or a vertex of the next one that two of this one lead to
+            level = near.join(front, ["graph_id", "s", "v"], "left_semi").select("graph_id", F.lit(least).cast("long").alias("girth"))
+            twice = fresh.groupBy("graph_id", "s", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            found = level.unionByName(twice.select("graph_id", F.lit(least + 1).cast("long").alias("girth")))
+        best = cut(best.unionByName(found).groupBy("graph_id").agg(F.min("girth").alias("girth")), "best")
+        front = cut(fresh.distinct(), "front")
+        if front.isEmpty():
+            return best
+        seen = cut(seen.unionByName(front), "seen")
+        depth += 1
+
+
+def girth(edges: DataFrame, directed: bool, how: str = "auto") -> DataFrame:
+    """``(graph_id, girth)``: length of a shortest cycle of each graph that has one.
+
+    Graphs that fit a worker are searched there.  On larger ones ``WALK_STARTS`` vertices
+    of what peeling leaves are the middle of layers at a time; the shortest cycle so far
+    bounds all that follow.
+    """
+    e = canonical(edges, directed, loops=True)
+    if how == "worker" or (how == "auto" and is_small(e)):
+        return find_cycle(edges, directed, shortest=True, how="worker").select("graph_id", F.col("length").alias("girth"))
+    e = cut(e, "edges")
+    best = cut(e.where("src = dst").select("graph_id", F.lit(1).cast("long").alias("girth")).distinct(), "best")
+    left = cut(peel(e.join(best, "graph_id", "left_anti"), directed, sinks=directed, how="frames"), "left")
+    arcs = left if directed else cut(both_ways(left), "arcs")
+    starts = arcs.select("graph_id", F.col("src").alias("v")).distinct()
+    blocks = max(1, -(-starts.count() // WALK_STARTS))
+    starts = cut(starts.withColumn("block", F.pmod(F.xxhash64("graph_id", "v"), F.lit(blocks))), "starts")
+    for block in range(blocks):
+        mine = starts.where(F.col("block") == block)
+        best = cut_of(lambda mine=mine, best=best: _girth_from(mine, arcs, best, directed), "best")
+    return best
 
 
 def topological_levels(edges: DataFrame, of: DataFrame, max_iter: int = 10_000, how: str = "auto") -> DataFrame:

@@ -97,14 +97,10 @@ def brand_cycle_frames(spark, sf):
     return j.select("graph_id", F.coalesce(F.col("steps") == F.col("length"), F.lit(False)).alias("closed"), F.coalesce(F.col("vertices") == F.col("length"), F.lit(False)).alias("simple"))
 
 
-@query(FULL + B._girth("e", 16))
-def brand_girth_directed(spark, sf):
-    return S.girth(_dense(spark, sf), directed=True)
-
-
-@query(FULL_U + B._girth("b", 8))
-def brand_girth_undirected(spark, sf):
-    return S.girth(_dense(spark, sf), directed=False)
+for _how in ("worker", "frames"):
+    _end = "" if _how == "worker" else "_frames"
+    _named(f"brand_girth_directed{_end}", FULL + B._girth("e", 16), lambda spark, sf, how=_how: S.girth(_dense(spark, sf), True, how))
+    _named(f"brand_girth_undirected{_end}", FULL_U + B._girth("b", 8), lambda spark, sf, how=_how: S.girth(_dense(spark, sf), False, how))
 
 
 # ---------------------------------------------------------------- motifs

@@ -227,6 +227,17 @@ def test_cycles_found_over_tables_are_cycles(spark, mixed, directed):
         assert len(two[20]) == 37
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_girths_agree(spark, mixed, directed, monkeypatch):
+    ring = [(20, i, (i + 1) % 9) for i in range(9)] + [(20, 5, 50)] + [(21, i, (i + 1) % 8) for i in range(8)] + [(22, 0, 1), (22, 1, 2)]
+    e = mixed.unionByName(spark.createDataFrame(ring, mixed.schema))
+    for some in (e, e.where("src <> dst")):
+        one = rows(S.girth(some, directed, "worker"))
+        assert rows(S.girth(some, directed, "frames")) == one and (20, 9) in one and (21, 8) in one
+    monkeypatch.setattr(S, "WALK_STARTS", 12)
+    assert rows(S.girth(some, directed, "frames")) == one
+
+
 def test_greedy_and_levels_agree(mixed, spark):
     for directed in (True, False):
         for by in ("degree", "out") if directed else ("degree",):
