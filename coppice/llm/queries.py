@@ -98,7 +98,45 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+def _secrets_sql() -> str:
+    """What lies between the matches of a rule gives their places: pieces and matches in turn make up the text."""
+    blank = r"\x20\x09-\x0D"
+    key = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    rules = [
+        # name, pattern, what a match must be; group 1 is the value of an assignment
+        ("assign", rf"""(?:{key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(value) >= 8"),
+        ("access", "(AKIA[A-Z0-9]+)", "length(hit) >= 16"),
+        ("hex", "([0-9a-f]{32,})", "true"),
+        ("pem", "(-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----)", "true"),
+        ("jwt", r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", "true"),
+        ("github", "(gh[pousr]_[A-Za-z0-9]{36,})", "true"),
+        ("bearer", r"([Bb][Ee][Aa][Rr][Ee][Rr]\x20+[A-Za-z0-9._~+/-]{20,}=*)", "true"),
+        ("url", rf"([a-z][a-z0-9+.-]*://[^{blank}:/@]{{1,256}}:[^{blank}:/@]{{3,256}}@)", "true"),
+    ]
+    parts = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"]
+    for i, (name, pattern, passes) in enumerate(rules):
+        q = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""m{i} AS (SELECT doc_id, unnest(regexp_extract_all(t, {q})) AS hit, unnest(regexp_extract_all(t, {q}, 1)) AS value,
+                unnest(string_split_regex(t, {q})[1 : len(regexp_extract_all(t, {q}))]) AS piece, unnest(range(len(regexp_extract_all(t, {q})))) AS j FROM d),
+            s{i} AS (SELECT doc_id, {i} AS o, '{name}' AS kind, hit, value, sum(length(piece)) OVER w + sum(length(hit)) OVER w - length(hit) AS begin_
+                     FROM m{i} WINDOW w AS (PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
+            f{i} AS (SELECT doc_id, o, kind, begin_, begin_ + length(hit) AS end_ FROM s{i} WHERE {passes})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(rules)))
+    told = "kind || ':' || CAST(begin_ AS BIGINT) || ':' || CAST(end_ AS BIGINT)"
+    counts = ", ".join(f"count(*) FILTER (o = {i}) AS n_{rules[i][0]}" for i in range(3))
+    parts.append(f"a AS ({every})")
+    parts.append(
+        f"""g AS (SELECT doc_id, {counts}, coalesce(string_agg({told}, ',' ORDER BY begin_, o) FILTER (o < 3), '') AS base,
+             coalesce(string_agg({told}, ',' ORDER BY begin_, o, end_), '') AS spans FROM a GROUP BY doc_id)"""
+    )
+    names = ", ".join(f"coalesce(n_{r[0]}, 0) AS n_{r[0]}" for r in rules[:3])
+    return "WITH " + ", ".join(parts) + f" SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"
+
+
 ORACLES = {
+    "op2_secret_scan": _secrets_sql(),
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
